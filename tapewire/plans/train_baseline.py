@@ -15,6 +15,7 @@ from tapewire.operators.terms import MAX_FEATURES, MIN_DF, NGRAM_RANGE, fit_tfid
 from tapewire.sources.tables import read_training_set
 
 MAX_ITERATIONS = 1000
+TOLERANCE = 1e-4
 
 
 @dataclass(frozen=True)
@@ -33,6 +34,7 @@ def fit_classifier(
     min_df: int = MIN_DF,
     max_features: int = MAX_FEATURES,
     max_iter: int = MAX_ITERATIONS,
+    tolerance: float = TOLERANCE,
     inverse_penalty: float = 1.0,
 ) -> PipelineModel:
     """Fitted pipeline from ``text`` to ``prediction`` (a label).
@@ -49,6 +51,7 @@ def fit_classifier(
         labelCol="_class",
         predictionCol="_predicted",
         maxIter=max_iter,
+        tol=tolerance,
         regParam=1.0 / (inverse_penalty * weights.documents),
         elasticNetParam=0.0,
         standardization=False,
