@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 
+_AVERAGES = ("accuracy", "macro avg", "weighted avg")
+
+
 def usable_count(prices: DataFrame) -> DataFrame:
     """Number of rows with an adjusted close."""
     return prices.agg(F.count("adj_close").alias("usable_rows"))
@@ -57,57 +60,53 @@ def classification_report(
         return F.when(b == 0, F.lit(0.0)).otherwise(a / b)
 
     hits, support, predicted = F.col("hits"), F.col("support"), F.col("predicted")
-    classes = counts.select(
+    precision, recall = ratio(hits, predicted), ratio(hits, support)
+    # harmonic mean of the two, written over the counts
+    f1 = ratio(2 * hits, support + predicted)
+
+    # each class also goes into the three averages, so that one pass gives all rows
+    targets = F.array(
+        F.struct(F.lit("class").alias("kind"), F.col("name").alias("to")),
+        *[F.struct(F.lit(a).alias("kind"), F.lit(a).alias("to")) for a in _AVERAGES],
+    )
+    sums = (
+        counts.select("support", "hits", precision.alias("p"), recall.alias("r"), f1.alias("f"), F.inline(targets))
+        .groupBy("kind", F.col("to").alias("name"))
+        .agg(
+            F.sum("support").alias("support"),
+            F.sum("hits").alias("hits"),
+            *[F.avg(c).alias(c) for c in "prf"],
+            *[F.sum(F.col(c) * support).alias(f"weighted_{c}") for c in "prf"],
+        )
+    )
+
+    def value(c):
+        return (
+            F.when(F.col("kind") == "accuracy", hits / support)
+            .when(F.col("kind") == "weighted avg", F.col(f"weighted_{c}") / support)
+            .otherwise(F.col(c))
+        )
+
+    return sums.select(
         "name",
-        ratio(hits, predicted).alias("precision"),
-        ratio(hits, support).alias("recall"),
-        # harmonic mean of the two, written over the counts
-        ratio(2 * hits, support + predicted).alias("f1_score"),
+        value("p").alias("precision"),
+        value("r").alias("recall"),
+        value("f").alias("f1_score"),
         "support",
-        "hits",
     )
-    total = F.sum("support")
-    accuracy = F.sum("hits") / total
-    summary = classes.agg(
-        F.array(
-            F.struct(
-                F.lit("accuracy").alias("name"),
-                accuracy.alias("precision"),
-                accuracy.alias("recall"),
-                accuracy.alias("f1_score"),
-                total.alias("support"),
-            ),
-            F.struct(
-                F.lit("macro avg").alias("name"),
-                F.avg("precision").alias("precision"),
-                F.avg("recall").alias("recall"),
-                F.avg("f1_score").alias("f1_score"),
-                total.alias("support"),
-            ),
-            F.struct(
-                F.lit("weighted avg").alias("name"),
-                (F.sum(F.col("precision") * support) / total).alias("precision"),
-                (F.sum(F.col("recall") * support) / total).alias("recall"),
-                (F.sum(F.col("f1_score") * support) / total).alias("f1_score"),
-                total.alias("support"),
-            ),
-        ).alias("rows")
-    ).select(F.inline("rows"))
-    return classes.drop("hits").unionByName(summary)
 
 
 def format_report(rows: Iterable[Row], digits: int = 3) -> str:
     """The report as aligned text, classes in name order before the averages."""
-    averages = ("accuracy", "macro avg", "weighted avg")
     rows = list(rows)
     by_name = {r["name"]: r for r in rows}
-    order = sorted(n for n in by_name if n not in averages) + [a for a in averages if a in by_name]
+    order = sorted(n for n in by_name if n not in _AVERAGES) + [a for a in _AVERAGES if a in by_name]
     width = max(map(len, order), default=0)
     head = f"{'':>{width}}  " + " ".join(f"{h:>9}" for h in ("precision", "recall", "f1-score", "support"))
     lines = [head, ""]
     for name in order:
         r = by_name[name]
-        if name == averages[0]:
+        if name == _AVERAGES[0]:
             lines.append("")
             cells = [" " * 9, " " * 9, f"{r['f1_score']:>9.{digits}f}"]
         else:

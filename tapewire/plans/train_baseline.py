@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tapewire.operators.report import classification_report, format_report
 from tapewire.operators.split import stratified_split
 from tapewire.operators.terms import MAX_FEATURES, MIN_DF, NGRAM_RANGE, fit_tfidf
+from tapewire.session import durable
 from tapewire.sources.tables import read_training_set
 
 MAX_ITERATIONS = 1000
@@ -85,7 +86,9 @@ def train_baseline(
     """Split, fit, predict and report. ``settings`` are those of fit_classifier."""
     train, test = stratified_split(usable_rows(data), "label", key, test_fraction, seed)
     model = fit_classifier(train, **settings)
-    predictions = predict(model, test).drop("text")
+    # Written out: the report reads them too, and a filter on the prediction
+    # would otherwise be pushed through the model and evaluate it again.
+    predictions = durable(predict(model, test).drop("text"))
     return Baseline(model, predictions, classification_report(predictions))
 
 
