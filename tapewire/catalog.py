@@ -21,7 +21,7 @@ from tapewire.plans.build_dataset import build_dataset, training_set
 from tapewire.plans.news_ingest import ingest_news, landed_news
 from tapewire.plans.price_ingest import ingest_prices, landed_prices
 from tapewire.plans.train_baseline import train_baseline
-from tapewire.session import configure, shared_dir
+from tapewire.session import configure, shared_dir, spread
 from tapewire.sources import landed, tables
 from tapewire.streaming.upserts import stream_news, stream_prices
 
@@ -62,7 +62,7 @@ def _clock_times(df: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
     return df.withColumns(
         {n: F.col(n).cast("timestamp") for n, t in df.dtypes if t == "timestamp_ntz"}
     )
@@ -847,7 +847,7 @@ _DOCS_SQL = "docs AS (SELECT doc_id AS key, text FROM documents)"
 @query(f"WITH {_SPOKEN_SQL}, {_terms_sql('spoken')} SELECT key, term, count(*) AS n FROM grams GROUP BY ALL")
 def terms_by_text(spark, sf_dir):
     t = terms.terms_transformer().transform(_spoken(spark, sf_dir))
-    return t.select("key", F.explode("terms").alias("term")).groupBy("key", "term").agg(F.count(F.lit(1)).alias("n"))
+    return terms.explode_terms(t, "key").groupBy("key", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
 _COUNTS_SQL = "SELECT term, count(*) AS tf, count(DISTINCT key) AS df FROM grams GROUP BY term"

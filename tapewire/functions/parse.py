@@ -11,11 +11,10 @@ WHITESPACE = (
     "    　"
 )
 
-# Spellings of a missing number.
-NULL_TOKENS = ("None", "none", "null", "")
-
-_NUMBER = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))$"
-_STARTS_WITH_YEAR = r"^\d{4}"
+# With these characters alone, Spark's own parser takes exactly the decimal
+# numbers; the many words for a missing value fall through.
+_NUMBER = r"^(?:[\s0-9.,+\-eE]+|\s*[+-]?(?i:inf|infinity)\s*)$"
+_STARTS_WITH_YEAR = r"^\s*\d{4}"
 
 # Free-format dates, tried in this order after the ISO forms.
 _DATE_FORMATS = (
@@ -46,14 +45,14 @@ def missing_if_nan(c: Column) -> Column:
 
 
 def to_number(c: Column, dtype: T.DataType) -> Column:
-    """Double from a number or from text such as ``"1,234.5"``; else NULL.
+    """Double from a number or from text such as ``" 1,234.5"``; else NULL.
 
-    Text is checked against a pattern before the cast, because Spark also
-    takes Java suffixes ("1d") for numbers. Infinity is kept, NaN is NULL.
+    Text is checked before the cast, because Spark also takes Java suffixes
+    ("1d") for numbers. Commas are dropped, infinity is kept, NaN is NULL, and so
+    are ``None``, ``none``, ``null`` and the empty text.
     """
     if isinstance(dtype, T.StringType):
-        text = strip(F.replace(F.when(~c.isin(*NULL_TOKENS), c), F.lit(","), F.lit("")))
-        return F.when(text.rlike(_NUMBER), text.try_cast("double"))
+        return F.when(c.rlike(_NUMBER), F.replace(c, F.lit(","), F.lit("")).try_cast("double"))
     if isinstance(dtype, T.NumericType):
         return missing_if_nan(c.cast("double"))
     if isinstance(dtype, T.NullType):
@@ -70,8 +69,7 @@ def to_utc(c: Column, dtype: T.DataType) -> Column:
     start with a year (a bare time would mean "today") is NULL.
     """
     if isinstance(dtype, T.StringType):
-        text = strip(c)
-        return F.when(text.rlike(_STARTS_WITH_YEAR), F.try_to_timestamp(text))
+        return F.when(c.rlike(_STARTS_WITH_YEAR), F.try_to_timestamp(c))
     if isinstance(dtype, T.LongType):
         return _from_nanos(c)
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType, T.NullType)):

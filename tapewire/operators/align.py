@@ -152,7 +152,7 @@ def asof_join(
     )
     cells = _TimeCells(profile)
     if cells.broadcast_rows * _row_bytes(by, values) <= broadcast_bytes:
-        return _lookup(events, intervals, values, by, cells)
+        return _lookup(events, prices, intervals, values, by, cells)
     return _merge(events, intervals, values, by, profile, rows_per_task)
 
 
@@ -193,7 +193,7 @@ class _TimeCells:
         return F.floor((F.unix_micros(ts) - cell * F.lit(micros)) * parts / F.lit(micros))
 
 
-def _lookup(events, intervals, values, by, cells: _TimeCells) -> DataFrame:
+def _lookup(events, prices, intervals, values, by, cells: _TimeCells) -> DataFrame:
     """Broadcast the intervals under each time cell they touch."""
     last_instant = cells.end(F.lit(cells.last))
     touched = intervals.withColumns(
@@ -211,7 +211,7 @@ def _lookup(events, intervals, values, by, cells: _TimeCells) -> DataFrame:
     if cells.split:
         # full cells only: the number of parts, so that each has few intervals
         parts = (
-            touched.groupBy(*keys)
+            prices.groupBy(*by, cells.of(F.col("ts")).alias("_cell"))
             .agg(F.ceil(F.count(F.lit(1)) / F.lit(_CELL_ROWS // 4)).alias("_parts"))
             .where(F.col("_parts") > 4)
         )

@@ -48,7 +48,8 @@ def normalize_prices(
     df = df.withColumns(
         {"date": F.date_trunc(unit, to_utc(F.col("date"), types["date"])), **values, "ticker": name}
     )
-    return usable(align(df, PRICES, keep))
+    # parsed numbers are never NaN
+    return align(df, PRICES, keep).where("date is not null and adj_close is not null")
 
 
 def usable(prices: DataFrame) -> DataFrame:

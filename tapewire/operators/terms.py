@@ -22,7 +22,7 @@ def terms_transformer(
 ) -> SQLTransformer:
     """Adds the n-grams of the lower-cased text, in built-in expressions."""
     low, high = ngram_range
-    grams = ["_tokens" if n == 1 else _grams(n) for n in range(low, high + 1)]
+    grams = [_grams(n) for n in range(low, high + 1)]
     joined = grams[0] if len(grams) == 1 else f"concat({', '.join(grams)})"
     return SQLTransformer(
         statement=f"SELECT * EXCEPT (_tokens), {joined} AS {output} FROM ("
@@ -31,9 +31,23 @@ def terms_transformer(
 
 
 def _grams(n: int) -> str:
-    starts = f"sequence(1, size(_tokens) - {n - 1})"
-    each = f"transform({starts}, i -> concat_ws(' ', slice(_tokens, i, {n})))"
-    return f"if(size(_tokens) >= {n}, {each}, cast(array() AS array<string>))"
+    """The n-grams as SQL: those of one word less, each joined with its next token."""
+    if n == 1:
+        return "_tokens"
+    count = f"greatest(size(_tokens) - {n - 1}, 0)"
+    return (
+        f"zip_with(slice({_grams(n - 1)}, 1, {count}), slice(_tokens, {n}, {count}), "
+        "(g, t) -> concat(g, ' ', t))"
+    )
+
+
+def explode_terms(documents: DataFrame, key: str, terms: str = "terms") -> DataFrame:
+    """One row ``key, term`` per occurrence.
+
+    The outer form keeps Spark from inferring a filter on the size of the list,
+    for which it would build every list twice.
+    """
+    return documents.select(key, F.explode_outer(terms).alias("term")).where("term is not null")
 
 
 def term_counts(documents: DataFrame, terms: str = "terms") -> DataFrame:
@@ -52,7 +66,8 @@ def term_counts(documents: DataFrame, terms: str = "terms") -> DataFrame:
         ),
     )
     return (
-        in_order.select(F.inline(marked))
+        in_order.select(F.inline_outer(marked))
+        .where("term is not null")
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("tf"), F.count_if("first").alias("df"))
     )
@@ -132,7 +147,7 @@ def weights_by_term(
     cells = F.arrays_zip(vector["indices"].alias("index"), vector["values"].alias("weight"))
     return (
         weights.transform(documents)
-        .select(key, F.inline(cells).alias("index", "weight"))
+        .select(key, F.inline_outer(cells).alias("index", "weight"))
         # as many rows as the vocabulary, which has a fixed upper limit
         .join(F.broadcast(index), "index")
         .select(key, "term", "weight")

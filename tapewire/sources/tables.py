@@ -19,13 +19,14 @@ from tapewire.operators.columns import align
 from tapewire.operators.prices import usable
 from tapewire.operators.upsert import upsert_news, upsert_prices
 from tapewire.schemas import NEWS, PRICES
+from tapewire.session import spread
 
 _LISTED_PARTITIONS = 10_000
 _BUCKETS = 256
 
 
 def read_training_set(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return spread(spark.read.parquet(path))
 
 
 def write_training_set(df: DataFrame, path: str, ordered: bool = False) -> None:
@@ -42,7 +43,7 @@ def read_price_table(spark: SparkSession, path: str) -> DataFrame:
 
 def read_news_table(spark: SparkSession, path: str) -> DataFrame:
     """A news table of this package, or plain parquet files with articles in them."""
-    raw = spark.read.parquet(path)
+    raw = spread(spark.read.parquet(path))
     return raw.drop(*[c for c in raw.columns if c.startswith("url_bucket_of_")])
 
 
