@@ -216,7 +216,7 @@ def _lookup(events, prices, intervals, values, by, cells: _TimeCells) -> DataFra
             .where(F.col("_parts") > 4)
         )
         cell, n = F.col("_cell"), F.coalesce("_parts", F.lit(1))
-        touched = touched.join(parts, keys, "left").withColumn(
+        touched = touched.join(F.broadcast(parts), keys, "left").withColumn(
             "_part",
             F.explode(
                 F.sequence(

@@ -1,10 +1,11 @@
 """TF-IDF and logistic regression on a training set, scored on a hold-out."""
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from tapewire.operators.report import classification_report, format_report
 from tapewire.operators.split import stratified_split
 from tapewire.operators.terms import MAX_FEATURES, MIN_DF, NGRAM_RANGE, fit_tfidf
-from tapewire.session import durable
+from tapewire.session import durable, shared_dir
 from tapewire.sources.tables import read_training_set
 
 MAX_ITERATIONS = 1000
@@ -58,13 +59,25 @@ def fit_classifier(
         standardization=False,
     )
     ready = labels.transform(weights.transform(train)).select("features", "_class")
-    fitted = regression.fit(ready)
+    fitted = _without_summary(regression.fit(ready))
     names = IndexToString(
         inputCol="_predicted", outputCol="prediction", labels=labels.labels
     )
     return PipelineModel([*weights.stages, fitted, names])
 
 
+def _without_summary(model: LogisticRegressionModel) -> LogisticRegressionModel:
+    """The model as a saved and reloaded copy.
+
+    A freshly fitted model carries its training summary, and with it the session,
+    into every task that predicts.
+    """
+    spark = SparkSession.getActiveSession()
+    path = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
+    model.write().save(path)
+    return LogisticRegressionModel.load(path)
+
+
 def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """The rows with the predicted label in ``prediction``."""
     return model.transform(rows).select(*rows.columns, "prediction")

@@ -14,9 +14,11 @@ def read_price_downloads(
     Files without a ``ticker`` column get it from their name. ``row_seq`` orders
     rows by file time, then file, then place in the file.
     """
-    # enforceSchema off: a file whose header differs fails instead of being
-    # read into the wrong columns
-    raw = spark.read.csv(path, header=True, inferSchema=False, enforceSchema=False)
+    # A file whose header differs fails instead of being read into the wrong
+    # columns. The check needs all columns, hence no pruning.
+    raw = spark.read.option("columnPruning", "false").csv(
+        path, header=True, inferSchema=False, enforceSchema=False
+    )
     meta = F.col("_metadata")
     out = raw.withColumn("row_seq", _arrival(F.monotonically_increasing_id()))
     if "ticker" not in [c.lower() for c in raw.columns]:

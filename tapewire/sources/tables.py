@@ -9,7 +9,7 @@ not atomic, which calls for one writer per table at a time.
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
@@ -29,9 +29,15 @@ def read_training_set(spark: SparkSession, path: str) -> DataFrame:
     return spread(spark.read.parquet(path))
 
 
-def write_training_set(df: DataFrame, path: str, ordered: bool = False) -> None:
+def write_training_set(
+    df: DataFrame, path: str, ordered: bool = False, watch: Observation | None = None, *metrics: Column
+) -> None:
+    """Write the rows, by publication time if ``ordered``; ``watch`` gets ``metrics``."""
     if ordered:
         df = df.repartitionByRange("published_at").sortWithinPartitions("published_at")
+    if watch is not None:
+        # after the ranges, for which Spark reads the rows an extra time
+        df = df.observe(watch, *metrics)
     df.write.mode("overwrite").parquet(path)
 
 
