@@ -121,8 +121,10 @@ def test_price_ingest(spark, tmp_path):
     assert {r.ticker: r.rows for r in report.collect()} == {"SPY": 2, "^VIX": 1}
     assert read_price_table(spark, out).count() == 3
     (landed / "other.csv").write_text("Date,Close\n2024-01-01,1\n")
-    with pytest.raises(Exception):
-        ingest_prices(spark, str(landed), out, "SPY")
+    # files of other tickers are skipped by name, a differing header is refused
+    ingest_prices(spark, str(landed), out, "SPY")
+    with pytest.raises(Exception, match="FAILED_READ_FILE"):
+        ingest_prices(spark, str(landed), out, "SPY,other")
     with pytest.raises(ValueError):
         landed_prices(sample_prices(spark), interval="5m")
 
