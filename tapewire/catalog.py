@@ -4,10 +4,11 @@ The tables stand in for market data and news: ``events`` are price ticks (the
 event type is the ticker), ``orders`` a long daily series, ``documents`` articles.
 """
 
+import datetime as dt
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapewire.functions.parse import iso_or_null, to_number, to_utc
@@ -18,10 +19,10 @@ from tapewire.operators.bars import ohlcv_bars
 from tapewire.operators.split import stratified_split
 from tapewire.operators.upsert import upsert_news, upsert_prices
 from tapewire.plans.build_dataset import build_dataset, training_set
-from tapewire.plans.news_ingest import ingest_news, landed_news
-from tapewire.plans.price_ingest import ingest_prices, landed_prices
+from tapewire.plans.news_ingest import ingest_news
+from tapewire.plans.price_ingest import ingest_prices
 from tapewire.plans.train_baseline import train_baseline
-from tapewire.session import configure, shared_dir, spread
+from tapewire.session import configure, durable, shared_dir, spread
 from tapewire.sources import landed, tables
 from tapewire.streaming.upserts import stream_news, stream_prices
 
@@ -252,8 +253,6 @@ ASOF LEFT JOIN (
 ON o.o_orderdate >= s.ts"""
 )
 def asof_join_after_session_close(spark, sf_dir):
-    import datetime as dt
-
     orders = table(spark, sf_dir, "orders")
     daily = orders.groupBy(F.col("o_orderdate").alias("date")).agg(
         F.max("o_totalprice").alias("close")
@@ -470,7 +469,7 @@ def articles_normalised(spark, sf_dir):
 
 @query(_DELIVERED_SQL)
 def landed_pages_read(spark, sf_dir):
-    """One response page per language and source, written as JSON and read back."""
+    """Response pages of one article each, written as JSON and read back."""
     path = scratch(spark, "pages")
     pages = _delivered(spark, sf_dir).select(
         F.struct(F.array("article").alias("results")).alias("response")
@@ -558,10 +557,6 @@ def news_in_time_order(spark, sf_dir):
     ranged = ordered.repartitionByRange("published_at", "url").withColumn(
         "_range", F.spark_partition_id()
     )
-    from pyspark.sql import Window
-
-    from tapewire.session import durable
-
     ranged = durable(ranged)
     before = (
         ranged.groupBy("_range")
@@ -584,8 +579,6 @@ SELECT o_orderdate AS date, o_totalprice AS adj_close, o_orderpriority AS ticker
 FROM orders WHERE o_orderdate >= TIMESTAMP '1999-08-01'"""
 )
 def prices_in_period(spark, sf_dir):
-    import datetime as dt
-
     p = long_series(spark, sf_dir).withColumnRenamed("ts", "date")
     return price_ops.in_period(p, "2y", dt.date(2001, 8, 1)).select("date", "adj_close", "ticker", "row")
 
@@ -798,8 +791,6 @@ QUALIFY row_number() OVER (PARTITION BY date, ticker ORDER BY event_id DESC) = 1
 )
 def prices_ingested(spark, sf_dir):
     """A landed csv file of ticks, merged into an empty table."""
-    import datetime as dt
-
     path, out = scratch(spark, "landed"), scratch(spark, "prices")
     raw = _raw_prices(spark, sf_dir).orderBy("row_seq").drop("row_seq")
     raw.coalesce(1).write.option("header", True).option("emptyValue", "").csv(path)

@@ -1,4 +1,4 @@
-"""Stored tables: prices by ticker and year, news by url bucket, training sets.
+"""Stored tables: prices by ticker, news by url bucket, training sets.
 
 Both keyed tables are merged on write: the partitions an incoming batch touches
 are read, merged with the batch and replaced (dynamic partition overwrite); the
@@ -16,10 +16,9 @@ from pyspark.errors import AnalysisException
 from tapewire.functions.parse import to_utc
 from tapewire.functions.text import path_key
 from tapewire.operators.columns import align
-from tapewire.operators.prices import usable
 from tapewire.operators.upsert import upsert_news, upsert_prices
 from tapewire.schemas import NEWS, PRICES
-from tapewire.session import spread
+from tapewire.session import durable, spread
 
 _LISTED_PARTITIONS = 10_000
 _BUCKETS = 256
@@ -66,19 +65,18 @@ class _Layout:
     def names(self) -> list[str]:
         return list(self.parts)
 
-    def touched(self, stored: DataFrame, batch: DataFrame) -> DataFrame:
-        """Stored rows of the partitions the batch has rows for.
+    def touched(self, stored: DataFrame, keys: DataFrame) -> DataFrame:
+        """Stored rows of the partitions listed in ``keys``, one row each.
 
         Up to some thousand partitions are named in the filter, so that the
-        others are not listed or read. For more, the semi join decides; its
-        right side is no longer than the list of partitions.
+        others are not read. For more, the semi join decides; its right side is
+        no longer than the list of partitions.
         """
         label = F.concat_ws("\x1f", *[F.col(n).cast("string") for n in self.names])
-        keys = batch.select(*self.names).distinct()
         some = [r[0] for r in keys.select(label).limit(_LISTED_PARTITIONS + 1).collect()]
         if len(some) <= _LISTED_PARTITIONS:
             return stored.where(label.isin(some))
-        return stored.join(keys, self.names, "left_semi")
+        return stored.join(keys.select(*self.names), self.names, "left_semi")
 
     def write(self, df: DataFrame, path: str, sort: list[str]) -> None:
         (
@@ -91,8 +89,11 @@ class _Layout:
         )
 
 
-def _price_layout() -> _Layout:
-    return _Layout({"ticker_path": path_key(F.col("ticker")), "year": F.year("date")})
+def _price_layout(by_year: bool) -> _Layout:
+    parts = {"ticker_path": path_key(F.col("ticker"))}
+    if by_year:
+        parts["year"] = F.year("date")
+    return _Layout(parts)
 
 
 def _news_layout(buckets: int) -> _Layout:
@@ -110,46 +111,65 @@ def _stored(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def save_prices(path: str, incoming: DataFrame) -> None:
+def save_prices(path: str, incoming: DataFrame, by_year: bool = False) -> None:
     """Merge prices into the table, the last arrival winning per date and ticker.
 
-    The table is split by ticker and year, so a daily batch rewrites the current
-    year of its tickers only.
+    The table is split by ticker. ``by_year`` splits it by year as well, which
+    pays for ticks and not for daily prices: a batch then rewrites the current
+    year of its tickers only. A table stays as it began.
     """
-    spark = incoming.sparkSession
-    if usable(incoming).isEmpty():
-        raise ValueError("Refusing to write: no usable rows (adj_close all null).")
-    layout = _price_layout()
-    batch = layout.add(incoming).where("date is not null")
-    stored = _stored(spark, path)
-    old = None
+    stored = _stored(incoming.sparkSession, path)
     if stored is not None:
         if "ticker_path" not in stored.columns:
             raise ValueError(f"{path} is no price table of this layout.")
+        by_year = "year" in stored.columns
         # partition values come back typed by their looks
         stored = stored.withColumn("ticker_path", F.col("ticker_path").cast("string"))
-        old = layout.touched(stored, batch)
+    layout = _price_layout(by_year)
+    batch = layout.add(incoming).where("date is not null")
+    # one pass over the batch for all checks: a row per partition it touches
+    keys = durable(
+        batch.groupBy(*layout.names).agg(
+            F.count(F.nanvl("adj_close", F.lit(None).cast("double"))).alias("usable"),
+            F.min("ticker").alias("low"),
+            F.max("ticker").alias("high"),
+        )
+    )
+    if keys.where("usable > 0").isEmpty():
+        raise ValueError("Refusing to write: no usable rows (adj_close all null).")
+    old = None if stored is None else layout.touched(stored, keys)
+    names = keys.select("ticker_path", "low", "high")
+    if old is not None:
+        names = names.unionByName(
+            old.select("ticker_path", F.col("ticker").alias("low"), F.col("ticker").alias("high"))
+        )
+    _refuse_shared_paths(names)
     merged = upsert_prices(old, batch)
-    _refuse_shared_paths(batch if old is None else old.unionByName(batch, allowMissingColumns=True))
     layout.write(align(merged, PRICES, layout.names), path, ["date"])
 
 
-def _refuse_shared_paths(rows: DataFrame) -> None:
+def _refuse_shared_paths(names: DataFrame) -> None:
     shared = (
-        rows.groupBy("ticker_path")
-        .agg(F.min("ticker").alias("a"), F.max("ticker").alias("b"))
+        names.groupBy("ticker_path")
+        .agg(F.min("low").alias("a"), F.max("high").alias("b"))
         .where("a <> b")
         .first()
     )
     if shared:
-        raise ValueError(f"tickers {shared.a!r} and {shared.b!r} share the path {shared.ticker_path!r}")
+        raise ValueError(
+            f"tickers {shared.a!r} and {shared.b!r} share the path {shared.ticker_path!r}"
+        )
 
 
-def save_news(path: str, incoming: DataFrame, null_wins: bool = False, buckets: int = _BUCKETS) -> bool:
+def save_news(
+    path: str, incoming: DataFrame, null_wins: bool = False, buckets: int = _BUCKETS
+) -> bool:
     """Merge articles into the table, one row per url; False if there were none.
 
     A url always falls into the same of ``buckets`` partitions. The number is
-    part of the partition column's name; a table keeps the one it began with.
+    part of the partition column's name; a table keeps the one it began with. A
+    batch rewrites the buckets it has urls for, so large tables that take small
+    batches want many.
     """
     if incoming.isEmpty():
         return False
@@ -163,7 +183,9 @@ def save_news(path: str, incoming: DataFrame, null_wins: bool = False, buckets:
     layout = _news_layout(buckets)
     published = to_utc(F.col("published_at"), incoming.schema["published_at"].dataType)
     batch = layout.add(incoming.withColumn("published_at", published))
-    old = None if stored is None else layout.touched(stored, batch)
+    old = None
+    if stored is not None:
+        old = layout.touched(stored, batch.select(*layout.names).distinct())
     merged = upsert_news(old, batch, null_wins)
     layout.write(align(merged, NEWS, layout.names), path, ["url"])
     return True

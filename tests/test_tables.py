@@ -46,14 +46,25 @@ def test_save_prices_merges_and_is_repeatable(spark, tmp_path):
     first = normalize_prices(sample_prices(spark), "^VIX")
     other = normalize_prices(sample_prices(spark), "CL=F")
     save_prices(path, first.unionByName(other))
-    untouched = sorted(os.listdir(f"{path}/ticker_path=CL_F/year=2024"))
+    untouched = sorted(os.listdir(f"{path}/ticker_path=CL_F"))
     changed = first.withColumn("close", F.col("close") + 1)
     for _ in range(2):
         save_prices(path, changed)
         rows = read_price_table(spark, path).where("ticker = '^VIX'").orderBy("date").collect()
         assert [round(r.close, 1) for r in rows] == [2.1, 3.1, 4.1]
     assert read_price_table(spark, path).count() == 6
-    assert sorted(os.listdir(f"{path}/ticker_path=CL_F/year=2024")) == untouched
+    assert sorted(os.listdir(f"{path}/ticker_path=CL_F")) == untouched
+
+
+def test_price_table_by_year(spark, tmp_path):
+    path = str(tmp_path / "prices")
+    rows = [(dt.datetime(y, 1, 1), 1.0, 1.0, "A", 1) for y in (2023, 2024)]
+    save_prices(path, prices(spark, rows), by_year=True)
+    untouched = sorted(os.listdir(f"{path}/ticker_path=A/year=2023"))
+    save_prices(path, prices(spark, [(dt.datetime(2024, 1, 1), 2.0, 2.0, "A", 1)]))
+    got = {r.date.year: r.close for r in read_price_table(spark, path).collect()}
+    assert got == {2023: 1.0, 2024: 2.0}
+    assert sorted(os.listdir(f"{path}/ticker_path=A/year=2023")) == untouched
 
 
 def test_numeric_looking_tickers(spark, tmp_path):
