@@ -7,6 +7,7 @@ commits, so a lost executor costs a task retry and no data. The commit itself is
 not atomic, which calls for one writer per table at a time.
 """
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -40,10 +41,21 @@ def write_training_set(
     df.write.mode("overwrite").parquet(path)
 
 
-def read_price_table(spark: SparkSession, path: str) -> DataFrame:
-    """A price table of this package, or plain parquet files with prices in them."""
+def read_price_table(
+    spark: SparkSession, path: str, tickers: Sequence[str] | None = None
+) -> DataFrame:
+    """A price table of this package, or plain parquet files with prices in them.
+
+    With ``tickers`` only their rows, and of a split table only their folders.
+    """
     raw = spark.read.parquet(path)
-    return raw.drop("ticker_path", "year") if "ticker_path" in raw.columns else raw
+    split = "ticker_path" in raw.columns
+    if tickers is not None and split:
+        folders = [path_key(F.lit(t)) for t in tickers]
+        raw = raw.where(F.col("ticker_path").cast("string").isin(folders))
+    if tickers is not None and "ticker" in raw.columns:
+        raw = raw.where(F.col("ticker").isin(*tickers))
+    return raw.drop("ticker_path", "year") if split else raw
 
 
 def read_news_table(spark: SparkSession, path: str) -> DataFrame:

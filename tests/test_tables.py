@@ -54,6 +54,10 @@ def test_save_prices_merges_and_is_repeatable(spark, tmp_path):
         assert [round(r.close, 1) for r in rows] == [2.1, 3.1, 4.1]
     assert read_price_table(spark, path).count() == 6
     assert sorted(os.listdir(f"{path}/ticker_path=CL_F")) == untouched
+    some = read_price_table(spark, path, ["CL=F"])
+    assert [r.ticker for r in some.select("ticker").distinct().collect()] == ["CL=F"]
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "CL_F" in plan.split("PartitionFilters:")[1].split("]")[0]
 
 
 def test_price_table_by_year(spark, tmp_path):
