@@ -647,15 +647,10 @@ def prices_upserted(spark, sf_dir):
 def price_table_merged(spark, sf_dir):
     path = scratch(spark, "prices")
     for batch in _price_batches(spark, sf_dir):
-        # all arrivals of a batch in one go, the later ones winning inside it
-        tables.save_prices(path, _all_rows(batch))
+        tables.save_prices(path, batch)
     return tables.read_price_table(spark, path)
 
 
-def _all_rows(batch: DataFrame) -> DataFrame:
-    return batch.withColumn("batch_seq", F.lit(1).cast("long"))
-
-
 def _news_batches(spark, sf_dir):
     """Two arrivals of articles, three documents to a url, some without a date."""
     docs = table(spark, sf_dir, "documents")

@@ -3,7 +3,6 @@ import random
 
 import pytest
 from conftest import plan_of
-from pyspark.sql import functions as F
 
 from tapewire.operators.align import asof_join, forward_prices, profile_series
 

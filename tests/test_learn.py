@@ -15,7 +15,7 @@ from tapewire.operators.terms import (
     vocabulary,
     weights_by_term,
 )
-from tapewire.plans.train_baseline import fit_classifier, predict, train_baseline
+from tapewire.plans.train_baseline import predict, train_baseline
 
 TEXTS = ["Oil oil GAS x", "gas élan_1 oil", "", "one", "oil gas gas oil"]
 

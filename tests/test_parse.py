@@ -1,8 +1,6 @@
-import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tapewire.functions.parse import WHITESPACE, iso_or_null, strip, to_number, to_utc
 
