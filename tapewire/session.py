@@ -1,18 +1,20 @@
 """Session settings the jobs rely on, and lineage cutting on shared storage."""
 
-import tempfile
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
     # pandas writes nanosecond timestamps; they arrive as epoch longs, which
     # functions.parse turns back into timestamps.
     "spark.sql.legacy.parquet.nanosAsLong": "true",
 }
 
+#: Named where spark.checkpoint.dir was not given when the session started.
+SHARED_DIR = "tapewire.shared.dir"
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session made elsewhere."""
@@ -22,20 +24,35 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir`` of the session.
-
-    A throw-away local folder is used only where the setting is missing, which
-    is right for local mode alone.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="tapewire-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+    """The folder every executor sees: ``spark.checkpoint.dir`` of the session."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(SHARED_DIR, None)
+    if not folder:
+        raise ValueError(
+            "intermediate tables need a folder that the driver and all executors share: start the session with "
+            f"spark.checkpoint.dir, or set {SHARED_DIR} on it"
+        )
     return folder.rstrip("/")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from the written copy.
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the file system it belongs to."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@dataclass(frozen=True)
+class Stored:
+    """Rows written to the shared folder, until ``drop`` removes them."""
+
+    rows: DataFrame
+    path: str
+
+    def drop(self) -> None:
+        remove(self.rows.sparkSession, self.path)
+
+
+def store(df: DataFrame) -> Stored:
+    """Write ``df`` to the shared folder for several readers.
 
     Cuts the lineage and fixes values that another run might choose differently.
     A written table computes the rows once, where a checkpoint would do so twice,
@@ -43,7 +60,12 @@ def durable(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/rows-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Stored(df.sparkSession.read.schema(df.schema).parquet(path), path)
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``store`` for rows that a returned, not yet computed result goes on reading."""
+    return store(df).rows
 
 
 def spread(scan: DataFrame) -> DataFrame:
