@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tapewire.llm.exact_dedup import duplicate_groups
 from tapewire.llm.line_dedup import dedup_lines
 from tapewire.llm.sharding import shard_documents
+from tapewire.llm.simhash import near_groups
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,3 +62,8 @@ def op5_line_dedup(spark, sf_dir):
     return dedup_lines(documents(spark, sf_dir)).select(
         "row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query()
+def op6_simhash_near_dedup(spark, sf_dir):
+    return near_groups(documents(spark, sf_dir))
