@@ -9,6 +9,7 @@ from tapewire.llm.exact_dedup import duplicate_groups
 from tapewire.llm.line_dedup import dedup_lines
 from tapewire.llm.sharding import shard_documents
 from tapewire.llm.simhash import near_groups
+from tapewire.llm.substring_dedup import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,3 +68,19 @@ def op5_line_dedup(spark, sf_dir):
 @query()
 def op6_simhash_near_dedup(spark, sf_dir):
     return near_groups(documents(spark, sf_dir))
+
+
+@query(r"""
+WITH w AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+') IF x <> ''] AS ws FROM documents),
+     s AS (SELECT doc_id, unnest(range(1, len(ws) - 11)) AS i, ws FROM w WHERE len(ws) >= 13),
+     k AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS win FROM s),
+     m AS (SELECT win, min(doc_id) AS low FROM k GROUP BY win HAVING min(doc_id) < max(doc_id)),
+     c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS pos FROM k JOIN m USING (win) WHERE doc_id > low),
+     p AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w),
+     j AS (SELECT p.doc_id, p.pos, word, c.pos IS NOT NULL AS gone FROM p LEFT JOIN c ON p.doc_id = c.doc_id AND p.pos = c.pos),
+     g AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE gone) AS r, string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT gone) AS kept
+           FROM j GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(r, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN g USING (doc_id)""")
+def op3_substring_dedup(spark, sf_dir):
+    return remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
