@@ -2,9 +2,11 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapewire.llm.bpe import token_digests
 from tapewire.llm.exact_dedup import duplicate_groups
 from tapewire.llm.line_dedup import dedup_lines
 from tapewire.llm.sharding import shard_documents
@@ -33,6 +35,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query()
+def op1_bpe_encode_decode(spark, sf_dir):
+    return token_digests(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query(r"""
 WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS len,
                   regexp_replace(coalesce(text, ''), '[ \t-\r]+', '', 'g') AS content FROM documents),
