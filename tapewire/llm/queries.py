@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tapewire.llm.bpe import token_digests
 from tapewire.llm.exact_dedup import duplicate_groups
+from tapewire.llm.language import identify_languages
 from tapewire.llm.line_dedup import dedup_lines
 from tapewire.llm.sharding import shard_documents
 from tapewire.llm.simhash import near_groups
@@ -91,3 +92,8 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(r, 0)::BIGINT AS n_re
 FROM documents LEFT JOIN g USING (doc_id)""")
 def op3_substring_dedup(spark, sf_dir):
     return remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query()
+def op10_language_id(spark, sf_dir):
+    return identify_languages(documents(spark, sf_dir))
