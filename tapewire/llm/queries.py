@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewire.llm.bpe import token_digests
+from tapewire.llm.contamination import find_items
 from tapewire.llm.exact_dedup import duplicate_groups
 from tapewire.llm.language import identify_languages
 from tapewire.llm.line_dedup import dedup_lines
@@ -97,3 +98,18 @@ def op3_substring_dedup(spark, sf_dir):
 @query()
 def op10_language_id(spark, sf_dir):
     return identify_languages(documents(spark, sf_dir))
+
+
+_WORD_LIST = r"""[x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+') IF x <> '']"""
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, {_WORD_LIST} AS ws FROM documents),
+     b AS (SELECT item_id, {_WORD_LIST} AS ws FROM benchmark),
+     ds AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM d WHERE len(ws) > 0)),
+     bs AS (SELECT DISTINCT item_id, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM b WHERE len(ws) > 0)),
+     n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id),
+     m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN bs USING (s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment FROM m JOIN n USING (item_id) WHERE n_shared * 5 >= n_item * 4""")
+def op8_benchmark_decontamination(spark, sf_dir):
+    return find_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
