@@ -11,6 +11,7 @@ from tapewire.llm.contamination import find_items
 from tapewire.llm.exact_dedup import duplicate_groups
 from tapewire.llm.language import identify_languages
 from tapewire.llm.line_dedup import dedup_lines
+from tapewire.llm.quality import score_quality
 from tapewire.llm.sharding import shard_documents
 from tapewire.llm.simhash import near_groups
 from tapewire.llm.substring_dedup import remove_repeats
@@ -113,3 +114,8 @@ WITH d AS (SELECT doc_id, {_WORD_LIST} AS ws FROM documents),
 SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment FROM m JOIN n USING (item_id) WHERE n_shared * 5 >= n_item * 4""")
 def op8_benchmark_decontamination(spark, sf_dir):
     return find_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query()
+def op7_quality_classifier(spark, sf_dir):
+    return score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
