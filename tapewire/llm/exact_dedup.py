@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapewire.session import store
+
 #: What is deleted before texts are compared: ``[\x20\x09-\x0D]``.
 WHITE_SPACE = "[ \\t-\\r]+"
 SALTS = 16
@@ -52,6 +54,8 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.max("group_size").alias("group_size"),
         F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("two contents under one digest")).cast("long")).alias("clash"),
     )
+    # Written, so that the join has a plain shuffle on both sides and Spark can split a group with very many rows.
+    outcome = store(outcome).rows
     members = local.groupBy("digest", "doc_id", "rank").agg(F.count(F.lit(1)).alias("copies"))
     copy = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")
     return (
