@@ -15,6 +15,7 @@ from tapewire.llm.quality import score_quality
 from tapewire.llm.sharding import shard_documents
 from tapewire.llm.simhash import near_groups
 from tapewire.llm.substring_dedup import remove_repeats
+from tapewire.llm.toxicity import score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -119,3 +120,8 @@ def op8_benchmark_decontamination(spark, sf_dir):
 @query()
 def op7_quality_classifier(spark, sf_dir):
     return score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query()
+def op9_toxicity(spark, sf_dir):
+    return score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
