@@ -165,6 +165,11 @@ def _vocabulary(docs: DataFrame, path: str):
     return docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
 
 
+def _lists(encoded: list[bytes]) -> pa.ListArray:
+    bounds = np.cumsum([0, *(len(x) // 4 for x in encoded)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(encoded), "<u4").astype(np.int32)))
+
+
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids (array of int) of every whole text; ``path`` is the tokenizer file on the driver.
 
@@ -177,11 +182,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
         coder = _coder(path, shared)
         for batch in slices(batches):
             found = [coder.encode(t) for t in batch.column("text").to_pylist()]
-            bounds = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
-            ids = np.frombuffer(b"".join(found), "<u4").astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids))], names=["doc_id", "ids"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(found)], names=["doc_id", "ids"])
 
     return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -199,25 +200,26 @@ def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_
     return encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id long, text string")
 
 
-def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Encode every whole text, decode the ids, and return both as digests: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
-    As ``encode_documents`` followed by ``decode_documents``, without moving the ids.
+    As ``encode_documents`` followed by ``decode_documents``, in one pass; ``with_ids`` adds the ids (array of int).
     """
     shared = _vocabulary(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(path, shared)
         for batch in slices(batches):
-            n, ids_sha, text_sha = [], [], []
-            for text in batch.column("text").to_pylist():
-                ids = coder.encode(text)
-                n.append(len(ids) // 4)
-                ids_sha.append(hashlib.sha256(ids).hexdigest())
-                text_sha.append(hashlib.sha256(coder.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            found = [coder.encode(t) for t in batch.column("text").to_pylist()]
+            columns = {
+                "doc_id": batch.column("doc_id"),
+                "n_tokens": pa.array([len(x) // 4 for x in found], pa.int64()),
+                "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in found], pa.string()),
+                "decoded_sha256": pa.array([hashlib.sha256(coder.decode(x).encode()).hexdigest() for x in found], pa.string()),
+            }
+            if with_ids:
+                columns["ids"] = _lists(found)
+            yield pa.RecordBatch.from_pydict(columns)
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return _texts(docs, id_col, text_col).mapInArrow(run, schema)
