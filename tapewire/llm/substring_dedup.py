@@ -6,6 +6,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,63 +19,115 @@ WINDOW = 13
 _LEAST = -(1 << 63)
 _MOST = (1 << 63) - 1
 
-# Packed: the entries of a run of documents for one bucket. Hits: windows of one row, by value or by place.
-_PACKED = "bucket int, packed binary, doc_id long, text_hash int, places binary"
-_HITS = "doc_id long, text_hash int, bucket int, hashes binary, places binary"
+# Entries: what a chunk, some documents of a task, sends to a bucket, and what the bucket answers.
+_ENTRIES = "bucket int, chunk long, kind string, packed binary"
+_HITS = "doc_id long, text_hash int, hashes binary, places binary"
 
 
-def _batch(names: str, columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in names.split(", ")])
+def _entries(buckets: list[int], chunk: int, kinds: list[str], packed: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(buckets, pa.int32()), pa.array([chunk] * len(buckets), pa.int64()), pa.array(kinds, pa.string()), pa.array(packed, pa.binary())],
+        names=["bucket", "chunk", "kind", "packed"],
+    )
 
 
-def _pack(ids: np.ndarray, rows: np.ndarray, doc: np.ndarray, hashes: np.ndarray, flags: np.ndarray) -> bytes:
-    """Entries sorted by document: the documents, how many entries each has, then the entries."""
-    own, counts = np.unique(doc, return_counts=True)
-    head = struct.pack("<III", len(own), len(hashes), hashes.itemsize)
-    return b"".join(
-        (head, ids[own].tobytes(), rows[own].tobytes(), counts.astype(np.uint32).tobytes(), hashes.tobytes(), np.packbits(flags).tobytes())
-    )
+def _chunk_id(ids: np.ndarray, rows: np.ndarray) -> int:
+    """The same for the same documents, so that a task that runs again sends the same."""
+    return int(np.frombuffer(xxhash.xxh3_64_digest(ids.tobytes() + rows.tobytes()), np.int64)[0])
+
+
+def _pack(numbers: np.ndarray, counts: np.ndarray, *rest: bytes) -> bytes:
+    return b"".join((struct.pack("<II", len(numbers), int(counts.sum())), numbers.astype(np.uint32).tobytes(), counts.astype(np.uint32).tobytes(), *rest))
+
 
+def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Document numbers within the chunk, entries of each, all entries, and where these begin."""
+    n, m = struct.unpack_from("<II", packed)
+    return np.frombuffer(packed, np.uint32, n, 8), np.frombuffer(packed, np.uint32, n, 8 + 4 * n), m, 8 + 8 * n
 
-def _unpack(packed: list[bytes]) -> tuple[np.ndarray, ...]:
-    """ids and text hashes of the documents; document, hash and flag of each entry."""
-    ids, rows, docs, hashes, flags, base = [], [], [], [], [], 0
-    for p in packed:
-        n, m, width = struct.unpack_from("<III", p)
-        at = 12
-        ids.append(np.frombuffer(p, np.int64, n, at))
-        rows.append(np.frombuffer(p, np.int32, n, at := at + 8 * n))
-        counts = np.frombuffer(p, np.uint32, n, at := at + 4 * n)
-        hashes.append(np.frombuffer(p, np.uint64 if width == 8 else np.uint32, m, at := at + 4 * n))
-        flags.append(np.unpackbits(np.frombuffer(p, np.uint8, -(-m // 8), at + width * m), count=m).astype(bool))
-        docs.append(np.repeat(np.arange(base, base + n, dtype=np.int32), counts))
-        base += n
-    return tuple(np.concatenate(x) for x in (ids, rows, docs, hashes, flags))
-
-
-def _requests(ids, rows, doc, hashes, flags, buckets: int, wide: bool) -> Iterator[pa.RecordBatch]:
-    """Entries dealt to buckets by one half of a hash; the other half, or all of it, stays with the entry."""
+
+def _requests(ids: np.ndarray, chunk: int, doc: np.ndarray, hashes: np.ndarray, flags: np.ndarray, buckets: int, wide: bool) -> pa.RecordBatch:
+    """Entries dealt to buckets by one half of a hash; the other half, or all of it, stays with the entry.
+
+    ``doc`` rises. Packed are the documents, their ids, and hash and flag of each entry.
+    """
     bucket = ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    full = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
+    full = np.flatnonzero(cuts[1:] > cuts[:-1]).tolist()
     short = hashes if wide else (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     packed = []
     for b in full:
         at = order[cuts[b] : cuts[b + 1]]
-        packed.append(_pack(ids, rows, doc[at], short[at], flags[at]))
-    n = len(full)
-    yield _batch(_PACKED, [pa.array(full, pa.int32()), pa.array(packed, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())])
-
-
-def _local(ids, rows, places: dict[int, bytes], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Windows already known within the run of documents; any bucket passes them on."""
-    if places:
-        at, n = np.fromiter(places, np.int64, len(places)), len(places)
-        yield _batch(
-            _PACKED,
-            [pa.array((rows[at] % buckets).astype(np.int32)), pa.nulls(n, pa.binary()), pa.array(ids[at]), pa.array(rows[at]), pa.array(list(places.values()), pa.binary())],
-        )
+        own, counts = np.unique(doc[at], return_counts=True)
+        packed.append(_pack(own, counts, ids[own].tobytes(), short[at].tobytes(), np.packbits(flags[at]).tobytes()))
+    return _entries(full, chunk, ["ask"] * len(full), packed)
+
+
+def _local(ids: np.ndarray, rows: np.ndarray, chunk: int, places: dict[int, bytes], buckets: int) -> pa.RecordBatch:
+    """The documents of the chunk, with the windows already known within it; any bucket passes them on."""
+    sizes = np.array([len(places.get(i, b"")) for i in range(len(ids))])
+    packed = _pack(np.arange(len(ids)), sizes, ids.tobytes(), rows.tobytes(), *(places[i] for i in sorted(places)))
+    return _entries([chunk % buckets], chunk, ["known"], [packed])
+
+
+def _answers(table: pa.Table, wide: bool, judge) -> pa.Table:
+    """One bucket: its answer to each chunk names the hits of the chunk's documents by their hashes."""
+    known = table.filter(pc.equal(table.column("kind"), "known"))
+    asks = table.filter(pc.equal(table.column("kind"), "ask"))
+    out = [known]
+    if asks.num_rows:
+        kind = np.uint64 if wide else np.uint32
+        number, of, source, hashes, flags = [], [], [], [], []
+        for i, p in enumerate(asks.column("packed").to_pylist()):
+            own, counts, m, at = _unpack(p)
+            number.append(np.repeat(own, counts))
+            of.append(np.repeat(np.frombuffer(p, np.int64, len(own), at), counts))
+            source.append(np.full(m, i))
+            hashes.append(np.frombuffer(p, kind, m, at := at + 8 * len(own)))
+            flags.append(np.unpackbits(np.frombuffer(p, np.uint8, -(-m // 8), at + hashes[-1].nbytes), count=m).astype(bool))
+        number, of, source, hashes, flags = (np.concatenate(x) for x in (number, of, source, hashes, flags))
+        order, heads, group = _by_hash(hashes)
+        hit = np.sort(order[judge(of[order], flags[order], heads, group)])  # back by chunk and document
+        bucket, chunks, packed = table.column("bucket")[0].as_py(), asks.column("chunk").to_pylist(), []
+        starts = np.searchsorted(source[hit], np.arange(asks.num_rows + 1))
+        full = np.flatnonzero(starts[1:] > starts[:-1]).tolist()
+        for i in full:
+            at = hit[starts[i] : starts[i + 1]]
+            own, counts = np.unique(number[at], return_counts=True)
+            values = hashes[at].astype(np.uint64)
+            packed.append(_pack(own, counts, (values if wide else values | np.uint64(bucket) << np.uint64(32)).tobytes()))
+        out += [_entries([bucket], chunks[i], ["hits"], [p]) for i, p in zip(full, packed, strict=True)]
+    return pa.concat_tables([x if isinstance(x, pa.Table) else pa.Table.from_batches([x]) for x in out])
+
+
+def _by_document(table: pa.Table) -> pa.Table:
+    """The answers to one chunk, dealt out to its documents."""
+    ids, rows, numbers, values, places = None, None, [], [], {}
+    for kind, p in zip(table.column("kind").to_pylist(), table.column("packed").to_pylist(), strict=True):
+        own, counts, m, at = _unpack(p)
+        if kind == "known":
+            n = len(own)
+            ids, rows = np.frombuffer(p, np.int64, n, at), np.frombuffer(p, np.int32, n, at + 8 * n)
+            ends = at + 12 * n + np.cumsum(counts)
+            places = {i: p[ends[i] - counts[i] : ends[i]] for i in np.flatnonzero(counts)}
+        else:
+            numbers.append(np.repeat(own, counts))
+            values.append(np.frombuffer(p, np.uint64, m, at))
+    number = np.concatenate(numbers) if numbers else np.zeros(0, np.uint32)
+    value = np.concatenate(values) if values else np.zeros(0, np.uint64)
+    order = np.argsort(number, kind="stable")
+    number, value = number[order], value[order]
+    own = sorted({*np.unique(number).tolist(), *places})
+    lo, hi = np.searchsorted(number, own), np.searchsorted(number, own, "right")
+    return pa.table(
+        {
+            "doc_id": pa.array(ids[own], pa.int64()),
+            "text_hash": pa.array(rows[own], pa.int32()),
+            "hashes": pa.array([value[a:b].tobytes() for a, b in zip(lo, hi, strict=True)], pa.binary()),
+            "places": pa.array([places.get(i) for i in own], pa.binary()),
+        }
+    )
 
 
 def _bits(w: Words, marked: np.ndarray) -> dict[int, bytes]:
@@ -123,34 +176,17 @@ def _probe(window: int, buckets: int):
             shared = (low < high)[group]
             marked = np.zeros(len(w.start), bool)
             marked[at[order[shared]]] = True
-            yield from _local(ids, rows, _bits(w, marked), buckets)
+            chunk = _chunk_id(ids, rows)
+            yield _local(ids, rows, chunk, _bits(w, marked), buckets)
             # of shared values: the block of the smallest id, and any occurrence of the largest
             block_low = np.minimum.reduceat(np.where(aligned[order], of, _MOST), heads)[group]
             send = ~shared | (aligned[order] & (of == block_low)) | (of == high[group])
             at_send = np.sort(order[send])
-            yield from _requests(ids, rows, doc[at_send], h[at_send], aligned[at_send], buckets, wide=False)
+            yield _requests(ids, chunk, doc[at_send], h[at_send], aligned[at_send], buckets, wide=False)
 
     return run
 
 
-def _hits_of(table: pa.Table, judge) -> pa.Table:
-    known = table.filter(pc.is_null(table.column("packed")))
-    out = [_batch(_HITS, [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (known.column("doc_id"), known.column("text_hash"), known.column("bucket"), pa.nulls(known.num_rows, pa.binary()), known.column("places"))])]
-    packed = table.column("packed").drop_null().to_pylist()
-    if packed:
-        ids, rows, doc, hashes, flags = _unpack(packed)
-        order, heads, group = _by_hash(hashes)
-        hit = order[judge(ids[doc[order]], flags[order], heads, group)]
-        hit = hit[np.argsort(doc[hit], kind="stable")]
-        own, starts = np.unique(doc[hit], return_index=True)
-        found = [x.tobytes() for x in np.split(hashes[hit], starts[1:])] if len(own) else []
-        n = len(own)
-        out.append(
-            _batch(_HITS, [pa.array(ids[own]), pa.array(rows[own]), pa.array(np.full(n, table.column("bucket")[0].as_py(), np.int32)), pa.array(found, pa.binary()), pa.nulls(n, pa.binary())])
-        )
-    return pa.Table.from_batches([b.cast(out[0].schema) for b in out])
-
-
 def _anchored(table: pa.Table) -> pa.Table:
     """Rolling windows equal to a block of a smaller id, and blocks equal to a window of a larger id."""
 
@@ -158,34 +194,36 @@ def _anchored(table: pa.Table) -> pa.Table:
         low = np.minimum.reduceat(np.where(aligned, of, _MOST), heads)
         return (low[group] < of) | (aligned & (np.maximum.reduceat(of, heads)[group] > of))
 
-    return _hits_of(table, judge)
+    return _answers(table, False, judge)
 
 
 def _repeated(table: pa.Table) -> pa.Table:
     """Windows that also begin in a document with a smaller id."""
-    return _hits_of(table, lambda of, _, heads, group: np.minimum.reduceat(of, heads)[group] < of)
+    return _answers(table, True, lambda of, _, heads, group: np.minimum.reduceat(of, heads)[group] < of)
 
 
-def _marked(w: Words, at: np.ndarray, h: np.ndarray, hits, buckets: int, wide: bool) -> np.ndarray:
-    """The windows ``at``, with hashes ``h``, that the hits of their documents name, as a mask over words."""
+def _marked(w: Words, at: np.ndarray, h: np.ndarray, hits: list) -> np.ndarray:
+    """The windows ``at``, with values ``h``, that the hits of their documents name, as a mask over words."""
     marked = np.zeros(len(w.start), bool)
     values, docs = [], []
     for d, own in enumerate(hits):
         for hit in own or ():
-            if hit["places"] is not None:
+            if hit["places"]:
                 lo, hi = w.first[d], w.first[d + 1]
                 marked[lo:hi] |= np.unpackbits(np.frombuffer(hit["places"], np.uint8), count=hi - lo).astype(bool)
-            else:
-                x = np.frombuffer(hit["hashes"], np.uint64 if wide else np.uint32).astype(np.uint64)
-                values.append(x if wide else x | np.uint64(hit["bucket"]) << np.uint64(32))
-                docs.append(np.full(len(x), d))
+            values.append(np.frombuffer(hit["hashes"], np.uint64))
+            docs.append(np.full(len(values[-1]), d))
     if values:
-        own = h if wide else (h & np.uint64(0xFFFFFFFF)) | ((h >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32)
-        tagged = np.concatenate(values) ^ _tag(np.concatenate(docs))
-        marked[at[np.isin(own ^ _tag(w.doc[at]), tagged)]] = True
+        named = np.concatenate(values) ^ _tag(np.concatenate(docs))
+        marked[at[np.isin(h ^ _tag(w.doc[at]), named)]] = True
     return marked
 
 
+def _selecting(h: np.ndarray, buckets: int) -> np.ndarray:
+    """What of a hash the first step keeps: the bucket and 32 bits."""
+    return (h & np.uint64(0xFFFFFFFF)) | ((h >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32)
+
+
 def _tag(doc: np.ndarray) -> np.ndarray:
     """Sets the values of one document apart from those of the others of its batch."""
     return doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -202,7 +240,8 @@ def _extend(window: int, buckets: int):
         for batch in slices(batches):
             w = words(*raw(batch.column("text")))
             hashes = w.hashes()
-            hit = _marked(w, *_anchor_hashes(w, hashes, block), batch.column("hits").to_pylist(), buckets, wide=False)
+            anchors, h = _anchor_hashes(w, hashes, block)
+            hit = _marked(w, anchors, _selecting(h, buckets), batch.column("hits").to_pylist())
             near = np.concatenate([[0], np.cumsum(hit)])
             at = w.windows(window)
             at = at[near[at + window - block + 1] > near[at]]
@@ -215,14 +254,15 @@ def _extend(window: int, buckets: int):
             low = np.minimum.reduceat(of, heads)[group]
             marked = np.zeros(len(w.start), bool)
             marked[at[order[of > low]]] = True
-            yield from _local(ids, rows, _bits(w, marked), buckets)
+            chunk = _chunk_id(ids, rows)
+            yield _local(ids, rows, chunk, _bits(w, marked), buckets)
             asks = np.sort(order[of == low])
-            yield from _requests(ids, rows, doc[asks], h[asks], np.zeros(len(asks), bool), buckets, wide=True)
+            yield _requests(ids, chunk, doc[asks], h[asks], np.zeros(len(asks), bool), buckets, wide=True)
 
     return run
 
 
-def _cut(window: int, buckets: int, names: list[str]):
+def _cut(window: int, names: list[str]):
     """The texts without the words that repeated windows cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +272,7 @@ def _cut(window: int, buckets: int, names: list[str]):
             gone = np.zeros(len(w.start), bool)
             if any(hits):
                 at = w.windows(window)
-                start = _marked(w, at, w.window_hashes(window, at, w.hashes(), seed=1), hits, buckets, wide=True)
+                start = _marked(w, at, w.window_hashes(window, at, w.hashes(), seed=1), hits)
                 cover = np.zeros(len(w.start) + window, np.int64)
                 np.add.at(cover, np.flatnonzero(start), 1)
                 np.add.at(cover, np.flatnonzero(start) + window, -1)
@@ -252,8 +292,11 @@ def _cut(window: int, buckets: int, names: list[str]):
     return run
 
 
-def _grouped(hits: DataFrame) -> DataFrame:
-    return hits.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("bucket", "hashes", "places")).alias("hits"))
+def _met(entries: DataFrame, bucket) -> DataFrame:
+    """The answers of all buckets, by chunk and then by document."""
+    answers = entries.groupBy("bucket").applyInArrow(bucket, _ENTRIES)
+    hits = answers.groupBy("chunk").applyInArrow(_by_document, _HITS)
+    return hits.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("hashes", "places")).alias("hits"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -269,7 +312,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
        repeats, and what they cover goes.
 
     Values that several documents of a task hold are sent once per task, so that a passage of any
-    frequency is a row per task and value in its bucket. Hits return as window values per document.
+    frequency is an entry per chunk of documents in its bucket. Buckets answer chunk by chunk, and the
+    answers are dealt out to documents there.
     Buckets are as many as ``spark.sql.shuffle.partitions``. Hashes have 64 bits beside those of the
     bucket in the second step, which decides; the first only selects.
 
@@ -283,12 +327,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     slim = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("doc_id"), F.hash(text).alias("text_hash"), text.alias("text")
     )
-    probes = slim.mapInArrow(_probe(window, buckets), _PACKED)
-    anchored = store(_grouped(probes.groupBy("bucket").applyInArrow(_anchored, _HITS)))
-    asking = slim.join(anchored.rows, ["doc_id", "text_hash"]).mapInArrow(_extend(window, buckets), _PACKED)
-    repeated = store(_grouped(asking.groupBy("bucket").applyInArrow(_repeated, _HITS)))
+    probes = slim.mapInArrow(_probe(window, buckets), _ENTRIES)
+    anchored = store(_met(probes, _anchored))
+    asking = slim.join(anchored.rows, ["doc_id", "text_hash"]).mapInArrow(_extend(window, buckets), _ENTRIES)
+    repeated = store(_met(asking, _repeated))
     anchored.drop()
     found = slim.join(repeated.rows, ["doc_id", "text_hash"], "left")
     names = ["doc_id", "n_words", "n_removed", "kept"]
-    cut = found.mapInArrow(_cut(window, buckets, names), "doc_id long, n_words long, n_removed long, kept string")
+    cut = found.mapInArrow(_cut(window, names), "doc_id long, n_words long, n_removed long, kept string")
     return cut.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(_LEAST)))
