@@ -9,7 +9,9 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapewire.functions.parse import iso_or_null, to_number, to_utc
 from tapewire.functions.text import CAUSAL, CORRELATIONAL, compose_text, path_key, with_weak_label
@@ -21,8 +23,8 @@ from tapewire.operators.upsert import upsert_news, upsert_prices
 from tapewire.plans.build_dataset import build_dataset, training_set
 from tapewire.plans.news_ingest import ingest_news
 from tapewire.plans.price_ingest import ingest_prices
-from tapewire.plans.train_baseline import train_baseline
-from tapewire.session import configure, durable, shared_dir, spread
+from tapewire.plans.train_baseline import fit_classifier, train_baseline, usable_rows
+from tapewire.session import configure, durable, shared_dir
 from tapewire.sources import landed, tables
 from tapewire.streaming.upserts import stream_news, stream_prices
 
@@ -62,6 +64,11 @@ def _clock_times(df: DataFrame) -> DataFrame:
     )
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal the rows of a test table, one small file, out to all cores."""
+    return scan.repartition(scan.sparkSession.sparkContext.defaultParallelism)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
     return df.withColumns(
@@ -358,6 +365,28 @@ def timestamps_parsed(spark, sf_dir):
     )
 
 
+@query(
+    """
+SELECT o_orderkey, o_orderdate::TIMESTAMP AS day, o_orderdate::TIMESTAMP + INTERVAL '13 hours 5 minutes 9 seconds' AS instant,
+       o_orderdate::TIMESTAMP + INTERVAL '11 hours 5 minutes' AS shifted, NULL::TIMESTAMP AS month_alone,
+       strftime(o_orderdate, '%Y-%m-%dT13:05:09+00:00') AS afternoon, strftime(o_orderdate, '%Y-%m-%dT00:05:00+00:00') AS midnight
+FROM orders"""
+)
+def compact_times_parsed(spark, sf_dir):
+    """Compact ISO dates, twelve-hour clocks, and numbers that are no year."""
+    orders = table(spark, sf_dir, "orders")
+    day, text = F.col("o_orderdate"), T.StringType()
+    return orders.select(
+        "o_orderkey",
+        to_utc(F.date_format(day, "yyyyMMdd"), text).alias("day"),
+        to_utc(F.date_format(day, "yyyyMMdd'T130509Z'"), text).alias("instant"),
+        to_utc(F.date_format(day, "yyyyMMdd'T1305+0200'"), text).alias("shifted"),
+        to_utc(F.date_format(day, "yyyyMM"), text).alias("month_alone"),
+        iso_or_null(F.date_format(day, "M/d/yyyy '1:05:09 PM'")).alias("afternoon"),
+        iso_or_null(F.date_format(day, "MMM d, yyyy '12:05am'")).alias("midnight"),
+    )
+
+
 @query(
     """
 SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT00:00:00+00:00') AS month_name,
@@ -469,12 +498,12 @@ def articles_normalised(spark, sf_dir):
 
 @query(_DELIVERED_SQL)
 def landed_pages_read(spark, sf_dir):
-    """Response pages of one article each, written as JSON and read back."""
+    """Response pages of several articles each, and empty ones, written as JSON and read back."""
     path = scratch(spark, "pages")
-    pages = _delivered(spark, sf_dir).select(
-        F.struct(F.array("article").alias("results")).alias("response")
-    )
-    pages.write.json(path)
+    delivered = _delivered(spark, sf_dir)
+    pages = delivered.groupBy(F.pmod(F.xxhash64("article.webUrl"), F.lit(40)).alias("page")).agg(F.collect_list("article").alias("results"))
+    empty = pages.limit(3).withColumn("results", F.slice("results", 1, 0))
+    pages.union(empty).select(F.struct("results").alias("response")).write.json(path)
     return news_ops.normalize_articles(landed.read_news_payloads(spark, path))
 
 
@@ -554,10 +583,11 @@ def news_newest_page(spark, sf_dir):
 def news_in_time_order(spark, sf_dir):
     """Each article's place in the order of publication, counted range by range."""
     ordered = articles(spark, sf_dir).select("url", "published_at")
-    ranged = ordered.repartitionByRange("published_at", "url").withColumn(
-        "_range", F.spark_partition_id()
+    ranged = durable(
+        tables.in_time_order(ordered)
+        .withColumn("_range", F.spark_partition_id())
+        .withColumn("_place", F.monotonically_increasing_id())
     )
-    ranged = durable(ranged)
     before = (
         ranged.groupBy("_range")
         .count()
@@ -566,7 +596,7 @@ def news_in_time_order(spark, sf_dir):
             F.sum("count").over(Window.orderBy("_range")) - F.col("count"),
         )
     )
-    place = F.row_number().over(Window.partitionBy("_range").orderBy("published_at", "url"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy("_place"))
     # one row per range
     return ranged.join(F.broadcast(before), "_range").select(
         (F.col("_before") + place).alias("place"), "url"
@@ -651,6 +681,23 @@ def price_table_merged(spark, sf_dir):
     return tables.read_price_table(spark, path)
 
 
+@query(
+    """
+SELECT o_orderdate::TIMESTAMP AS date, max(o_totalprice) AS adj_close, lpad((o_custkey % 7)::VARCHAR, 6, '0') AS ticker
+FROM orders WHERE o_custkey % 7 IN (1, 2) GROUP BY ALL"""
+)
+def price_table_of_numbered_tickers(spark, sf_dir):
+    """Tickers that look like numbers, two saves of different days, read by a list of tickers."""
+    orders = table(spark, sf_dir, "orders")
+    prices = orders.groupBy(F.col("o_orderdate").alias("date"), F.lpad((F.col("o_custkey") % 7).cast("string"), 6, "0").alias("ticker")).agg(
+        F.max("o_totalprice").alias("adj_close")
+    )
+    path = scratch(spark, "prices")
+    for odd in (0, 1):
+        tables.save_prices(path, prices.where(F.dayofmonth("date") % 2 == odd))
+    return tables.read_price_table(spark, path, ["000001", "000002"]).select("date", "adj_close", "ticker")
+
+
 def _news_batches(spark, sf_dir):
     """Two arrivals of articles, three documents to a url, some without a date."""
     docs = table(spark, sf_dir, "documents")
@@ -724,8 +771,8 @@ FROM (SELECT date_trunc('day', ts)::TIMESTAMP AS date, value AS v, event_id, eve
 def price_stream_merged(spark, sf_dir):
     raw = (
         spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema)
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(sf_dir)
+        # a pattern, as a stream takes no single file and tables may be folders
+        .parquet(f"{sf_dir}/events.parque?")
     )
     value = F.col("value")
     prices = raw.select(
@@ -751,8 +798,8 @@ SELECT {_NEWS_COLUMNS} FROM (
 def news_stream_merged(spark, sf_dir):
     raw = (
         spark.readStream.schema(spark.read.parquet(f"{sf_dir}/pages.parquet").schema)
-        .option("pathGlobFilter", "pages.parquet")
-        .parquet(sf_dir)
+        # a pattern, as a stream takes no single file and tables may be folders
+        .parquet(f"{sf_dir}/pages.parque?")
     )
     published = F.timestamp_seconds(
         F.lit(_FIRST_SECOND) + F.pmod(F.col("page_id") * F.lit(1000003), F.lit(2880000))
@@ -785,14 +832,26 @@ WHERE date IS NOT NULL AND date >= TIMESTAMP '2023-01-20'
 QUALIFY row_number() OVER (PARTITION BY date, ticker ORDER BY event_id DESC) = 1"""
 )
 def prices_ingested(spark, sf_dir):
-    """A landed csv file of ticks, merged into an empty table."""
-    path, out = scratch(spark, "landed"), scratch(spark, "prices")
-    raw = _raw_prices(spark, sf_dir).orderBy("row_seq").drop("row_seq")
-    raw.coalesce(1).write.option("header", True).option("emptyValue", "").csv(path)
+    """Landed csv files of ticks, with two headers, merged into an empty table."""
+    path, out = _landed_ticks(spark, sf_dir), scratch(spark, "prices")
     ingest_prices(spark, path, out, "view, click,error", "1y", dt.date(2024, 1, 20))
     return tables.read_price_table(spark, out)
 
 
+def _landed_ticks(spark, sf_dir) -> list[str]:
+    """Ticks of one ticker and day share a file, so that the place in the file is the order of arrival."""
+    raw = _raw_prices(spark, sf_dir)
+    paths = []
+    for other in (False, True):
+        rows = raw.where((F.col("ticker") == "click") == F.lit(other))
+        rows = rows.repartition("ticker").sortWithinPartitions("row_seq").drop("row_seq")
+        if other:
+            rows = rows.withColumnRenamed("Date", "Datetime").select(*reversed(rows.withColumnRenamed("Date", "Datetime").columns))
+        paths.append(scratch(spark, "landed"))
+        rows.write.option("header", True).option("emptyValue", "").csv(paths[-1])
+    return paths
+
+
 @query(
     f"""
 SELECT {_NEWS_COLUMNS} FROM ({_DELIVERED_SQL})
@@ -884,6 +943,31 @@ def split_by_class(spark, sf_dir):
     return train.withColumn("is_test", F.lit(False)).unionByName(test.withColumn("is_test", F.lit(True)))
 
 
+@query(
+    """
+WITH c AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang),
+t AS (SELECT sum(n) AS total, ceil(0.2 * sum(n)) AS n_test FROM c),
+x AS (SELECT lang, n, n * (total - n_test)::DOUBLE / total AS exact, total - n_test AS n_train FROM c, t),
+f AS (SELECT *, floor(exact) AS whole, row_number() OVER (ORDER BY floor(exact) - exact, lang) AS place FROM x),
+k AS (SELECT lang, n, (n - whole - CASE WHEN place <= n_train - sum(whole) OVER () THEN 1 ELSE 0 END)::BIGINT AS tests FROM f)
+SELECT lang, n - tests AS train_rows, tests AS test_rows, n - tests AS same_train_rows FROM k"""
+)
+def split_of_repeated_keys(spark, sf_dir):
+    """Twenty keys for all rows; the rows that come out do not hang on the partitions that come in."""
+    docs = table(spark, sf_dir, "documents").select("lang", "source", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")).alias("doc_id"))
+    train, test = stratified_split(docs, "lang", ["source"])
+    again, _ = stratified_split(docs.repartition(7, "doc_id"), "lang", ["source"])
+    one = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test"))).unionByName(again.withColumn("part", F.lit("again")))
+    counted = one.groupBy("lang", "source", "doc_id").agg(
+        *[F.count_if(F.col("part") == p).alias(p) for p in ("train", "test", "again")]
+    )
+    return counted.groupBy("lang").agg(
+        F.sum("train").alias("train_rows"),
+        F.sum("test").alias("test_rows"),
+        F.sum(F.least("train", "again")).alias("same_train_rows"),
+    )
+
+
 def _scored(spark, sf_dir):
     """Document quality as the truth, length and language as a fixed prediction."""
     docs = table(spark, sf_dir, "documents")
@@ -928,11 +1012,50 @@ def _quality_rows(spark, sf_dir):
     )
 
 
-@query()
+_QUALITY_SPLIT_SQL = """
+r AS (SELECT doc_id, quality::VARCHAR AS label FROM labels JOIN documents USING (doc_id)),
+c AS (SELECT label, count(*) AS n FROM r GROUP BY label),
+t AS (SELECT sum(n) AS total, ceil(0.2 * sum(n)) AS n_test FROM c),
+x AS (SELECT label, n, n * (total - n_test)::DOUBLE / total AS exact, total - n_test AS n_train FROM c, t),
+f AS (SELECT *, floor(exact) AS whole, row_number() OVER (ORDER BY floor(exact) - exact, label) AS place FROM x),
+k AS (SELECT label, n - whole - CASE WHEN place <= n_train - sum(whole) OVER () THEN 1 ELSE 0 END AS tests FROM f),
+e AS (SELECT doc_id, label FROM r JOIN k USING (label)
+      QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5('42:' || doc_id)) <= any_value(tests) OVER (PARTITION BY label))"""
+
+
+@query(f"WITH {_QUALITY_SPLIT_SQL} SELECT doc_id, label, true AS known_class FROM e")
+def baseline_test_rows(spark, sf_dir):
+    """The test rows, each with a class of the training rows predicted for it."""
+    predictions = baseline_predictions(spark, sf_dir)
+    return predictions.select("doc_id", "label", F.col("prediction").isin("0", "1").alias("known_class"))
+
+
+@query(
+    f"""WITH {_QUALITY_SPLIT_SQL}
+SELECT label AS name, count(*)::BIGINT AS support FROM e GROUP BY label
+UNION ALL SELECT unnest(['accuracy', 'macro avg', 'weighted avg']), count(*)::BIGINT FROM e"""
+)
+def baseline_supports(spark, sf_dir):
+    return baseline_report(spark, sf_dir).select("name", "support")
+
+
+@query("SELECT 0 AS class, true AS small UNION ALL SELECT 1, true")
+def baseline_gradient(spark, sf_dir):
+    """At the fitted weights the penalised loss is flat: its largest slope, by class of the rows, is small.
+
+    The slope of the intercept is the mean of prediction less label; it must vanish over both classes.
+    """
+    rows = usable_rows(_quality_rows(spark, sf_dir))
+    train, _ = stratified_split(rows, "label", ["doc_id"])
+    fitted = fit_classifier(train)
+    scored = fitted.transform(train).select("label", vector_to_array("probability")[1].alias("p"))
+    slope = scored.agg(F.abs(F.avg(F.col("p") - F.col("label").cast("double"))).alias("slope"))
+    return slope.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("class"), (F.col("slope") < 0.01).alias("small"))
+
+
 def baseline_predictions(spark, sf_dir):
     return train_baseline(_quality_rows(spark, sf_dir), ["doc_id"]).predictions
 
 
-@query()
 def baseline_report(spark, sf_dir):
     return train_baseline(_quality_rows(spark, sf_dir), ["doc_id"]).report

@@ -14,24 +14,19 @@ WHITESPACE = (
 # With these characters alone, Spark's own parser takes exactly the decimal
 # numbers; the many words for a missing value fall through.
 _NUMBER = r"^(?:[\s0-9.,+\-eE]+|\s*[+-]?(?i:inf|infinity)\s*)$"
-_STARTS_WITH_YEAR = r"^\s*\d{4}"
+# A year has four digits: what follows is its end or a hyphen, or month and day without one.
+_STARTS_WITH_YEAR = r"^\s*\d{4}(?:\s*$|-)"
+_COMPACT = r"^\s*(\d{4})(\d{2})(\d{2})(?:[T ]?(\d{2}):?(\d{2})(?::?(\d{2})(\.\d+)?)?\s*(Z|[+-]\d{2}(?::?\d{2})?)?)?\s*$"
 
-# Free-format dates, tried in this order after the ISO forms.
+# Free-format dates, tried in this order after the ISO forms, each with or without a time.
+_TIMES = "[ h:mm:ss a][ h:mm a][ HH:mm:ss]"
 _DATE_FORMATS = (
-    "yyyy/M/d",
-    "yyyy/M/d HH:mm:ss",
-    "M/d/yyyy",
-    "M/d/yyyy HH:mm:ss",
-    "MMM d yyyy",
-    "MMM d yyyy HH:mm:ss",
-    "MMMM d yyyy",
-    "MMMM d yyyy HH:mm:ss",
-    "d MMM yyyy",
-    "d MMM yyyy HH:mm:ss",
-    "d MMM yyyy HH:mm:ss z",
-    "d MMM yyyy HH:mm:ss Z",
-    "d MMMM yyyy",
-    "d MMMM yyyy HH:mm:ss",
+    f"yyyy/M/d{_TIMES}",
+    f"M/d/yyyy{_TIMES}",
+    f"MMM d yyyy{_TIMES}",
+    f"MMMM d yyyy{_TIMES}",
+    f"d MMM yyyy{_TIMES}[ z][ Z]",
+    f"d MMMM yyyy{_TIMES}",
 )
 
 
@@ -69,7 +64,7 @@ def to_utc(c: Column, dtype: T.DataType) -> Column:
     start with a year (a bare time would mean "today") is NULL.
     """
     if isinstance(dtype, T.StringType):
-        return F.when(c.rlike(_STARTS_WITH_YEAR), F.try_to_timestamp(c))
+        return iso_instant(c)
     if isinstance(dtype, T.LongType):
         return _from_nanos(c)
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType, T.NullType)):
@@ -77,6 +72,16 @@ def to_utc(c: Column, dtype: T.DataType) -> Column:
     return F.lit(None).cast("timestamp")
 
 
+def iso_instant(c: Column) -> Column:
+    """Timestamp from ISO text with hyphens, or in the compact form (``20240105T120000Z``)."""
+    spelled = F.regexp_replace(c, _COMPACT, "$1-$2-$3 $4:$5:$6$7$8")
+    # parts that are not there leave their colons behind
+    spelled = F.regexp_replace(F.regexp_replace(spelled, r" ::$", ""), r":(Z|[+-]\d{2}(?::?\d{2})?)?$", ":00$1")
+    spelled = F.regexp_replace(spelled, r"([+-]\d{2})(\d{2})$", "$1:$2")
+    compact = F.when(c.rlike(_COMPACT), F.try_to_timestamp(spelled))
+    return F.coalesce(F.when(c.rlike(_STARTS_WITH_YEAR), F.try_to_timestamp(c)), compact)
+
+
 def _from_nanos(c: Column) -> Column:
     return F.timestamp_micros(F.floor(c.cast("decimal(20,0)") / F.lit(1000)).cast("long"))
 
@@ -88,8 +93,10 @@ def parse_instant(c: Column) -> Column:
     plain = F.regexp_replace(
         F.replace(text, F.lit(","), F.lit("")), r"^(?i:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?\s+", ""
     )
-    iso = F.when(text.rlike(_STARTS_WITH_YEAR), F.try_to_timestamp(text))
-    return F.coalesce(iso, *[F.try_to_timestamp(plain, F.lit(f)) for f in _DATE_FORMATS])
+    # "3:05PM" and "3:05 pm" alike
+    plain = F.regexp_replace(plain, r"(?i)(\d)\s*([ap])\.?m\.?$", "$1 $2M")
+    plain = F.when(plain.rlike(r"(?i) [ap]m$"), F.upper(plain)).otherwise(plain)
+    return F.coalesce(iso_instant(text), *[F.try_to_timestamp(plain, F.lit(f)) for f in _DATE_FORMATS])
 
 
 def iso_utc(ts: Column) -> Column:

@@ -1,13 +1,14 @@
 """Text composition, phrase labels and keyword matching as column expressions."""
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tapewire.functions.parse import strip
+from tapewire.functions.parse import missing_if_nan, strip
 from tapewire.schemas import TEXT_PARTS
 
 # The default phrase lists.
@@ -27,15 +28,25 @@ CORRELATIONAL = (
 )
 
 
-def compose_text(columns: Iterable[str], parts: Sequence[str] = TEXT_PARTS) -> Column:
+def compose_text(
+    columns: Iterable[str], parts: Sequence[str] = TEXT_PARTS, types: Mapping[str, T.DataType] | None = None
+) -> Column:
     """Join the text parts with one space, a missing part counting as empty.
 
     ``columns`` are the columns at hand; parts that are not among them are empty
-    too. Empty parts keep their separator, outer whitespace goes.
+    too, and so is NaN in a part that ``types`` says is a floating number. Empty
+    parts keep their separator, outer whitespace goes.
     """
-    have = set(columns)
-    empty = F.lit("")
-    values = [F.coalesce(F.col(p).cast("string"), empty) if p in have else empty for p in parts]
+    have, empty = set(columns), F.lit("")
+
+    def value(part: str) -> Column:
+        if part not in have:
+            return empty
+        floating = isinstance((types or {}).get(part), (T.DoubleType, T.FloatType))
+        c = missing_if_nan(F.col(part)) if floating else F.col(part)
+        return F.coalesce(c.cast("string"), empty)
+
+    values = [value(p) for p in parts]
     return strip(F.concat_ws(" ", *values))
 
 

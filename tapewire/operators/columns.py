@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def require_columns(df: DataFrame, required: Iterable[str], name: str) -> None:
-    missing = sorted(set(required) - set(df.columns))
-    if missing:
-        raise ValueError(f"{name} missing required columns: {missing}")
+def require_columns(df: DataFrame, required: Iterable[str], what: str) -> None:
+    """Each of the columns must be there, by its exact name."""
+    for name in required:
+        first_present(df, [name], what)
 
 
 def first_present(df: DataFrame, names: Sequence[str], what: str) -> str:

@@ -1,6 +1,7 @@
 """Price normalisation, look-back and ticker filters, price series."""
 
 import datetime as dt
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,7 +73,7 @@ def in_period(prices: DataFrame, period: str, anchor: dt.date | Column) -> DataF
 
 def parse_tickers(tickers: str) -> list[str]:
     """``"SPY, CL=F,,^VIX"`` to ``["SPY", "CL=F", "^VIX"]``."""
-    return [t.strip() for t in tickers.split(",") if t.strip()]
+    return re.findall(r"[^\s,](?:[^,]*[^\s,])?", tickers)
 
 
 def with_tickers(prices: DataFrame, tickers: str) -> DataFrame:

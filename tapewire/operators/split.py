@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapewire.session import durable
+from tapewire.session import store
 
 _PREFIX = 4  # hex digits of the first histogram: 65,536 buckets per class
 
@@ -38,71 +38,92 @@ def stratified_split(
     test_fraction: float = 0.2,
     seed: int = 42,
 ) -> tuple[DataFrame, DataFrame]:
-    """Train and test rows. Which rows go where depends on ``key`` and ``seed`` alone.
+    """Train and test rows. Which rows go where depends on the rows and ``seed``, not on their order or partitions.
 
     Rows are ordered by a hash of the key. Per class the hash of the last test
     row is found by counting, without sorting or moving the rows: a histogram of
     hash prefixes points to one bucket, and only the hashes in there are ranked.
     The split is then a comparison with that hash.
 
-    Rows that share a key share a hash. Where a class must be cut between such
-    rows, the rows are written out once with a number each, so that the sizes
-    stay exact.
+    Where a class must be cut between rows of one key, these are ordered by a hash
+    of the whole row in the same way. Rows that are equal in every column are
+    interchangeable: at the cut they are counted, and dealt out by number.
     """
     parts = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key]
-    hashed = df.where(F.col(label).isNotNull()).withColumn(
-        "_order", F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))
-    )
-    cuts = _cuts(hashed, label, test_fraction)
-    if not all(c["exact"] for c in cuts):
-        unique = F.concat("_order", F.md5(F.monotonically_increasing_id().cast("string")))
-        hashed = durable(hashed.withColumn("_order", unique))
-        cuts = _cuts(hashed, label, test_fraction)
-    table = df.sparkSession.createDataFrame(
-        [(c["class"], c["cut"]) for c in cuts], f"_class {df.schema[label].dataType.simpleString()}, _cut string"
+    whole = [F.to_json(c) if "map<" in t else F.col(c) for c, t in df.dtypes]
+    hashed = df.where(F.col(label).isNotNull()).withColumns(
+        {
+            "_order": F.md5(F.concat_ws(":", F.lit(str(seed)), *parts)),
+            "_within": F.md5(F.concat_ws(":", F.lit(str(seed)), F.xxhash64(*whole).cast("string"), F.hash(*whole).cast("string"))),
+        }
     )
+    spark, kind = df.sparkSession, df.schema[label].dataType.simpleString()
+    slim = hashed.select(F.col(label).alias("class"), "_order", "_within")
+    cuts = {c["class"]: c for c in _cuts(slim, kind, "_order", lambda counts: class_sizes(counts, test_fraction))}
+    if not cuts:
+        raise ValueError("no labelled rows to split.")
+    inner = {c: v["take"] for c, v in cuts.items() if v["take"] < v["n"]}
+    second = {}
+    if inner:
+        at = spark.createDataFrame([(c, cuts[c]["cut"]) for c in inner], f"class {kind}, _order string")
+        second = {c["class"]: c for c in _cuts(slim.join(F.broadcast(at), ["class", "_order"]), kind, "_within", lambda _: inner)}
     # one row per class
+    table = spark.createDataFrame(
+        [
+            (c, v["cut"], *((x["cut"], x["take"], x["n"]) if (x := second.get(c)) else ("~", 1, 1)))
+            for c, v in cuts.items()
+        ],
+        f"_class {kind}, _cut string, _cut_within string, _take long, _n long",
+    )
     marked = hashed.join(F.broadcast(table), F.col(label) == F.col("_class"))
-    is_test = F.col("_order") <= F.col("_cut")
-    return (
-        marked.where(~is_test).select(*df.columns),
-        marked.where(is_test).select(*df.columns),
+    last = (F.col("_order") == F.col("_cut")) & (F.col("_within") == F.col("_cut_within"))
+    parted = last & (F.col("_take") < F.col("_n"))
+    is_test = (F.col("_order") < F.col("_cut")) | ((F.col("_order") == F.col("_cut")) & (F.col("_within") <= F.col("_cut_within")))
+    copies = (
+        marked.where(parted)
+        .groupBy("_class", "_order", "_within", "_take")
+        .agg(F.first(F.struct(*df.columns)).alias("row"), F.count(F.lit(1)).alias("n"))
     )
 
+    def dealt(number):
+        return copies.select("row", F.explode(F.sequence(F.lit(1).cast("long"), number))).select("row.*")
+
+    train, test = marked.where(~is_test).select(*df.columns), marked.where(is_test & ~parted).select(*df.columns)
+    if any(c["take"] < c["n"] for c in second.values()):
+        train, test = train.union(dealt(F.col("n") - F.col("_take"))), test.union(dealt(F.col("_take")))
+    return train, test
+
 
-def _cuts(hashed: DataFrame, label: str, test_fraction: float) -> list[dict]:
-    spark = hashed.sparkSession
-    slim = hashed.select(F.col(label).alias("class"), "_order")
+def _cuts(rows: DataFrame, kind: str, order: str, sizes) -> list[dict]:
+    """Per class the hash at which the wanted number of rows is reached.
+
+    ``take`` of the ``n`` rows with that hash are needed. ``sizes`` makes the wanted
+    numbers from the rows of each class.
+    """
+    spark = rows.sparkSession
     # small, and read twice
-    prefixes = durable(
-        slim.groupBy("class", F.substring("_order", 1, _PREFIX).alias("prefix")).agg(
-            F.count(F.lit(1)).alias("n")
-        )
+    prefixes = store(
+        rows.groupBy("class", F.substring(order, 1, _PREFIX).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
     )
-    counts = {r["class"]: r["n"] for r in prefixes.groupBy("class").agg(F.sum("n").alias("n")).collect()}
+    counts = {r["class"]: r["n"] for r in prefixes.rows.groupBy("class").agg(F.sum("n").alias("n")).collect()}
     if not counts:
-        raise ValueError("no labelled rows to split.")
-    kind = hashed.schema[label].dataType.simpleString()
-    wanted = spark.createDataFrame(
-        list(class_sizes(counts, test_fraction).items()), f"class {kind}, wanted long"
-    )
+        return []
+    wanted = spark.createDataFrame(list(sizes(counts).items()), f"class {kind}, wanted long")
     bucket = (
-        _running(prefixes, "prefix")
+        _running(prefixes.rows, "prefix")
         .join(F.broadcast(wanted), "class")
         .where("upto >= wanted and upto - n < wanted")
         .select("class", "prefix", (F.col("wanted") - F.col("upto") + F.col("n")).alias("rest"))
     )
     inside = (
-        slim.withColumn("prefix", F.substring("_order", 1, _PREFIX))
+        rows.withColumn("prefix", F.substring(order, 1, _PREFIX))
         .join(F.broadcast(bucket), ["class", "prefix"])
-        .groupBy("class", "_order", "rest")
+        .groupBy("class", order, "rest")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    found = _running(inside, "_order").where("upto >= rest and upto - n < rest")
-    return [
-        {"class": r["class"], "cut": r["_order"], "exact": r["upto"] == r["rest"]}
-        for r in found.collect()
-    ]
+    found = _running(inside, order).where("upto >= rest and upto - n < rest").collect()
+    prefixes.drop()
+    return [{"class": r["class"], "cut": r[order], "n": r["n"], "take": r["rest"] - r["upto"] + r["n"]} for r in found]
 
 
 def _running(counts: DataFrame, order: str) -> DataFrame:

@@ -4,10 +4,11 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.ml import Transformer
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, SQLTransformer
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 # A token is a run of two or more word characters.
@@ -107,6 +108,13 @@ class TfidfWeights:
         return df
 
 
+def _counter(spark: SparkSession, terms: Sequence[str]) -> CountVectorizerModel:
+    """The model that counts ``terms``, handed to the JVM as one text. No token has a line feed in it."""
+    words = spark._jvm.org.apache.commons.lang3.StringUtils.split("\n".join(terms), "\n")
+    model = CountVectorizerModel._create_from_java_class("org.apache.spark.ml.feature.CountVectorizerModel", words)
+    return model.setInputCol("terms").setOutputCol("_tf")
+
+
 def fit_tfidf(
     documents: DataFrame,
     text: str = "text",
@@ -121,16 +129,17 @@ def fit_tfidf(
     itself must.
     """
     to_terms = terms_transformer(text, "terms", ngram_range)
-    n = documents.count()
-    chosen = vocabulary(to_terms.transform(documents.select(text)), "terms", min_df, max_features)
-    rows = chosen.collect()
+    seen = Observation("documents")
+    counted = to_terms.transform(documents.select(text).observe(seen, F.count(F.lit(1)).alias("n")))
+    rows = vocabulary(counted, "terms", min_df, max_features).collect()
+    n = seen.get["n"]
     if not rows:
         raise ValueError("no terms remain: every term is in fewer documents than min_df.")
     terms = [r["term"] for r in rows]
     idf = [smooth_idf(n, r["df"]) for r in rows]
     stages = [
         to_terms,
-        CountVectorizerModel.from_vocabulary(terms, inputCol="terms", outputCol="_tf"),
+        _counter(documents.sparkSession, terms),
         ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="_tf", outputCol="_tfidf"),
         Normalizer(p=2.0, inputCol="_tfidf", outputCol=output),
     ]
@@ -138,17 +147,20 @@ def fit_tfidf(
 
 
 def weights_by_term(
-    weights: TfidfWeights, documents: DataFrame, key: str, output: str = "features"
+    weights: TfidfWeights, documents: DataFrame, key: str, text: str = "text", ngram_range: tuple[int, int] = NGRAM_RANGE
 ) -> DataFrame:
-    """The weight vectors as rows ``key, term, weight``."""
+    """The weights of each document as rows ``key, term, weight``, by joining its terms with the vocabulary.
+
+    As the vectors of ``weights.transform`` hold them, without building these.
+    """
     spark = documents.sparkSession
-    index = spark.createDataFrame(list(enumerate(weights.terms)), "index int, term string")
-    vector = F.unwrap_udt(output)
-    cells = F.arrays_zip(vector["indices"].alias("index"), vector["values"].alias("weight"))
-    return (
-        weights.transform(documents)
-        .select(key, F.inline_outer(cells).alias("index", "weight"))
-        # as many rows as the vocabulary, which has a fixed upper limit
-        .join(F.broadcast(index), "index")
-        .select(key, "term", "weight")
-    )
+    frame = pd.DataFrame({"term": list(weights.terms), "idf": list(weights.idf)})
+    # as many rows as the vocabulary, which has a fixed upper limit
+    known = F.broadcast(spark.createDataFrame(frame, "term string, idf double"))
+    terms = terms_transformer(text, "terms", ngram_range).transform(documents.select(key, text))
+    rows = terms.select(F.monotonically_increasing_id().alias("_row"), key, "terms")
+    met = rows.select("_row", key, F.explode_outer("terms").alias("term")).join(known, "term")
+    counted = met.groupBy("_row", key, "term", "idf").agg(F.count(F.lit(1)).alias("tf"))
+    own = counted.withColumn("raw", F.col("tf") * F.col("idf"))
+    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("_row")))
+    return own.select(key, "term", (F.col("raw") / length).alias("weight"))

@@ -13,7 +13,7 @@ from tapewire.operators.news import (
     published_between,
 )
 from tapewire.sources.landed import read_news_payloads
-from tapewire.sources.tables import save_news
+from tapewire.sources.tables import BUCKETS, save_news
 
 
 def landed_news(
@@ -43,7 +43,11 @@ def ingest_news(
     pages: int | None = None,
     page_size: int = 100,
     multi_line: bool = False,
+    buckets: int = BUCKETS,
 ) -> bool:
-    """Merge the landed pages into the table at ``out``; False if no article matched."""
+    """Merge the landed pages into the table at ``out``; False if no article matched.
+
+    ``buckets`` is for a table that does not exist yet.
+    """
     articles = read_news_payloads(spark, landed, multi_line)
-    return save_news(out, landed_news(articles, query, since, until, pages, page_size))
+    return save_news(out, landed_news(articles, query, since, until, pages, page_size), buckets=buckets)

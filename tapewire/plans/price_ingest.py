@@ -1,13 +1,18 @@
 """Landed price downloads into the price table."""
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tapewire.operators.bars import INTERVALS
+from tapewire.operators.bars import INTERVALS, ohlcv_bars
+from tapewire.operators.columns import union_batches
 from tapewire.operators.prices import in_period, normalize_prices, parse_tickers, with_tickers
 from tapewire.operators.report import ingest_report
-from tapewire.sources.landed import read_price_downloads
+from tapewire.operators.upsert import latest_prices
+from tapewire.session import store
+from tapewire.sources.landed import price_download_groups
 from tapewire.sources.tables import save_prices
 
 DEFAULT_TICKERS = "SPY,CL=F,^VIX"
@@ -22,7 +27,9 @@ def landed_prices(
 ) -> DataFrame:
     """Normalised prices of the tickers in the look-back period up to ``anchor``.
 
-    Hourly data keep the hour as their date; everything else is dated by day.
+    Hourly data keep the hour as their date; everything else is dated by day. For weeks and
+    months the days are put together in bars, dated by their first day; of a day that was
+    landed more than once the last arrival counts.
     """
     if interval not in INTERVALS:
         raise ValueError(f"interval must be one of {list(INTERVALS)}, not {interval!r}")
@@ -33,6 +40,8 @@ def landed_prices(
         if anchor is None:
             raise ValueError("a look-back period needs the day it ends on.")
         prices = in_period(prices, period, anchor)
+    if interval in ("1wk", "1mo"):
+        prices = ohlcv_bars(latest_prices(union_batches(None, prices)), interval)
     return prices
 
 
@@ -47,12 +56,27 @@ def ingest_prices(
 ) -> tuple[DataFrame, list[str]]:
     """Merge the landed files into the table at ``out``.
 
-    Returns the report per ticker written, and the requested tickers for which
-    nothing usable was landed.
+    Files may differ in their headers; each kind is normalised by itself. The files are
+    parsed once, into the shared folder. The look-back is everything unless ``period``
+    and ``anchor`` say otherwise, since a run over landed files has no "today".
+
+    Returns the report per ticker written, and the requested tickers that were not: nothing
+    usable was landed for them, or they would share a folder with another ticker.
     """
-    prices = landed_prices(read_price_downloads(spark, landed), tickers, period, anchor, interval)
-    save_prices(out, prices)
-    report = ingest_report(prices)
+    if interval not in INTERVALS:
+        raise ValueError(f"interval must be one of {list(INTERVALS)}, not {interval!r}")
+    kinds = [
+        landed_prices(raw, tickers, period, anchor, interval="1h" if interval == "1h" else "1d")
+        for raw in price_download_groups(spark, landed)
+    ]
+    if not kinds:
+        raise ValueError(f"no price files in {landed}.")
+    prices = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), kinds)
+    if interval in ("1wk", "1mo"):
+        prices = ohlcv_bars(latest_prices(union_batches(None, prices)), interval)
+    arrived = store(prices).rows
+    left_out = save_prices(out, arrived, skip_shared=True)
+    report = ingest_report(arrived.where(~F.col("ticker").isin(left_out)))
     wanted = parse_tickers(tickers)
     # no more rows than tickers were asked for
     written = {r["ticker"] for r in report.select("ticker").collect()}

@@ -97,7 +97,9 @@ def train_baseline(
     **settings,
 ) -> Baseline:
     """Split, fit, predict and report. ``settings`` are those of fit_classifier."""
-    train, test = stratified_split(usable_rows(data), "label", key, test_fraction, seed)
+    # Written once: the split, the vocabulary, the fit and the prediction each read them.
+    rows = durable(usable_rows(data))
+    train, test = stratified_split(rows, "label", key, test_fraction, seed)
     model = fit_classifier(train, **settings)
     # Written out: the report reads them too, and a filter on the prediction
     # would otherwise be pushed through the model and evaluate it again.

@@ -66,14 +66,3 @@ def store(df: DataFrame) -> Stored:
 def durable(df: DataFrame) -> DataFrame:
     """``store`` for rows that a returned, not yet computed result goes on reading."""
     return store(df).rows
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Deal the rows of a table out to all cores if it comes in fewer splits.
-
-    For reads straight from files. Spark cuts files into splits of 4 MB at the
-    least, so this moves a few megabytes per core at most; larger tables stay
-    as they are.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

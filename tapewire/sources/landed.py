@@ -1,10 +1,15 @@
 """Readers for landed downloads: price files and news response pages."""
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapewire.schemas import PAYLOAD
 
+_BROKEN = "_unreadable"
+
 
 def read_price_downloads(
     spark: SparkSession, path: str | list[str], ticker_pattern: str = r"^(?:prices_)?(.+)\.csv"
@@ -22,22 +27,51 @@ def read_price_downloads(
     meta = F.col("_metadata")
     out = raw.withColumn("row_seq", _arrival(F.monotonically_increasing_id()))
     if "ticker" not in [c.lower() for c in raw.columns]:
-        # file names come percent-encoded; a plus sign in them is a plus sign
-        name = F.url_decode(F.replace(meta["file_name"], F.lit("+"), F.lit("%2B")))
-        out = out.withColumn("ticker", F.regexp_extract(name, ticker_pattern, 1))
+        out = out.withColumn("ticker", F.regexp_extract(_plain(meta["file_name"]), ticker_pattern, 1))
     return out
 
 
+def price_download_groups(spark: SparkSession, path: str | list[str]) -> list[DataFrame]:
+    """Landed OHLCV files as one frame, as of ``read_price_downloads``, for each header that occurs.
+
+    The first line of every file is looked up in one pass over the text; a file's name
+    and header are all that reaches the driver.
+    """
+    meta = F.col("_metadata")
+    lines = spark.read.text(path).select(
+        _plain(meta["file_path"]).alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"), "value"
+    )
+    heads = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "at").alias("header")).collect()
+    files: dict[str, list[str]] = {}
+    for row in heads:
+        files.setdefault(row["header"].strip(), []).append(row["file"])
+    # names are no patterns
+    named = {h: [re.sub(r"([][{}*?\\])", r"\\\1", f) for f in sorted(own)] for h, own in files.items()}
+    return [read_price_downloads(spark, named[h]) for h in sorted(named)]
+
+
+def _plain(name):
+    """File names come percent-encoded; a plus sign in them is a plus sign."""
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+
+
 def read_news_payloads(
     spark: SparkSession, path: str | list[str], multi_line: bool = False
 ) -> DataFrame:
     """Landed response pages (JSON) to one row per article, with ``row_seq``.
 
-    Pages without a response or without results give no rows.
+    Pages without a response or without results give no rows. A page that is no
+    JSON, such as a truncated one, stops the job with the name of its file; so
+    does one spread over several lines, unless ``multi_line`` is set.
     """
-    pages = spark.read.schema(PAYLOAD).json(path, multiLine=multi_line)
+    pages = spark.read.schema(T.StructType([*PAYLOAD.fields, T.StructField(_BROKEN, T.StringType())])).json(
+        path, multiLine=multi_line, columnNameOfCorruptRecord=_BROKEN
+    )
+    meta = F.col("_metadata")
+    refusal = F.raise_error(F.concat(F.lit("news page that cannot be read as JSON, in "), meta["file_path"]))
+    readable = F.when(F.col(_BROKEN).isNotNull(), refusal.cast("boolean")).otherwise(F.lit(True))
     return explode_payloads(
-        pages.select("response", _arrival(F.monotonically_increasing_id()).alias("_page"))
+        pages.where(readable).select("response", _arrival(F.monotonically_increasing_id()).alias("_page"))
     )
 
 

@@ -1,32 +1,41 @@
 """Stored tables: prices by ticker, news by url bucket, training sets.
 
-Both keyed tables are merged on write: the partitions an incoming batch touches
-are read, merged with the batch and replaced (dynamic partition overwrite); the
-rest of the table is neither read nor written. Files are replaced when the job
-commits, so a lost executor costs a task retry and no data. The commit itself is
-not atomic, which calls for one writer per table at a time.
+Both keyed tables are merged on write. The partitions an incoming batch touches
+are read, merged with the batch and written to a folder beside the table; the
+rest of the table is neither read nor written. When all new files are there,
+each touched partition is moved in, and the old one out, by renaming. A job that
+fails before that leaves the table as it was, and a failing move puts the moved
+partitions back. Two writers of one table at a time are not provided for.
 """
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
+from pyspark.sql import types as T
 
 from tapewire.functions.parse import to_utc
 from tapewire.functions.text import path_key
 from tapewire.operators.columns import align
 from tapewire.operators.upsert import upsert_news, upsert_prices
 from tapewire.schemas import NEWS, PRICES
-from tapewire.session import durable, spread
+from tapewire.session import store
 
-_LISTED_PARTITIONS = 10_000
-_BUCKETS = 256
+BUCKETS = 256
+_BUCKET_COLUMN = "url_bucket_of_"
 
 
 def read_training_set(spark: SparkSession, path: str) -> DataFrame:
-    return spread(spark.read.parquet(path))
+    return spark.read.parquet(path)
+
+
+def in_time_order(df: DataFrame, time: str = "published_at", tie: str = "url") -> DataFrame:
+    """Rows in ascending order of time over all partitions, many with the same time included."""
+    order = [c for c in (time, tie) if c in df.columns]
+    return df.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def write_training_set(
@@ -34,13 +43,23 @@ def write_training_set(
 ) -> None:
     """Write the rows, by publication time if ``ordered``; ``watch`` gets ``metrics``."""
     if ordered:
-        df = df.repartitionByRange("published_at").sortWithinPartitions("published_at")
+        df = in_time_order(df)
     if watch is not None:
         # after the ranges, for which Spark reads the rows an extra time
         df = df.observe(watch, *metrics)
     df.write.mode("overwrite").parquet(path)
 
 
+def _read_split(spark: SparkSession, path: str, folders: Sequence[str] | None = None) -> DataFrame:
+    """Parquet files with partition folders; ticker paths are text, whatever they look like."""
+    found = spark.read.parquet(path).schema
+    schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == "ticker_path" else f.dataType) for f in found])
+    reader = spark.read.schema(schema)
+    if folders is None:
+        return reader.parquet(path)
+    return reader.option("basePath", path).parquet(*[f"{path.rstrip('/')}/{f}" for f in folders])
+
+
 def read_price_table(
     spark: SparkSession, path: str, tickers: Sequence[str] | None = None
 ) -> DataFrame:
@@ -48,11 +67,10 @@ def read_price_table(
 
     With ``tickers`` only their rows, and of a split table only their folders.
     """
-    raw = spark.read.parquet(path)
+    raw = _read_split(spark, path)
     split = "ticker_path" in raw.columns
     if tickers is not None and split:
-        folders = [path_key(F.lit(t)) for t in tickers]
-        raw = raw.where(F.col("ticker_path").cast("string").isin(folders))
+        raw = raw.where(F.col("ticker_path").isin([path_key(F.lit(t)) for t in tickers]))
     if tickers is not None and "ticker" in raw.columns:
         raw = raw.where(F.col("ticker").isin(*tickers))
     return raw.drop("ticker_path", "year") if split else raw
@@ -60,8 +78,8 @@ def read_price_table(
 
 def read_news_table(spark: SparkSession, path: str) -> DataFrame:
     """A news table of this package, or plain parquet files with articles in them."""
-    raw = spread(spark.read.parquet(path))
-    return raw.drop(*[c for c in raw.columns if c.startswith("url_bucket_of_")])
+    raw = spark.read.parquet(path)
+    return raw.drop(*[c for c in raw.columns if c.startswith(_BUCKET_COLUMN)])
 
 
 @dataclass(frozen=True)
@@ -77,30 +95,86 @@ class _Layout:
     def names(self) -> list[str]:
         return list(self.parts)
 
-    def touched(self, stored: DataFrame, keys: DataFrame) -> DataFrame:
-        """Stored rows of the partitions listed in ``keys``, one row each.
-
-        Up to some thousand partitions are named in the filter, so that the
-        others are not read. For more, the semi join decides; its right side is
-        no longer than the list of partitions.
-        """
-        label = F.concat_ws("\x1f", *[F.col(n).cast("string") for n in self.names])
-        some = [r[0] for r in keys.select(label).limit(_LISTED_PARTITIONS + 1).collect()]
-        if len(some) <= _LISTED_PARTITIONS:
-            return stored.where(label.isin(some))
-        return stored.join(keys.select(*self.names), self.names, "left_semi")
+    def folder(self, spark: SparkSession, row: T.Row) -> str:
+        escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        return "/".join(f"{n}={escape(str(row[n]))}" for n in self.names)
 
     def write(self, df: DataFrame, path: str, sort: list[str]) -> None:
         (
             df.hint("rebalance", *[F.col(n) for n in self.names])
             .sortWithinPartitions(*self.names, *sort)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*self.names)
+            .write.partitionBy(*self.names)
             .parquet(path)
         )
 
 
+class _Folders:
+    """Renames on the file system of a table."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.of = spark._jvm.org.apache.hadoop.fs.Path
+        self.fs = self.of(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def exists(self, path: str) -> bool:
+        return self.fs.exists(self.of(path))
+
+    def move(self, old: str, new: str) -> None:
+        self.fs.mkdirs(self.of(new).getParent())
+        if not self.fs.rename(self.of(old), self.of(new)):
+            raise OSError(f"{old} could not be moved to {new}")
+
+    def remove(self, path: str) -> None:
+        self.fs.delete(self.of(path), True)
+
+
+def replace_folder(spark: SparkSession, new: str, path: str) -> None:
+    """Put a written folder in place of another, which goes only after that."""
+    disk, path = _Folders(spark, path), path.rstrip("/")
+    old = f"{new}-old"
+    if disk.exists(path):
+        disk.move(path, old)
+    disk.move(new, path)
+    disk.remove(old)
+
+
+def _replace(spark: SparkSession, path: str, new: str, folders: list[str]) -> None:
+    """Put the partitions of ``new`` in place of those of the table; one that is not in ``new`` has no rows left."""
+    disk, old, moves = _Folders(spark, path), f"{new}-old", []
+    try:
+        for folder in folders:
+            for source, target in ((f"{path}/{folder}", f"{old}/{folder}"), (f"{new}/{folder}", f"{path}/{folder}")):
+                if disk.exists(source):
+                    disk.move(source, target)
+                    moves.append((source, target))
+    except Exception:
+        for source, target in reversed(moves):
+            disk.move(target, source)
+        raise
+    finally:
+        disk.remove(new)
+    disk.remove(old)
+
+
+def _merge_into(path: str, layout: _Layout, keys: list[T.Row], merge, schema: T.StructType, sort: list[str]) -> None:
+    """Rewrite the partitions that ``keys`` list. ``merge`` gets the rows stored in them, or None.
+
+    The list of touched partitions is on the driver, since each is moved by name.
+    """
+    spark = SparkSession.getActiveSession()
+    path = path.rstrip("/")
+    disk = _Folders(spark, path)
+    folders = [layout.folder(spark, k) for k in keys]
+    there = [f for f in folders if disk.exists(f"{path}/{f}")]
+    old = _read_split(spark, path, there) if there else None
+    new = f"{path}.incoming-{uuid.uuid4().hex}"
+    try:
+        layout.write(align(merge(old), schema, layout.names), new, sort)
+    except Exception:
+        disk.remove(new)
+        raise
+    _replace(spark, path, new, folders)
+
+
 def _price_layout(by_year: bool) -> _Layout:
     parts = {"ticker_path": path_key(F.col("ticker"))}
     if by_year:
@@ -110,94 +184,103 @@ def _price_layout(by_year: bool) -> _Layout:
 
 def _news_layout(buckets: int) -> _Layout:
     bucket = F.pmod(F.xxhash64("url"), F.lit(buckets)).cast("int")
-    return _Layout({f"url_bucket_of_{buckets}": bucket})
+    return _Layout({f"{_BUCKET_COLUMN}{buckets}": bucket})
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
-    """The stored table, or None where there is none. An unreadable one raises."""
+def _columns_of(spark: SparkSession, path: str) -> list[str] | None:
+    """Columns of the stored table, or None where there is none. An unreadable one raises."""
     try:
-        return spark.read.option("basePath", path).parquet(path)
+        return spark.read.parquet(path).columns
     except AnalysisException as e:
         if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
 
 
-def save_prices(path: str, incoming: DataFrame, by_year: bool = False) -> None:
+def save_prices(path: str, incoming: DataFrame, by_year: bool = False, skip_shared: bool = False) -> list[str]:
     """Merge prices into the table, the last arrival winning per date and ticker.
 
     The table is split by ticker. ``by_year`` splits it by year as well, which
     pays for ticks and not for daily prices: a batch then rewrites the current
     year of its tickers only. A table stays as it began.
+
+    Rows without a ticker are refused, and so are tickers that would share a
+    folder with others, unless ``skip_shared`` leaves these out; their names are
+    returned.
     """
-    stored = _stored(incoming.sparkSession, path)
-    if stored is not None:
-        if "ticker_path" not in stored.columns:
+    spark = incoming.sparkSession
+    columns = _columns_of(spark, path)
+    if columns is not None:
+        if "ticker_path" not in columns:
             raise ValueError(f"{path} is no price table of this layout.")
-        by_year = "year" in stored.columns
-        # partition values come back typed by their looks
-        stored = stored.withColumn("ticker_path", F.col("ticker_path").cast("string"))
+        by_year = "year" in columns
     layout = _price_layout(by_year)
-    batch = layout.add(incoming).where("date is not null")
-    # one pass over the batch for all checks: a row per partition it touches
-    keys = durable(
-        batch.groupBy(*layout.names).agg(
-            F.count(F.nanvl("adj_close", F.lit(None).cast("double"))).alias("usable"),
-            F.min("ticker").alias("low"),
-            F.max("ticker").alias("high"),
-        )
-    )
-    if keys.where("usable > 0").isEmpty():
-        raise ValueError("Refusing to write: no usable rows (adj_close all null).")
-    old = None if stored is None else layout.touched(stored, keys)
-    names = keys.select("ticker_path", "low", "high")
-    if old is not None:
-        names = names.unionByName(
-            old.select("ticker_path", F.col("ticker").alias("low"), F.col("ticker").alias("high"))
-        )
-    _refuse_shared_paths(names)
-    merged = upsert_prices(old, batch)
-    layout.write(align(merged, PRICES, layout.names), path, ["date"])
-
-
-def _refuse_shared_paths(names: DataFrame) -> None:
-    shared = (
-        names.groupBy("ticker_path")
-        .agg(F.min("low").alias("a"), F.max("high").alias("b"))
-        .where("a <> b")
-        .first()
-    )
+    arrived = store(layout.add(incoming).where("date is not null"))
+    try:
+        return _save_prices(spark, path, layout, arrived.rows, columns is not None, skip_shared)
+    finally:
+        arrived.drop()
+
+
+def _save_prices(spark, path: str, layout: _Layout, batch: DataFrame, exists: bool, skip_shared: bool) -> list[str]:
+    keys = batch.groupBy(*layout.names).agg(
+        F.count(F.nanvl("adj_close", F.lit(None).cast("double"))).alias("usable"),
+        F.count_if(F.col("ticker").isNull()).alias("nameless"),
+        F.min("ticker").alias("low"),
+        F.max("ticker").alias("high"),
+    ).collect()  # a row per partition to be rewritten
+    if any(k["nameless"] for k in keys):
+        raise ValueError("price rows without a ticker cannot be stored.")
+    shared = _shared_paths(spark, path, keys, exists)
+    if shared and not skip_shared:
+        raise ValueError("; ".join(f"tickers {a!r} and {b!r} share the path {p!r}" for p, (a, b) in sorted(shared.items())))
+    left_out = sorted({n for p in shared for k in keys if k["ticker_path"] == p for n in (k["low"], k["high"])})
+    keys = [k for k in keys if k["ticker_path"] not in shared]
+    if not any(k["usable"] for k in keys):
+        raise ValueError("none of these prices has an adjusted close; nothing was stored.")
     if shared:
-        raise ValueError(
-            f"tickers {shared.a!r} and {shared.b!r} share the path {shared.ticker_path!r}"
-        )
+        batch = batch.where(~F.col("ticker_path").isin(sorted(shared)))
+    _merge_into(path, layout, keys, lambda old: upsert_prices(old, batch), PRICES, ["date"])
+    return left_out
+
+
+def _shared_paths(spark, path: str, keys: list, exists: bool) -> dict[str, tuple[str, str]]:
+    """Paths that more than one ticker falls on, in the batch or with what is stored."""
+    names: dict[str, set[str]] = {}
+    for k in keys:
+        names.setdefault(k["ticker_path"], set()).update((k["low"], k["high"]))
+    if exists:
+        stored = _read_split(spark, path).where(F.col("ticker_path").isin(sorted(names)))
+        for r in stored.groupBy("ticker_path").agg(F.min("ticker").alias("low"), F.max("ticker").alias("high")).collect():
+            names[r["ticker_path"]].update((r["low"], r["high"]))
+    return {p: (min(n), max(n)) for p, n in names.items() if len(n) > 1}
 
 
 def save_news(
-    path: str, incoming: DataFrame, null_wins: bool = False, buckets: int = _BUCKETS
+    path: str, incoming: DataFrame, null_wins: bool = False, buckets: int = BUCKETS
 ) -> bool:
     """Merge articles into the table, one row per url; False if there were none.
 
     A url always falls into the same of ``buckets`` partitions. The number is
     part of the partition column's name; a table keeps the one it began with. A
     batch rewrites the buckets it has urls for, so large tables that take small
-    batches want many.
+    batches want many: about as many as rewrite files of a hundred megabytes.
     """
-    if incoming.isEmpty():
-        return False
     spark = incoming.sparkSession
-    stored = _stored(spark, path)
-    if stored is not None:
-        names = [c for c in stored.columns if c.startswith("url_bucket_of_")]
+    columns = _columns_of(spark, path)
+    if columns is not None:
+        names = [c for c in columns if c.startswith(_BUCKET_COLUMN)]
         if not names:
             raise ValueError(f"{path} is no news table of this layout.")
         buckets = int(names[0].rsplit("_", 1)[1])
     layout = _news_layout(buckets)
     published = to_utc(F.col("published_at"), incoming.schema["published_at"].dataType)
-    batch = layout.add(incoming.withColumn("published_at", published))
-    old = None
-    if stored is not None:
-        old = layout.touched(stored, batch.select(*layout.names).distinct())
-    merged = upsert_news(old, batch, null_wins)
-    layout.write(align(merged, NEWS, layout.names), path, ["url"])
-    return True
+    arrived = store(layout.add(incoming.withColumn("published_at", published)))
+    try:
+        keys = arrived.rows.select(*layout.names).distinct().collect()  # at most as many as buckets
+        if not keys:
+            return False
+        _merge_into(path, layout, keys, lambda old: upsert_news(old, arrived.rows, null_wins), NEWS, ["url"])
+        return True
+    finally:
+        arrived.drop()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from tapewire.operators.prices import usable
-from tapewire.sources.tables import save_news, save_prices
+from tapewire.sources.tables import BUCKETS, save_news, save_prices
 
 
 def stream_prices(
@@ -33,13 +33,18 @@ def stream_news(
     checkpoint: str,
     trigger: dict | None = None,
     null_wins: bool = False,
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
-    """Keep the news table at ``path`` current with a stream of flat articles."""
+    """Keep the news table at ``path`` current with a stream of flat articles.
+
+    Each micro-batch rewrites the buckets it has urls for; a table that grows large wants
+    more ``buckets`` from the start.
+    """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            save_news(path, batch, null_wins)
+            save_news(path, batch, null_wins, buckets)
         finally:
             batch.unpersist()
 

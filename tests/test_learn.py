@@ -95,10 +95,14 @@ def test_split_is_exact_and_repeatable(spark):
 
 def test_split_between_copies(spark):
     """Nearly all rows share one key, yet the sizes are exact and no row is lost."""
-    data = rows(spark).withColumn("url", F.when(F.col("url") < 290, F.lit(0)).otherwise(F.col("url")))
-    train, test = stratified_split(data)
-    assert {r.label: r["count"] for r in test.groupBy("label").count().collect()} == {"a": 20, "b": 40}
-    assert train.count() == 240
+    data = rows(spark).withColumn("n", F.col("url") % 11).withColumn("url", F.when(F.col("url") < 290, F.lit(0)).otherwise(F.col("url")))
+    tests = []
+    for parts in (2, 7):
+        train, test = stratified_split(data.repartition(parts, "n"))
+        assert {r.label: r["count"] for r in test.groupBy("label").count().collect()} == {"a": 20, "b": 40}
+        assert train.count() == 240
+        tests.append(sorted(tuple(r) for r in test.collect()))
+    assert tests[0] == tests[1]
 
 
 def test_report(spark):

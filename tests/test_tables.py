@@ -32,7 +32,7 @@ def test_price_upsert_last_wins(spark):
     first = normalize_prices(sample_prices(spark), "SPY")
     bumped = first.withColumn("close", F.when(F.dayofmonth("date") == 1, F.col("close") + 1).otherwise(F.col("close")))
     rows = upsert_prices(first, bumped).orderBy("date").collect()
-    assert len(rows) == 3 and rows[0].close == pytest.approx(2.1)
+    assert len(rows) == 3 and rows[0].close == 72.5
 
 
 def test_price_upsert_unusable_arrival(spark):
@@ -51,7 +51,7 @@ def test_save_prices_merges_and_is_repeatable(spark, tmp_path):
     for _ in range(2):
         save_prices(path, changed)
         rows = read_price_table(spark, path).where("ticker = '^VIX'").orderBy("date").collect()
-        assert [round(r.close, 1) for r in rows] == [2.1, 3.1, 4.1]
+        assert [r.close for r in rows] == [72.5, 70.0, 75.25]
     assert read_price_table(spark, path).count() == 6
     assert sorted(os.listdir(f"{path}/ticker_path=CL_F")) == untouched
     some = read_price_table(spark, path, ["CL=F"])
@@ -82,7 +82,7 @@ def test_numeric_looking_tickers(spark, tmp_path):
 def test_refusals(spark, tmp_path):
     path = str(tmp_path / "prices")
     day = dt.datetime(2024, 1, 1)
-    with pytest.raises(ValueError, match="no usable rows"):
+    with pytest.raises(ValueError, match="adjusted close"):
         save_prices(path, prices(spark, [(day, None, 1.0, "A", 1)]))
     save_prices(path, prices(spark, [(day, 1.0, 1.0, "CL=F", 1)]))
     with pytest.raises(ValueError, match="share the path"):
@@ -123,23 +123,24 @@ def test_news_ingest(spark, tmp_path):
     assert ingest_news(spark, str(landed), out, "nothing") is False
 
 
-CSV = "Date,Open,High,Low,Close,Adj Close,Volume\n2024-01-01,1,1.5,.5,1.1,1.05,10\n2024-01-02,2,2.5,1.5,2.1,{},20\n"
+CSV = "Date,Open,High,Low,Close,Adj Close,Volume\n2024-03-04,71,72,69,71.5,70.5,41\n2024-03-05,70,71,68,69,{},53\n"
 
 
 def test_price_ingest(spark, tmp_path):
     landed, out = tmp_path / "landed", str(tmp_path / "prices")
     landed.mkdir()
-    (landed / "prices_SPY.csv").write_text(CSV.format("2.05"))
+    (landed / "prices_SPY.csv").write_text(CSV.format("68"))
     (landed / "^VIX.csv").write_text(CSV.format("None"))
     report, absent = ingest_prices(spark, str(landed), out, "SPY, ^VIX,CL=F")
     assert absent == ["CL=F"]
     assert {r.ticker: r.rows for r in report.collect()} == {"SPY": 2, "^VIX": 1}
     assert read_price_table(spark, out).count() == 3
-    (landed / "other.csv").write_text("Date,Close\n2024-01-01,1\n")
-    # files of other tickers are skipped by name, a differing header is refused
-    ingest_prices(spark, str(landed), out, "SPY")
-    with pytest.raises(Exception, match="FAILED_READ_FILE"):
-        ingest_prices(spark, str(landed), out, "SPY,other")
+    (landed / "other.csv").write_text("adj close,Datetime\n12.5,2024-03-06\n")
+    (landed / "^VIX%3D.csv").write_text("Date,Adj Close\n2024-03-06,9\n")
+    # each header is read by itself
+    report, absent = ingest_prices(spark, str(landed), out, "SPY,other,none")
+    assert absent == ["none"] and {r.ticker: r.rows for r in report.collect()} == {"SPY": 2, "other": 1}
+    assert read_price_table(spark, out, ["other"]).first().adj_close == 12.5
     with pytest.raises(ValueError):
         landed_prices(sample_prices(spark), interval="5m")
 
@@ -157,18 +158,18 @@ def test_build_dataset(spark, tmp_path):
         "spy_t0", "spy_t1", "delta_1d", "spy_t3", "delta_3d",
     ]
     row = df.first()
-    assert (row.label, row.spy_t0, row.spy_t1, row.spy_t3) == ("causal", 1.05, 2.05, None)
-    assert row.delta_1d == pytest.approx(1.0) and row.delta_3d is None
+    assert (row.label, row.spy_t0, row.spy_t1, row.spy_t3) == ("causal", 70.5, 68.0, None)
+    assert row.delta_1d == -2.5 and row.delta_3d is None
 
-    with pytest.raises(RuntimeError, match="No labeled news"):
+    with pytest.raises(RuntimeError, match="no article has both"):
         build_dataset(spark, news, table, out, causal=[], correlational=[])
     assert read_training_set(spark, out).count() == 1
-    with pytest.raises(RuntimeError, match="No price rows"):
+    with pytest.raises(RuntimeError, match="no usable row"):
         training_set(sample_news(spark), normalize_prices(sample_prices(spark), "SPY").where("false"))
     two = normalize_prices(sample_prices(spark), "A").unionByName(normalize_prices(sample_prices(spark), "B"))
     with pytest.raises(ValueError, match="2 tickers"):
         training_set(sample_news(spark), two)
-    assert training_set(sample_news(spark, [causal]), two, ticker="B").first().spy_t0 == 1.05
+    assert training_set(sample_news(spark, [causal]), two, ticker="B").first().spy_t0 == 70.5
 
 
 def test_streams_repeat_safely(spark, tmp_path):
@@ -200,3 +201,88 @@ def test_upsert_shrinks_keys_before_the_shuffle(spark):
     first = normalize_prices(sample_prices(spark), "SPY")
     plan = upsert_prices(first, first)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_numbered_tickers_keep_their_history(spark, tmp_path):
+    path = str(tmp_path / "prices")
+    for day in (1, 2):
+        save_prices(path, prices(spark, [(dt.datetime(2024, 1, day), 1.0 * day, 1.0, t, 1) for t in ("000001", "1")]))
+    assert read_price_table(spark, path).count() == 4
+    assert [r.adj_close for r in read_price_table(spark, path, ["000001"]).orderBy("date").collect()] == [1.0, 2.0]
+
+
+def test_prices_without_a_ticker_are_refused(spark, tmp_path):
+    path = str(tmp_path / "prices")
+    save_prices(path, prices(spark, [(dt.datetime(2024, 1, 1), 1.0, 1.0, "A", 1)]))
+    with pytest.raises(ValueError, match="without a ticker"):
+        save_prices(path, prices(spark, [(dt.datetime(2024, 1, 2), 1.0, 1.0, t, 1) for t in ("A", None)]))
+    assert read_price_table(spark, path).count() == 1
+
+
+def test_partition_that_loses_its_last_row_goes(spark, tmp_path):
+    path = str(tmp_path / "prices")
+    rows = [(dt.datetime(y, 1, 1), 1.0, 1.0, "A", 1) for y in (2023, 2024)]
+    save_prices(path, prices(spark, rows), by_year=True)
+    save_prices(path, prices(spark, [(dt.datetime(2023, 1, 1), None, 2.0, "A", 1), (dt.datetime(2024, 1, 2), 1.0, 1.0, "A", 1)]))
+    assert sorted(r.date.isoformat()[:10] for r in read_price_table(spark, path).collect()) == ["2024-01-01", "2024-01-02"]
+    assert os.listdir(tmp_path) == ["prices"]
+
+
+def test_failed_save_leaves_the_table(spark, tmp_path):
+    path = str(tmp_path / "prices")
+    save_prices(path, prices(spark, [(dt.datetime(2024, 1, 1), 1.0, 1.0, "A", 1)]))
+    before = sorted(os.listdir(f"{path}/ticker_path=A"))
+    bad = prices(spark, [(dt.datetime(2024, 1, 2), 1.0, 1.0, "A", 1)]).withColumn("adj_close", F.raise_error(F.lit("lost")).cast("double"))
+    with pytest.raises(Exception, match="lost"):
+        save_prices(path, bad)
+    assert sorted(os.listdir(f"{path}/ticker_path=A")) == before and os.listdir(tmp_path) == ["prices"]
+
+
+def test_tickers_that_share_a_path_do_not_stop_the_others(spark, tmp_path):
+    path = str(tmp_path / "prices")
+    day = dt.datetime(2024, 1, 1)
+    assert save_prices(path, prices(spark, [(day, 1.0, 1.0, t, 1) for t in ("CL=F", "CL/F", "SPY")]), skip_shared=True) == ["CL/F", "CL=F"]
+    assert [r.ticker for r in read_price_table(spark, path).collect()] == ["SPY"]
+
+
+def test_weekly_ingest(spark, tmp_path):
+    landed, out = tmp_path / "landed", str(tmp_path / "prices")
+    landed.mkdir()
+    (landed / "SPY.csv").write_text("Date,Open,High,Low,Close,Adj Close,Volume\n2024-03-04,71,72,69,71.5,70.5,41\n2024-03-08,70,75,68,69,68,53\n2024-03-11,1,2,1,2,2,7\n")
+    ingest_prices(spark, str(landed), out, "SPY", interval="1wk")
+    got = [(str(r.date)[:10], r.open, r.high, r.low, r.close, r.volume) for r in read_price_table(spark, out).orderBy("date").collect()]
+    assert got == [("2024-03-04", 71.0, 75.0, 68.0, 69.0, 94.0), ("2024-03-11", 1.0, 2.0, 1.0, 2.0, 7.0)]
+
+
+def test_unreadable_pages_are_refused(spark, tmp_path):
+    landed = tmp_path / "landed"
+    landed.mkdir()
+    page = json.dumps({"response": {"results": ITEMS}})
+    (landed / "a.json").write_text(page)
+    (landed / "b.json").write_text(page[: len(page) // 2])
+    with pytest.raises(Exception, match=r"cannot be read as JSON, in .*b\.json"):
+        ingest_news(spark, str(landed), str(tmp_path / "news"), None)
+    assert os.listdir(tmp_path) == ["landed"]
+    (landed / "b.json").write_text(json.dumps({"response": {"results": ITEMS[:1]}}, indent=2))
+    with pytest.raises(Exception, match="cannot be read"):
+        ingest_news(spark, str(landed), str(tmp_path / "news"), None)
+    assert ingest_news(spark, str(landed), str(tmp_path / "news"), None, multi_line=True, buckets=4)
+    assert read_news_table(spark, str(tmp_path / "news")).count() == 2
+
+
+def test_prices_without_a_ticker_column(spark):
+    plain = normalize_prices(sample_prices(spark), "SPY").drop("ticker")
+    causal = {**ITEMS[0], "fields": {"headline": "Prices fell because of X"}}
+    assert training_set(sample_news(spark, [causal]), plain, ticker="SPY").first().spy_t0 == 70.5
+
+
+def test_shared_folder(spark, tmp_path, monkeypatch):
+    from tapewire import session
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(type("S", (), {"conf": type("C", (), {"get": staticmethod(lambda k, d=None: None)})})())
+    monkeypatch.setattr(session, "shared_dir", lambda s: str(tmp_path / "shared"))
+    stored = session.store(spark.range(3))
+    assert stored.rows.count() == 3 and len(os.listdir(tmp_path / "shared")) == 1
+    stored.drop()
+    assert os.listdir(tmp_path / "shared") == []
