@@ -250,6 +250,33 @@ def asof_join_merged(spark, sf_dir):
     return _asof_ticks(spark, sf_dir, broadcast_bytes=0)
 
 
+_CROWDED = "CASE WHEN event_id % 20 = 0 THEN ts ELSE {hour} END"
+
+_ASOF_CROWDED_SQL = _ASOF_TICKS_SQL.replace(
+    "FROM events WINDOW",
+    "FROM (SELECT * REPLACE ("
+    + _CROWDED.format(hour="TIMESTAMP '2024-01-05 12:00:00' + to_microseconds((event_id * 7919) % 3600000000)")
+    + " AS ts) FROM events) WINDOW",
+).replace(_PUBLISHED_SQL, f"CASE WHEN doc_id % 3 = 0 THEN {_PUBLISHED_SQL} ELSE TIMESTAMP '2024-01-05 12:00:00' + to_microseconds((doc_id * 104729) % 3600000000) END")
+
+
+@query(_ASOF_CROWDED_SQL)
+def asof_join_crowded(spark, sf_dir):
+    """Nineteen of twenty ticks, and two of three events, within one hour; small tasks."""
+    noon = F.lit("2024-01-05 12:00:00").cast("timestamp")
+
+    def within_hour(n):
+        return F.timestamp_micros(F.unix_micros(noon) + F.pmod(n, F.lit(3_600_000_000)))
+
+    rows = ticks(spark, sf_dir)
+    date = "date" if "date" in rows.columns else "ts"
+    rows = rows.withColumn(date, F.when(F.col("event_id") % 20 == 0, F.col(date)).otherwise(within_hour(F.col("event_id") * 7919)))
+    prices = price_ops.price_series(rows, ("ticker", "event_id"))
+    events = _named_events(spark, sf_dir)
+    events = events.withColumn("ts", F.when(F.col("doc_id") % 3 == 0, F.col("ts")).otherwise(within_hour(F.col("doc_id") * 104729)))
+    return asof_join(events, prices, (1, 5), ["ticker"], ["event_id"], broadcast_bytes=0, rows_per_task=500)
+
+
 @query(
     """
 SELECT o.o_orderkey, o.o_orderdate AS ts, s.o_totalprice AS t0, s.t2

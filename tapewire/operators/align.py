@@ -6,9 +6,9 @@ interval they fall into.
 
 * Where the prepared prices are small (their size is computed, not guessed),
   they are broadcast, keyed by time cell. Events are not shuffled or sorted.
-* Otherwise events and prices meet in time-cell groups that are merged in time
-  order, so the work grows with rows and not with pairs. Cells that many events
-  fall into are salted.
+* Otherwise events and prices meet in blocks of consecutive prices that are merged
+  in time order, so the work grows with rows and not with pairs. Blocks that many
+  events fall into are salted.
 """
 
 import math
@@ -38,6 +38,7 @@ class SeriesProfile:
     densest: int  # rows of the fullest day of a series
     first_day: int  # days since 1970-01-01
     last_day: int
+    name_bytes: int  # of the longest series name
 
     @property
     def span_days(self) -> int:
@@ -63,6 +64,7 @@ def profile_series(prices: DataFrame, by: Sequence[str] = ()) -> SeriesProfile:
         F.coalesce(F.max("densest"), F.lit(0)),
         F.coalesce(F.min("first"), F.lit(0)),
         F.coalesce(F.max("last"), F.lit(0)),
+        F.coalesce(F.max(F.octet_length(F.concat_ws("", *[F.col(c).cast("string") for c in by]))), F.lit(0)) + 16 * len(by),
     )
     return SeriesProfile(*total.first())
 
@@ -90,8 +92,9 @@ def forward_prices(
 
     A series that one task can hold is one window partition. If any is longer,
     the rows are range-partitioned by series and time, which splits long series
-    evenly wherever their rows crowd, and only the rows next to a range edge
-    meet those of the following range.
+    evenly wherever their rows crowd. Rows next to a range edge find the rows after
+    them by their number in the series, so that no task gets a whole series, even
+    with horizons as long as a range.
     """
     horizons = check_horizons(horizons)
     profile = profile or profile_series(prices, by)
@@ -100,10 +103,7 @@ def forward_prices(
         return _with_leads(prices, Window.partitionBy(*by).orderBy(*order), horizons)
 
     reach = max([1, *horizons])
-    ranges = math.ceil(profile.rows / rows_per_task)
-    ranged = durable(
-        prices.repartitionByRange(ranges, *by, *order).withColumn("_range", F.spark_partition_id())
-    )
+    ranged = durable(_by_ranges(prices, [*by, *order], profile.rows, rows_per_task))
     within = Window.partitionBy(*by, "_range").orderBy(*order)
     marked = ranged.withColumns(
         {
@@ -112,11 +112,36 @@ def forward_prices(
         }
     )
     inner = _with_leads(marked, within, horizons).where("not _near_end")
-    # at most 2 * reach rows of each range and series
-    edges = marked.where("_near_end or _near_start")
-    outer = _with_leads(edges, Window.partitionBy(*by).orderBy(*order), horizons)
-    both = inner.unionByName(outer.where("_near_end"))
-    return both.drop("_range", "_near_end", "_near_start")
+    # Rows near the edges of ranges are numbered along their series and meet by number, row for row.
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_rows"))
+    offsets = offsets.select(*by, "_range", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    edges = _meet(marked.withColumn("_at", F.row_number().over(within)).where("_near_end or _near_start"), offsets, [*by, "_range"])
+    edges = edges.withColumn("_number", F.col("_before") + F.col("_at"))
+    ahead = sorted({1, *horizons} - {0})
+    steps = edges.select(*by, F.explode(F.array(*map(F.lit, ahead))).alias("_step"), "_number", "ts", "adj_close")
+    found = steps.groupBy(*by, (F.col("_number") - F.col("_step")).alias("_number")).agg(
+        F.max(F.when(F.col("_step") == 1, F.col("ts"))).alias("next_ts"),
+        *[F.max(F.when(F.col("_step") == h, F.col("adj_close"))).alias(f"t{h}") for h in horizons if h],
+    )
+    outer = _meet(edges.where("_near_end"), found, [*by, "_number"], "left")
+    if 0 in horizons:
+        outer = outer.withColumn("t0", F.col("adj_close"))
+    return inner.select(*prices.columns, "next_ts", *[f"t{h}" for h in horizons]).unionByName(
+        outer.select(*prices.columns, "next_ts", *[f"t{h}" for h in horizons])
+    )
+
+
+def _by_ranges(rows: DataFrame, order: Sequence[str], n: int, rows_per_task: int) -> DataFrame:
+    """Rows range-partitioned so that a task can hold each ``_range``, however they crowd."""
+    return rows.repartitionByRange(math.ceil(n / rows_per_task), *order).withColumn("_range", F.spark_partition_id())
+
+
+def _meet(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which a series name may be NULL; the columns of the right side come without the keys."""
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(named, same, how).drop(*[f"_right_{k}" for k in keys])
 
 
 def _with_leads(df: DataFrame, w, horizons: Sequence[int]) -> DataFrame:
@@ -145,20 +170,28 @@ def asof_join(
     """
     wanted = [0, *[h for h in check_horizons(horizons) if h]]
     profile = profile or profile_series(prices, by)
-    leads = forward_prices(prices, wanted, by, tie, profile, rows_per_task)
     values = [f"t{h}" for h in wanted]
+    taken = sorted({*values, "_from", "_to", "_cell", "_part", "_of", "_block", "_salt", "_stray", "_event", "_price", "_seen"} & set(events.columns))
+    if taken:
+        raise ValueError(f"events already have the columns {taken}; rename them first.")
+    leads = forward_prices(prices, wanted, by, tie, profile, rows_per_task)
     intervals = leads.where("next_ts is null or next_ts > ts").select(
         *by, F.col("ts").alias("_from"), F.col("next_ts").alias("_to"), *values
     )
+    return _find(events, prices, intervals, values, by, profile, broadcast_bytes, rows_per_task)
+
+
+def _find(events, prices, intervals, values, by, profile: SeriesProfile, broadcast_bytes: int, rows_per_task: int) -> DataFrame:
+    """The interval of each event, by whichever way the size of the prices allows."""
     cells = _TimeCells(profile)
-    if cells.broadcast_rows * _row_bytes(by, values) <= broadcast_bytes:
+    if cells.broadcast_rows * _row_bytes(profile, values) <= broadcast_bytes:
         return _lookup(events, prices, intervals, values, by, cells)
-    return _merge(events, intervals, values, by, profile, rows_per_task)
+    return _merge(events, intervals, values, by, profile, broadcast_bytes, rows_per_task)
 
 
-def _row_bytes(by: Sequence[str], values: Sequence[str]) -> int:
-    # fixed-width fields of 8 bytes, and room for each series name
-    return 8 * (6 + len(values)) + 40 * len(by)
+def _row_bytes(profile: SeriesProfile, values: Sequence[str]) -> int:
+    # fixed-width fields of 8 bytes, and the longest series name
+    return 8 * (6 + len(values)) + profile.name_bytes
 
 
 class _TimeCells:
@@ -240,53 +273,50 @@ def _lookup(events, prices, intervals, values, by, cells: _TimeCells) -> DataFra
 
 
 def _merge(
-    events, intervals, values, by, profile: SeriesProfile, rows_per_task: int
+    events, intervals, values, by, profile: SeriesProfile, broadcast_bytes: int, rows_per_task: int
 ) -> DataFrame:
-    """Merge events and prices in time order inside each time cell."""
-    # as many cells to a day as prices in a usual day call for
-    per_day = profile.rows / max(profile.days, 1)
-    seconds = max(1, int(_DAY / max(1.0, per_day / 10_000)))
-    micros = F.lit(seconds * 1_000_000)
-
-    def cell(ts):
-        return F.floor(F.unix_micros(ts) / micros)
+    """Merge events and prices in time order inside blocks of consecutive prices.
 
-    last = F.lit((profile.last_day + 1) * _DAY // seconds)
-    located = events.withColumn("_cell", F.least(cell(F.col("ts")), last))
-    keys = [*by, "_cell"]
+    Blocks follow the prices: each has at most ``rows_per_task / 4`` of one series, in
+    however short a time these lie. An event finds its block by the first price of
+    each, which is an as-of join with a far shorter list. Blocks that many events
+    fall into are salted, each salt with a copy of the block's prices.
+    """
+    size = max(2, rows_per_task // 4)
+    if profile.longest <= rows_per_task:
+        parted = intervals.withColumn("_range", F.lit(0))
+    else:
+        parted = durable(_by_ranges(intervals, [*by, "_from"], profile.rows, rows_per_task))
+    place = F.row_number().over(Window.partitionBy(*by, "_range").orderBy("_from")) - 1
+    blocked = parted.withColumn("_place", place).select(
+        *by, "_from", *values, F.struct("_range", F.floor(F.col("_place") / size).alias("part")).alias("_block"), (F.col("_place") % size == 0).alias("_first")
+    )
+    firsts = durable(blocked.where("_first").select(*by, F.col("_from").alias("ts"), "_block"))
+    heads = firsts.select(
+        *by, F.col("ts").alias("_from"), F.lead("ts").over(Window.partitionBy(*by).orderBy("ts")).alias("_to"), F.col("_block").alias("_of")
+    )
+    # the list is shorter by the size of a block, and soon small enough to be broadcast
+    least = max(broadcast_bytes, 1 << 20)
+    located = _find(events, firsts, heads, ["_of"], by, profile_series(firsts, by), least, rows_per_task)
+    located = located.withColumnRenamed("_of", "_block").withColumn("_stray", F.col("_block").isNull())
 
-    # cells one task cannot hold; there are at most events / rows_per_task of them
+    keys = [*by, "_block"]
+    # blocks that one task cannot merge
     crowded = (
-        located.groupBy(*keys)
-        .agg(F.ceil(F.count(F.lit(1)) / F.lit(rows_per_task)).alias("_salts"))
+        located.where("not _stray")
+        .groupBy(*keys)
+        .agg(F.ceil(F.count(F.lit(1)) / F.lit(rows_per_task)).cast("int").alias("_salts"))
         .where("_salts > 1")
     )
     salts = F.coalesce("_salts", F.lit(1))
     # copies hash alike, so the input partition goes into the salt as well
     spread = F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in _hashable(events)])
-    # events of no series match no price and may be anywhere
-    stray = F.lit(False)
-    for name in by:
-        stray = stray | F.col(name).isNull()
-    choices = F.when(stray, _STRAY_SALTS).otherwise(salts)
-    located = located.join(F.broadcast(crowded), keys, "left").select(
-        *events.columns, "_cell", F.pmod(spread, choices).alias("_salt")
-    )
-    touched = (
-        intervals.withColumn(
-            "_cell",
-            F.explode(
-                F.sequence(
-                    cell(F.col("_from")),
-                    F.coalesce(cell(F.col("_to") - F.expr("interval 1 microsecond")), last),
-                )
-            ),
-        )
-        .join(F.broadcast(crowded), keys, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    )
-    rows = located.withColumn("_event", F.lit(True)).unionByName(
-        touched.select(
+    # events before the first price, or of no series, match no price and may be anywhere
+    choices = F.when(F.col("_stray"), _STRAY_SALTS).otherwise(salts)
+    salted = located.join(crowded, keys, "left").select(*events.columns, "_block", F.pmod(spread, choices).alias("_salt"))
+    offered = blocked.join(crowded, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    rows = salted.withColumn("_event", F.lit(True)).unionByName(
+        offered.select(
             *keys,
             F.col("_salt").cast("long"),
             F.col("_from").alias("ts"),

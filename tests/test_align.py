@@ -4,6 +4,7 @@ import random
 import pytest
 from conftest import plan_of
 
+from tapewire.operators import align
 from tapewire.operators.align import asof_join, forward_prices, profile_series
 
 START = dt.datetime(2024, 1, 1)
@@ -145,3 +146,40 @@ def test_large_prices_never_pair_up(spark):
     plan = asof_join(events, prices, (1,), ["ticker"], ["n"], broadcast_bytes=0)
     text = plan._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" in text and "Cartesian" not in text
+
+
+@pytest.mark.parametrize("horizon", [1, 2500])
+def test_crowded_prices_stay_in_small_groups(spark, monkeypatch, horizon):
+    """Ticks within a second beside daily prices: no window group grows far beyond the limit."""
+    limit, seen = 1000, []
+    real = align.Window.partitionBy
+
+    class Watched(align.Window):
+        @staticmethod
+        def partitionBy(*cols):
+            seen.append(cols)
+            return real(*cols)
+
+    monkeypatch.setattr(align, "Window", Watched)
+    micro = dt.timedelta(microseconds=40)
+    prices = [(START + k * micro, float(k)) for k in range(20_000)] + [(START + dt.timedelta(days=k), -float(k)) for k in range(1, 399)]
+    events = [(k, START + (k * 37 % 20_000) * micro) for k in range(3000)]
+    p = spark.createDataFrame(prices, "ts timestamp, adj_close double")
+    e = spark.createDataFrame(events, "k long, ts timestamp")
+    groups = {}
+    monkeypatch.setattr(align, "durable", lambda df: groups.setdefault(len(groups), df.cache()))
+    got = {r.k: (r.t0, r[f"t{horizon}"]) for r in asof_join(e, p, (horizon,), rows_per_task=limit, broadcast_bytes=0).collect()}
+    order = sorted(prices)
+    for k, ts in events:
+        at = round((ts - START) / micro)
+        assert got[k] == (float(at), order[at + horizon][1] if at + horizon < len(order) else None)
+    sizes = [r["count"] for df in groups.values() if "_range" in df.columns for r in df.groupBy("_range").count().collect()]
+    assert sizes and max(sizes) < 3 * limit
+    assert all("_range" in cols or "_block" in cols or "_salt" in cols for cols in seen if cols)
+
+
+def test_columns_that_clash_are_refused(spark):
+    p = spark.createDataFrame([(START, 1.0)], "ts timestamp, adj_close double")
+    e = spark.createDataFrame([(START, 1.0)], "ts timestamp, t0 double")
+    with pytest.raises(ValueError, match="t0"):
+        asof_join(e, p)
