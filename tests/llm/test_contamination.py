@@ -3,7 +3,7 @@ import random
 import re
 
 import pytest
-from conftest import SF_DIR, rows
+from llm_cases import SF_DIR, documents, odd, rows  # noqa: F401
 
 from tapewire.llm.contamination import decontaminate, find_items
 

@@ -1,6 +1,6 @@
 import re
 
-from conftest import rows
+from llm_cases import documents, odd, rows  # noqa: F401
 
 from tapewire.llm import exact_dedup
 from tapewire.llm.exact_dedup import deduplicate, duplicate_groups

@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import ODD
+from llm_cases import ODD, odd  # noqa: F401
 
 from tapewire.llm import toxicity
 from tapewire.llm.calibrate import pool

@@ -1,7 +1,7 @@
 import re
 
 import pytest
-from conftest import rows
+from llm_cases import documents, odd, rows  # noqa: F401
 
 from tapewire.llm import line_dedup
 from tapewire.llm.line_dedup import dedup_lines

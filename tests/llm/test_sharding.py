@@ -2,7 +2,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
-from conftest import rows
+from llm_cases import documents, odd, rows  # noqa: F401
 
 from tapewire.llm.sharding import jump, shard_documents, write_shards
 

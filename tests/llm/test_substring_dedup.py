@@ -2,9 +2,8 @@ import random
 import re
 
 import pytest
-from conftest import rows
+from llm_cases import documents, odd, rows  # noqa: F401
 
-from tapewire.llm import utf8
 from tapewire.llm.substring_dedup import remove_repeats
 
 
@@ -40,8 +39,8 @@ def test_documents(documents, window):
     _same(documents, window)
 
 
-@pytest.mark.parametrize("chunk", [300, 4 << 20])
-def test_shifted_and_overlapping_passages(spark, monkeypatch, chunk):
+@pytest.mark.parametrize("batch", ["2", "10000"])
+def test_shifted_and_overlapping_passages(spark, batch):
     """Passages at every offset, of every length around the window, in few and in most documents."""
     rng = random.Random(5)
     passages = [[f"p{p}w{k}" for k in range(12 + p)] for p in range(6)]
@@ -53,5 +52,10 @@ def test_shifted_and_overlapping_passages(spark, monkeypatch, chunk):
             a = rng.randint(0, 3)
             ws += [f"u{i}x{rng.random()}" for _ in range(rng.randint(0, 9))] + own[a : len(own) - rng.randint(0, 2)]
         docs.append((rng.choice([i, i % 40, None]), " ".join(ws)))
-    monkeypatch.setattr(utf8.slices, "__defaults__", ("text", chunk))
-    _same(spark.createDataFrame(docs, "doc_id long, text string").repartition(6))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, batch)
+    try:
+        _same(spark.createDataFrame(docs, "doc_id long, text string").repartition(6))
+    finally:
+        spark.conf.set(name, before)
