@@ -21,7 +21,7 @@ from tapewire.llm.utf8 import slices
 #: Symbols beyond which a word goes by a heap, because scanning takes the square of its length.
 SHORT = 64
 #: Words whose ids a worker remembers; past that it starts afresh.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
 
 
 def byte_letters() -> list[str]:

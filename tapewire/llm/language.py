@@ -17,7 +17,9 @@ SEED = 10
 SHARPNESS = 30.0
 UNKNOWN = "und"
 #: Cells of the matrix of counts that is multiplied at once.
-CELLS = 1 << 22
+CELLS = 1 << 21
+#: Bytes of text whose letters are looked at together; arrays over these take some hundred times as much.
+TEXT_BYTES = 1 << 19
 
 _letters: np.ndarray | None = None
 _vectors: dict[tuple[int, int], np.ndarray] = {}
@@ -117,7 +119,7 @@ def _profiles(dimensions: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in slices(batches):
+        for batch in slices(batches, limit=TEXT_BYTES):
             langs = batch.column("lang").to_pylist()
             names = list(dict.fromkeys(langs))
             of = np.array([names.index(x) for x in langs])
@@ -178,7 +180,7 @@ def classify(texts: list[str | None], prototypes: dict[str, np.ndarray], sharpne
 
 def _classify(prototypes: dict[str, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=TEXT_BYTES):
             pred, score, cosine = classify(batch.column("text").to_pylist(), prototypes)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(pred.tolist(), pa.string()), pa.array(score), pa.array(cosine)],
@@ -220,7 +222,7 @@ def with_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     prototypes = language_prototypes(docs, id_col, text_col, lang_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col):
+        for batch in slices(batches, text_col, TEXT_BYTES):
             pred, _, _ = classify(batch.column(text_col).to_pylist(), prototypes)
             yield batch.filter(pa.array(pred != UNKNOWN))
 
