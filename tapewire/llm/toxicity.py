@@ -41,21 +41,19 @@ def stems(window: bytes) -> list[bytes]:
     return [window[:k] for k in range(STEM_BYTES, len(window) + 1)]
 
 
-def toxic_stems(toxic: list[list[bytes]], plain: list[list[bytes]], most: int = STEMS) -> set[bytes]:
-    """Beginnings of words that most clearly occur in more toxic documents than others, by the test of two shares."""
-    in_toxic: Counter[bytes] = Counter()
-    in_plain: Counter[bytes] = Counter()
-    for counter, docs in ((in_toxic, toxic), (in_plain, plain)):
-        for own in docs:
-            counter.update({s for w in set(own) for s in stems(w)})
-    n, m = len(toxic), len(plain)
+def _stems_of(own: list[bytes]) -> set[bytes]:
+    return {s for w in set(own) for s in stems(w)}
+
+
+def toxic_stems(in_toxic: Counter[bytes], n: int, in_plain: Counter[bytes], m: int, most: int = STEMS) -> set[bytes]:
+    """Beginnings of words that most clearly occur in more of n toxic than of m other documents, by the test of two shares."""
 
     def clear(s: bytes) -> float:
         a, b = in_toxic[s], in_plain[s]
         p = (a + b) / (n + m)
         return (a / n - b / m) / np.sqrt(p * (1 - p) * (1 / n + 1 / m) + 1e-12)
 
-    ranked = sorted((s for s in in_toxic if in_toxic[s] >= 3), key=lambda s: (-clear(s), s))
+    ranked = sorted(in_toxic, key=lambda s: (-clear(s), s))
     return {s for s in ranked[:most] if clear(s) > 2}
 
 
@@ -105,11 +103,19 @@ class Distance:
 
 
 def train(toxic: list[str], plain: list[str]) -> Distance:
-    """Dictionaries from the documents of a bounded sample."""
-    bad, good = [windows(t) for t in toxic], [windows(t) for t in plain]
-    chosen = toxic_stems(bad, good) if bad and good else set()
-    samples = [w for own in bad for w in own if not chosen.isdisjoint(stems(w))]
-    frequency = Counter(w for own in good for w in own)
+    """Dictionaries from the documents of a bounded sample, which are cut into windows one at a time."""
+    in_toxic: Counter[bytes] = Counter()
+    for text in toxic:
+        in_toxic.update(_stems_of(windows(text)))
+    in_toxic = Counter({s: k for s, k in in_toxic.items() if k >= 3})
+    in_plain: Counter[bytes] = Counter()
+    frequency: Counter[bytes] = Counter()
+    for text in plain:
+        own = windows(text)
+        frequency.update(own)
+        in_plain.update(in_toxic.keys() & _stems_of(own))
+    chosen = toxic_stems(in_toxic, len(toxic), in_plain, len(plain)) if toxic and plain else set()
+    samples = [w for text in toxic for w in windows(text) if not chosen.isdisjoint(stems(w))]
     ordinary = [w for w in sorted(frequency) for _ in range(min(frequency[w], 20))]
     order = np.random.default_rng(9).permutation(len(ordinary))[:200_000]
     return Distance(_dictionary(samples, TOXIC_BYTES), _dictionary([ordinary[i] for i in order], PLAIN_BYTES))
