@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from tapewire.llm.bpe import token_digests
 from tapewire.llm.contamination import decontaminate
+from tapewire.llm.jaccard import one_per_group
 from tapewire.llm.language import with_language
 from tapewire.llm.line_dedup import dedup_lines
-from tapewire.llm.simhash import one_per_group
 from tapewire.session import store
 
 TOKENIZER = "word_bpe_49k.json"
@@ -32,7 +32,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, five-word shingles, the document with the smallest id stays."""
+    """Of each group of near duplicates the document with the smallest id stays.
+
+    Linked are fingerprints of five-word shingles within 4 bits, and all documents whose sets of these
+    shingles have a Jaccard similarity of 0.8 or more.
+    """
     return one_per_group(docs, words=5)
 
 

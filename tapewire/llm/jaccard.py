@@ -1,0 +1,217 @@
+"""Near duplicates by the Jaccard similarity of word shingles: partitioned signatures, verified on the whole sets."""
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tapewire.llm import simhash
+from tapewire.llm.components import components
+from tapewire.llm.contamination import _lowered, shingles
+from tapewire.llm.utf8 import mix, slices
+from tapewire.session import Stored, store
+
+WORDS = 5
+#: Five shared shingles in the union of two sets must be at least four times; ``_level_limits`` follows from it.
+PART, OF = 4, 5
+#: Times a set is dealt anew when too many of its parts are empty, before empty parts are signed as well.
+DEALS = 8
+
+
+def _level_limits(most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Smallest size, differing shingles and parts of each level, until a level begins beyond ``most``.
+
+    A pair belongs to the level of its smaller set and the larger is at most of the level above. At a
+    similarity of 4/5 two sets differ in at most a ninth of the sum of their sizes.
+    """
+    least, differ = [1], []
+    while least[-1] <= most:
+        least.append(least[-1] * OF // PART + 1)
+        top = least[-1] - 1
+        differ.append((top + top * OF // PART) * (OF - PART) // (OF + PART))
+    d = np.array(differ, np.int64)
+    return np.array(least[:-1], np.int64), d, np.where(d > 0, d + 1 + np.maximum(1, d // 8), 1)
+
+
+def _sets(batch: pa.RecordBatch, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all texts the distinct shingle hashes in order, the row of each, and each row's set size and digest."""
+    w = _lowered(batch)
+    first, _, h = shingles(w, words)
+    doc = w.doc[first]
+    order = np.lexsort((h, doc))
+    doc, h = doc[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    doc, h = doc[new], h[new]
+    sizes = np.bincount(doc, minlength=batch.num_rows)
+    sums = np.zeros(batch.num_rows, np.uint64)
+    np.add.at(sums, doc, mix(h ^ np.uint64(0x8EBC6AF09C88C6E3)))
+    return doc, h, sizes, mix(sums + sizes.astype(np.uint64))
+
+
+def _signatures(words: int):
+    """Signatures of a set: at one level all its shingles are dealt into parts by their hashes, and each part is signed.
+
+    Sets that differ in at most d shingles have equal parts in all but d of the m > d. Only parts that
+    hold a shingle are signed. A pair whose equal parts are all empty has at least m - d empty parts on both sides, and
+    both sets are dealt again with another seed; after ``DEALS`` of them, empty parts are signed too.
+    """
+
+    def signed(doc, h, sizes, nodes, level, parts, differ, at) -> Iterator[pa.RecordBatch]:
+        """``at``: rows to be signed, each at its ``level``."""
+        for deal in range(DEALS):
+            if not at.any():
+                return
+            m = np.where(at, parts[level], 0)
+            base = np.cumsum(m) - m
+            own = at[doc]
+            d, x = doc[own], h[own]
+            salt = mix((level.astype(np.uint64) * np.uint64(DEALS) + np.uint64(deal)) + np.uint64(0x589965CC75374CC3))
+            slot = base[d] + (mix(x ^ salt[d]) % m[d].astype(np.uint64)).astype(np.int64)
+            total = int(m.sum())
+            sums, held = np.zeros(total, np.uint64), np.bincount(slot, minlength=total)
+            np.add.at(sums, slot, mix(x + np.uint64(0xE7037ED1A0B428DB)))
+            row = np.repeat(np.arange(len(m)), m)
+            sig = mix(sums ^ mix(salt[row] + (np.arange(total) - base[row]).astype(np.uint64)))
+            empty = np.bincount(row[held == 0], minlength=len(m))
+            at = at & (empty >= parts[level] - differ[level])
+            use = (held > 0) | (at[row] & (deal == DEALS - 1))
+            yield pa.RecordBatch.from_arrays([pa.array(sig[use].view(np.int64)), pa.array(nodes[row[use]].view(np.int64))], names=["sig", "node"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            doc, h, sizes, nodes = _sets(batch, words)
+            if not len(h):
+                continue
+            least, differ, parts = _level_limits(int(sizes.max()))
+            level = np.searchsorted(least, sizes, "right") - 1
+            yield from signed(doc, h, sizes, nodes, np.maximum(level, 0), parts, differ, sizes > 0)
+            below = (level > 0) & (sizes <= (least[level] - 1) * OF // PART)
+            yield from signed(doc, h, sizes, nodes, np.maximum(level - 1, 0), parts, differ, below)
+
+    return run
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by sig and node, the distinct rows of signatures with several nodes, each with the smallest of these."""
+    sig, node, head, shown = np.zeros(0, np.int64), np.zeros(0, np.int64), None, False
+    for batch in batches:
+        s = np.concatenate([sig, batch.column("sig").to_numpy()])
+        n = np.concatenate([node, batch.column("node").to_numpy()])
+        if not len(s):
+            continue
+        new = np.ones(len(s), bool)
+        new[1:] = (s[1:] != s[:-1]) | (n[1:] != n[:-1])
+        s, n = s[new], n[new]
+        first = np.ones(len(s), bool)
+        first[1:] = s[1:] != s[:-1]
+        heads = n[np.maximum.accumulate(np.where(first, np.arange(len(s)), 0))]
+        if head is not None:  # the row carried over may stand inside its run
+            heads[s == s[0]] = head
+        many = ~first
+        many[:-1] |= ~first[1:]
+        many[0] |= shown  # more than one node before it
+        out = many.copy()
+        out[0] &= not shown
+        yield pa.RecordBatch.from_arrays([pa.array(s[out]), pa.array(n[out]), pa.array(heads[out])], names=["sig", "node", "head"])
+        sig, node, head, shown = s[-1:], n[-1:], heads[-1], bool(many[-1])
+
+
+def _prints(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            prints = [simhash.fingerprint(simhash.shingle_hashes(t, words)) for t in batch.column("text").to_pylist()]
+            nodes = _sets(batch, words)[3]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(nodes.view(np.int64))],
+                names=["doc_id", "fp", "node"],
+            )
+
+    return run
+
+
+def _set_rows(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            _, h, sizes, nodes = _sets(batch, words)
+            bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(h.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), lists], names=["node", "own"])
+
+    return run
+
+
+def _verified(pairs: DataFrame, slim: DataFrame, prints: DataFrame, words: int) -> Stored:
+    """Those of the pairs (a, b) of nodes whose shingle sets have the wanted similarity."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    ids = prints.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    named = slim.join(ids.where("doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_semi")
+    read = named.union(slim.where("doc_id IS NULL")).select("text")
+    sets = store(read.mapInArrow(_set_rows(words), "node long, own array<long>").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+    a, b = (sets.rows.select(F.col("node").alias(c), F.col("own").alias(f"own_{c}")) for c in "ab")
+    both = F.size(F.array_intersect("own_a", "own_b"))
+    union = F.size("own_a") + F.size("own_b") - both
+    links = store(pairs.join(a, "a").join(b, "b").where(both * OF >= union * PART).select("a", "b"))
+    sets.drop()
+    return links
+
+
+def _roots(links: list[DataFrame]) -> DataFrame:
+    every = links[0]
+    for more in links[1:]:
+        every = every.union(more)
+    return components(every).rows.select(F.col("b").alias("node"), F.col("a").alias("root"))
+
+
+def _with_root(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, most: int = simhash.MAX_BITS) -> DataFrame:
+    """The groups of near duplicates: node (a digest of the shingle set), least (its smallest id) and root (its group).
+
+    Linked are all texts whose sets of word shingles (A-Z lower-cased) have a Jaccard similarity of 0.8 or more, and
+    texts whose SimHash fingerprints differ in at most ``most`` bits; groups are what links reach. The search by
+    signatures misses no pair at 0.8, and every pair it proposes is decided on both sets, as 64-bit hashes.
+
+    Texts with the same set are one node. Where many nodes share a signature, all are first compared
+    with the smallest of them; compared with each other are only those that are in different groups after that.
+    """
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    prints = store(slim.mapInArrow(_prints(words), "doc_id long, fp long, node long")).rows
+    of_print = prints.groupBy("fp").agg(F.min("node").alias("first"))
+    same = prints.select("fp", "node").distinct().join(of_print, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    a, b = (of_print.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}")) for c in "ab")
+    near = simhash.near_links(of_print.select("fp"), most).join(a, "a").join(b, "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+
+    signed = slim.select("text").mapInArrow(_signatures(words), "sig long, node long")
+    met = store(signed.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_runs, "sig long, node long, head long"))
+    stars = store(met.rows.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
+    bits = store(same.union(near))
+    links = [bits.rows, _verified(stars.rows, slim, prints, words).rows]
+    roots = _roots(links)
+
+    placed = store(_with_root(met.rows, roots))
+    met.drop()
+    mixed = placed.rows.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("sig")
+    open_ = placed.rows.join(mixed, "sig", "left_semi").where("node <> head OR root <> head").select("sig", "node", "root")
+    left, right = (open_.select("sig", F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+    rest = left.join(right, "sig").where("a < b AND root_a <> root_b").select("a", "b").distinct()
+    rest = store(rest.join(stars.rows, ["a", "b"], "left_anti"))
+    placed.drop()
+    stars.drop()
+    if not rest.rows.isEmpty():
+        roots = _roots([*links, _verified(rest.rows, slim, prints, words).rows])
+    rest.drop()
+    return _with_root(prints.groupBy("node").agg(F.min("doc_id").alias("least")), roots)
+
+
+def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, most: int = simhash.MAX_BITS) -> DataFrame:
+    """The rows of ``docs``, all columns, whose id is the smallest of their group.
+
+    Of rows with that same id all stay; rows without an id stay only if their group has no id at all.
+    """
+    stay = near_groups(docs, id_col, text_col, words, most).groupBy("root").agg(F.min("least").alias("__stays")).select("__stays").distinct()
+    return docs.join(stay, docs[id_col].cast("long").eqNullSafe(F.col("__stays")), "left_semi")

@@ -1,0 +1,98 @@
+import random
+
+import pyarrow as pa
+import pytest
+
+import corpus_pipeline
+from tapewire.llm import jaccard
+
+
+def _shingles(text):
+    words = (text or "").lower().split()
+    return frozenset(" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def _similar(texts):
+    """Brute force: all pairs of different sets at 0.8 or more."""
+    sets = {i: s for i, t in texts.items() if (s := _shingles(t))}
+    holders = {}
+    for i, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    met = {(a, b) for ids in holders.values() for a in ids for b in ids if a < b}
+    return {(a, b) for a, b in met if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+
+
+def _edited(rng, words, n):
+    words = list(words)
+    for _ in range(n):
+        k = rng.randrange(len(words))
+        words[k : k + rng.randint(0, 1)] = [f"new{rng.random()}"] * rng.randint(0, 2)
+    return words
+
+
+def _texts():
+    """Texts of all lengths with edited copies on both sides of the limit, and some of very few distinct shingles."""
+    rng, texts = random.Random(5), []
+    for n in [*range(1, 40), *range(40, 900, 37)]:
+        words = [f"w{rng.randrange(5000)}" for _ in range(n)]
+        texts += [words, *[_edited(rng, words, k) for k in {0, 1, n // 60, n // 45, n // 25}], words + words[: n // 5], words[n // 10 :]]
+    texts += [["a"] * n for n in (1, 4, 5, 9, 40)]
+    return {i: " ".join(w) for i, w in enumerate(texts)}
+
+
+@pytest.mark.parametrize("deals", [8, 1])
+def test_signatures_miss_no_pair(monkeypatch, deals):
+    monkeypatch.setattr(jaccard, "DEALS", deals)
+    texts = _texts()
+    want = _similar(texts)
+    assert len(want) > 200
+    nodes = jaccard._sets(pa.RecordBatch.from_pydict({"text": list(texts.values())}), 5)[3].tolist()
+    batch = pa.RecordBatch.from_pydict({"text": list(texts.values())})
+    signs = {}
+    for out in jaccard._signatures(5)(iter([batch])):
+        for sig, node in zip(out.column("sig").to_pylist(), out.column("node").to_numpy().view("uint64").tolist(), strict=True):
+            signs.setdefault(node, set()).add(sig)
+    assert all(nodes[a] == nodes[b] or signs[nodes[a]] & signs[nodes[b]] for a, b in want)
+    proposed = sum(bool(signs.get(a, set()) & signs.get(b, set())) for a in set(nodes) for b in set(nodes) if a < b)
+    assert proposed < 4 * len(want)
+
+
+def test_runs_across_batches():
+    rows = [(1, 5), (1, 5), (2, 1), (2, 1), (2, 3), (2, 4), (2, 4), (3, 2), (4, 7), (4, 8), (5, 1), (6, 2), (6, 9)]
+    want = [(2, 1, 1), (2, 3, 1), (2, 4, 1), (4, 7, 7), (4, 8, 7), (6, 2, 2), (6, 9, 2)]
+    for size in (1, 2, 3, 4, 5, 13):
+        parts = [rows[k : k + size] for k in range(0, len(rows), size)]
+        batches = [pa.RecordBatch.from_pydict({"sig": pa.array([s for s, _ in p], pa.int64()), "node": pa.array([n for _, n in p], pa.int64())}) for p in parts]
+        got = [tuple(r.values()) for out in jaccard._runs(iter(batches)) for r in out.to_pylist()]
+        assert got == want, size
+
+
+def test_stage_leaves_no_pair_at_four_fifths(spark):
+    """Pairs of all lengths, most of them with fingerprints that differ in more than 4 bits."""
+    texts = _texts()
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").selectExpr("*", "'en' AS lang").repartition(3)
+    kept = {r.doc_id: r.text for r in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()}
+    assert not _similar(kept)
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in _similar(texts):
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    # what SimHash links beyond that may take a group more, but never its last text
+    assert set(kept) <= {find(i) for i in texts}
+    assert len(kept) >= 0.9 * len({find(i) for i in texts})
+
+
+def test_odd_rows(spark):
+    rows = [(1, None), (2, ""), (3, " \t\n"), (None, "a b c d e f"), (5, "a b c d e f"), (6, "one"), (6, "one"), (7, "x " * 70000), (None, "only here"), (None, "ONLY here")]
+    docs = spark.createDataFrame([(i, t, "k", 1) for i, t in rows], "doc_id long, text string, fp string, node int")
+    kept = jaccard.one_per_group(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 1), (False, 5), (False, 6), (False, 6), (False, 7), (True, 0), (True, 0), (True, 0)]
+    assert jaccard.one_per_group(docs.limit(0)).count() == 0
