@@ -525,10 +525,11 @@ def articles_normalised(spark, sf_dir):
 
 @query(_DELIVERED_SQL)
 def landed_pages_read(spark, sf_dir):
-    """Response pages of several articles each, and empty ones, written as JSON and read back."""
+    """Response pages of some fifty articles each, and empty ones, written as JSON and read back."""
     path = scratch(spark, "pages")
     delivered = _delivered(spark, sf_dir)
-    pages = delivered.groupBy(F.pmod(F.xxhash64("article.webUrl"), F.lit(40)).alias("page")).agg(F.collect_list("article").alias("results"))
+    n_pages = max(1, -(-delivered.count() // 50))
+    pages = delivered.groupBy(F.pmod(F.xxhash64("article.webUrl"), F.lit(n_pages)).alias("page")).agg(F.collect_list("article").alias("results"))
     empty = pages.limit(3).withColumn("results", F.slice("results", 1, 0))
     pages.union(empty).select(F.struct("results").alias("response")).write.json(path)
     return news_ops.normalize_articles(landed.read_news_payloads(spark, path))

@@ -95,3 +95,16 @@ def test_window_search_and_pages(spark):
     assert [r.id for r in newest_pages(news, 1, 1).collect()] == ["a/2"]
     assert [r.id for r in newest_page(news, 2, 1).collect()] == ["a/1"]
     assert newest_page(news, 3, 1).count() == 0
+
+
+def test_landed_pages_hold_a_bounded_number_of_articles(spark, tmp_path, monkeypatch):
+    """The number of pages grows with the documents."""
+    from tapewire import catalog
+
+    docs = spark.range(6000).selectExpr("id AS doc_id", "'t' AS text", "'en' AS lang", "'src' AS source", "1L AS n_chars")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    paths, read = [], catalog.landed.read_news_payloads
+    monkeypatch.setattr(catalog.landed, "read_news_payloads", lambda s, path: paths.append(path) or read(s, path))
+    assert catalog.landed_pages_read(spark, str(tmp_path)).count() == 6000
+    sizes = spark.read.json(paths[0]).selectExpr("size(response.results) AS n").collect()
+    assert len(sizes) > 100 and max(r.n for r in sizes) <= 110
