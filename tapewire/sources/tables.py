@@ -234,7 +234,8 @@ def _save_prices(spark, path: str, layout: _Layout, batch: DataFrame, exists: bo
     shared = _shared_paths(spark, path, keys, exists)
     if shared and not skip_shared:
         raise ValueError("; ".join(f"tickers {a!r} and {b!r} share the path {p!r}" for p, (a, b) in sorted(shared.items())))
-    left_out = sorted({n for p in shared for k in keys if k["ticker_path"] == p for n in (k["low"], k["high"])})
+    of_shared = batch.where(F.col("ticker_path").isin(sorted(shared))).select("ticker").distinct()
+    left_out = sorted(r["ticker"] for r in of_shared.collect()) if shared else []
     keys = [k for k in keys if k["ticker_path"] not in shared]
     if not any(k["usable"] for k in keys):
         raise ValueError("none of these prices has an adjusted close; nothing was stored.")

@@ -245,6 +245,12 @@ def test_tickers_that_share_a_path_do_not_stop_the_others(spark, tmp_path):
     assert [r.ticker for r in read_price_table(spark, path).collect()] == ["SPY"]
 
 
+def test_every_ticker_of_a_shared_path_is_reported(spark, tmp_path):
+    day = dt.datetime(2024, 1, 1)
+    rows = prices(spark, [(day, 1.0, 1.0, t, 1) for t in ("A/B", "A=B", "A_B", "SPY")])
+    assert save_prices(str(tmp_path / "prices"), rows, skip_shared=True) == ["A/B", "A=B", "A_B"]
+
+
 def test_weekly_ingest(spark, tmp_path):
     landed, out = tmp_path / "landed", str(tmp_path / "prices")
     landed.mkdir()
