@@ -51,6 +51,9 @@ def stratified_split(
     """
     parts = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key]
     whole = [F.to_json(c) if "map<" in t else F.col(c) for c, t in df.dtypes]
+    # the hashes skip nulls, also those inside of values
+    whole += [F.to_json(c, {"ignoreNullFields": "false"}) for c, t in df.dtypes if t.startswith(("struct", "array", "map"))]
+    whole += [F.col(c).isNull() for c in df.columns]
     hashed = df.where(F.col(label).isNotNull()).withColumns(
         {
             "_order": F.md5(F.concat_ws(":", F.lit(str(seed)), *parts)),

@@ -105,6 +105,15 @@ def test_split_between_copies(spark):
     assert tests[0] == tests[1]
 
 
+def test_split_between_rows_that_differ_in_the_place_of_nulls(spark):
+    kinds = [(None, "x", {"a": None, "b": "y"}), ("x", None, {"a": None, "b": "y"}), (None, "x", {"a": "y", "b": None})]
+    data = spark.createDataFrame([("a", 0, *k) for k in kinds for _ in range(20)], "label string, url int, title string, description string, more struct<a: string, b: string>")
+    train, test = stratified_split(data)
+    assert test.count() == 12
+    counts = train.union(test).groupBy("title", "description", "more").count().collect()
+    assert sorted(r["count"] for r in counts) == [20, 20, 20]
+
+
 def test_report(spark):
     pairs = [("a", "a")] * 3 + [("a", "b")] * 1 + [("b", "b")] * 2 + [("b", "c")] * 2 + [("d", "a")]
     df = spark.createDataFrame(pairs + [(None, "a")], "label string, prediction string")
