@@ -872,7 +872,8 @@ def _landed_ticks(spark, sf_dir) -> list[str]:
     paths = []
     for other in (False, True):
         rows = raw.where((F.col("ticker") == "click") == F.lit(other))
-        rows = rows.repartition("ticker").sortWithinPartitions("row_seq").drop("row_seq")
+        day = F.to_date(to_utc(F.col("Date"), T.StringType()))  # as stored
+        rows = rows.repartition("ticker", day).sortWithinPartitions("row_seq").drop("row_seq")
         if other:
             rows = rows.withColumnRenamed("Date", "Datetime").select(*reversed(rows.withColumnRenamed("Date", "Datetime").columns))
         paths.append(scratch(spark, "landed"))
