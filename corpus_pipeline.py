@@ -11,42 +11,52 @@ from pyspark.sql import functions as F
 
 from tapewire.llm.bpe import token_digests
 from tapewire.llm.contamination import decontaminate
-from tapewire.llm.jaccard import one_per_group
 from tapewire.llm.language import with_language
 from tapewire.llm.line_dedup import dedup_lines
+from tapewire.llm.simhash import one_per_group
 from tapewire.session import store
 
 TOKENIZER = "word_bpe_49k.json"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any letter, for which no language can be told, go."""
+    """Documents without any letter, for which no language can be told, go; null and empty texts are such.
+
+    Rows are judged one by one, so repeated and null ids are kept or rejected each for itself.
+    """
     return with_language(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shared lines go; ``n_chars`` follows the text. A document may end up empty, and stays."""
+    """Shared lines go; ``n_chars`` follows the text. A document may end up empty, and stays.
+
+    A null text becomes empty. Of the holders of a line the largest id keeps it. Rows with the same id are one
+    holder, and null ids are one below all others.
+    """
     found = dedup_lines(docs)
     new = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast("long")}
     return found.select(*[new.get(c, F.col("row")[c]).cast(t).alias(c) for c, t in docs.dtypes])
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays.
+    """Of each group of near duplicates, as ``op6`` finds them, the document with the smallest id stays.
 
-    Linked are fingerprints of five-word shingles within 4 bits, and all documents whose sets of these
-    shingles have a Jaccard similarity of 0.8 or more.
+    Linked are fingerprints of four-word shingles within 4 bits. Texts without words share fingerprint
+    zero. Rows with the id that stays all stay; a null id stays only if its group has no other.
     """
-    return one_per_group(docs, words=5)
+    return one_per_group(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold four fifths of an item's five-word shingles go."""
+    """Documents that hold four fifths of an item's five-word shingles go.
+
+    Null and empty texts hold nothing and stay. Of rows with the same id all go if one does.
+    """
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def bpe_encode_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left, with the digests of the ids and of the text they decode to."""
+    """Token ids of what is left, with the digests of the ids and of the text they decode to, a row for a row."""
     return token_digests(docs, public_tokenizers.path(TOKENIZER), with_ids=True)
 
 
