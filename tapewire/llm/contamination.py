@@ -221,5 +221,6 @@ def find_items(
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose id no match of ``find_items`` names."""
-    gone = find_items(docs, items, threshold, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    gone = find_items(docs, items, threshold, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("gone")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("own_id"))
+    return rows.join(gone, F.col("own_id").eqNullSafe(F.col("gone")), "left_anti").select("row.*")

@@ -79,12 +79,14 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     stay = (
         duplicate_groups(docs, id_col, text_col)
         .where("kept")
-        .select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+        .select(F.col("doc_id").alias("stays"), F.col("text_sha256").alias("sha"))
     )
-    own = F.sha2(normal_text(docs[text_col]), 256)
-    found = docs.join(stay, docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (own == F.col("__sha")), "left_semi")
-    first = Window.partitionBy(F.col(id_col), F.sha2(normal_text(F.col(text_col)), 256)).orderBy(
-        F.char_length(F.coalesce(F.col(text_col), F.lit(""))).desc()
+    rows = docs.select(
+        F.struct("*").alias("row"),
+        F.col(id_col).cast("long").alias("own_id"),
+        F.sha2(normal_text(F.col(text_col)), 256).alias("own_sha"),
+        F.char_length(F.coalesce(F.col(text_col), F.lit(""))).alias("length"),
     )
-    packed = found.select(F.struct("*").alias("row"), F.row_number().over(first).alias("no"))
-    return packed.where("no = 1").select("row.*")
+    found = rows.join(stay, F.col("own_id").eqNullSafe(F.col("stays")) & (F.col("own_sha") == F.col("sha")), "left_semi")
+    first = Window.partitionBy("own_id", "own_sha").orderBy(F.col("length").desc())
+    return found.withColumn("no", F.row_number().over(first)).where("no = 1").select("row.*")

@@ -37,6 +37,19 @@ def jump_shard(key: Column, shards: int) -> Column:
     return of(key)
 
 
+def jump_shards(key: Column, shards: int) -> Column:
+    """The shard among ``shards`` and among one more, as a struct of shard and grown_shard."""
+    if shards < 1:
+        raise ValueError("at least one shard is needed")
+
+    @F.pandas_udf("shard int, grown_shard int")
+    def of(keys: pd.Series) -> pd.DataFrame:
+        k = keys.to_numpy(np.int64)
+        return pd.DataFrame({"shard": jump(k, shards).astype(np.int32), "grown_shard": jump(k, shards + 1).astype(np.int32)})
+
+    return of(key)
+
+
 def stable_key(id_: Column) -> Column:
     """64 bits that depend on the id alone; a null id has a key of its own."""
     return F.xxhash64(F.coalesce(id_.cast("long"), F.lit(-1)), id_.isNull())
@@ -72,8 +85,8 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
         part.alias("part"),
     )
     rows = rows.select(
-        "doc_id", "size", "text_crc32", "part", jump_shard(F.col("key"), shards).alias("shard"), jump_shard(F.col("key"), shards + 1).alias("grown_shard")
-    )
+        "doc_id", "size", "text_crc32", "part", jump_shards(F.col("key"), shards).alias("of")
+    ).select("doc_id", "size", "text_crc32", "part", "of.shard", "of.grown_shard")
     place = Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size")
     placed = rows.withColumn("place", F.row_number().over(place) - 1)
     return placed.join(F.broadcast(offsets), ["shard", "part"]).select(
@@ -88,6 +101,12 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, id_col: str = "doc_id") -> None:
-    """Write the documents, all columns, as one folder per shard under ``path``."""
-    placed = docs.select(F.struct("*").alias("row"), jump_shard(stable_key(F.col(id_col)), shards).alias("__shard"))
-    placed.select("row.*", "__shard").write.partitionBy("__shard").mode("errorifexists").parquet(path)
+    """Write the documents, all columns, as one folder per shard under ``path``.
+
+    The folders are named ``__shard=0`` and so on, with more underscores where the documents have such a column.
+    """
+    name = "__shard"
+    while name.lower() in map(str.lower, docs.columns):
+        name = f"_{name}"
+    placed = docs.withColumn(name, jump_shard(stable_key(F.col(id_col)), shards))
+    placed.write.partitionBy(name).mode("errorifexists").parquet(path)

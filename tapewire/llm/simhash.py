@@ -247,5 +247,6 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Of rows with that same id all stay; rows without an id stay only if their group has no id at all.
     """
     groups = near_groups(docs, id_col, text_col, words, most)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stays")).distinct()
-    return docs.join(stay, docs[id_col].cast("long").eqNullSafe(F.col("__stays")), "left_semi")
+    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("own_id"))
+    return rows.join(stay, F.col("own_id").eqNullSafe(F.col("stays")), "left_semi").select("row.*")

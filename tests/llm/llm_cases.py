@@ -12,7 +12,7 @@ ODD = [
     (None, "The same long line of text here"), (-9, "12 34 $$"),
 ]
 
-CLASHING = ["'x' AS kept", "1 AS rank", "2 AS digest", "3 AS bucket", "4 AS fold", "5 AS key", "6 AS row", "7 AS stats", "8 AS shard", "9 AS hits", "10 AS label"]
+CLASHING = ["'x' AS kept", "1 AS rank", "2 AS digest", "3 AS bucket", "4 AS fold", "5 AS key", "6 AS row", "7 AS stats", "8 AS shard", "9 AS hits", "10 AS label", "11 AS __stays", "12 AS stays", "13 AS __gone", "14 AS gone", "15 AS __id", "16 AS __sha", "17 AS __shard", "18 AS own_id"]
 
 
 @pytest.fixture

@@ -40,7 +40,7 @@ def _near(docs):
     fps = {}
     for i, text in docs.items():
         words = _words(_lower(text))
-        shingles = [" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))] if words else []
+        shingles = [" ".join(words[k : k + 4]) for k in range(max(1, len(words) - 3))] if words else []
         h = np.array([xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles], np.uint64)
         bits = (h[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
         fps[i] = sum(1 << b for b in range(64) if 2 * int(bits[:, b].sum()) > len(h))

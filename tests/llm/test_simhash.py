@@ -49,7 +49,7 @@ def test_groups_of_test_documents(spark):
 
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \t\n"), (None, "a b c d e f"), (5, "a b c d e f"), (6, "one"), (6, "one"), (7, "x " * 70000)]
-    docs = spark.createDataFrame([(i, t, "k", 1) for i, t in rows], "doc_id long, text string, fp string, key int")
+    docs = spark.createDataFrame([(i, t, "k", 1, 2) for i, t in rows], "doc_id long, text string, fp string, key int, __stays int")
     got = sorted(((r.doc_id is None, r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_groups(docs).collect()), key=str)
     by_id = {r[1]: r for r in got}
     assert len(got) == len(rows)
