@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 from tapewire.llm.bpe import token_digests
 from tapewire.llm.contamination import find_items
 from tapewire.llm.exact_dedup import duplicate_groups
+from tapewire.llm.infill import infill_digests
 from tapewire.llm.language import identify_languages
 from tapewire.llm.line_dedup import dedup_lines
+from tapewire.llm.manifest import verified_manifest
 from tapewire.llm.quality import score_quality
+from tapewire.llm.secrets import secret_digests
 from tapewire.llm.sharding import shard_documents
 from tapewire.llm.simhash import near_groups
 from tapewire.llm.substring_dedup import remove_repeats
@@ -125,3 +128,83 @@ def op7_quality_classifier(spark, sf_dir):
 @query()
 def op9_toxicity(spark, sf_dir):
     return score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query()
+def op11_secret_scans(spark, sf_dir):
+    return secret_digests(documents(spark, sf_dir))
+
+
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of a text of ASCII characters."""
+    bit = "xor(x >> 1, 3988292384::UBIGINT * (x & 1))"
+    byte = f"list_reduce([xor(a, c), 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[], lambda x, _: {bit})"
+    codes = f"list_transform(string_split({text}, ''), lambda s: ascii(s)::UBIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295]::UBIGINT[], CASE WHEN {text} = '' THEN [] ELSE {codes} END), lambda a, c: {byte}), 4294967295::UBIGINT)"
+
+
+def _manifest_sql(height: int = 8, over: int = 4) -> str:
+    """Levels of a fan of 16 written out: ``height`` within a source, ``over`` above the sources."""
+
+    def field(c: str) -> str:
+        return f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+
+    def leaf(text: str) -> str:
+        return f"sha256({field('doc_id')} || {field('source')} || {field('lang')} || {field('n_chars')} || {field(text)})"
+
+    def levels(name: str, n: int) -> str:
+        """Runs of each level (r) and the nodes above them (n), where a tree has more than one node."""
+        return "".join(
+            f""",
+{name}r{k} AS (SELECT src, pos // 16 AS run, list(digest ORDER BY pos) AS digests FROM {name}n{k}
+        WHERE src IN (SELECT src FROM {name}n{k} GROUP BY src HAVING count(*) > 1) GROUP BY src, pos // 16),
+{name}n{k + 1} AS (SELECT src, run AS pos, sha256(array_to_string(digests, '')) AS digest FROM {name}r{k})"""
+            for k in range(n)
+        )
+
+    def climb(name: str, rows: str, n: int) -> str:
+        """Rows (src, pos, proof, node) taken up the levels."""
+        out, last = "", rows
+        for k in range(n):
+            others = "digests[1 : pos % 16] || digests[pos % 16 + 2 :]"
+            out += f""",
+{name}c{k} AS (SELECT c.* REPLACE (CASE WHEN run IS NULL THEN c.pos ELSE c.pos // 16 END AS pos,
+        CASE WHEN run IS NULL THEN proof ELSE proof || array_to_string({others}, '') END AS proof,
+        CASE WHEN run IS NULL THEN node ELSE sha256(array_to_string(digests[1 : pos % 16] || [node] || digests[pos % 16 + 2 :], '')) END AS node)
+        FROM {last} c LEFT JOIN {name}r{k} r ON c.src = r.src AND c.pos // 16 = r.run)"""
+            last = f"{name}c{k}"
+        return out
+
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') "
+    tops = " UNION ALL ".join(f"SELECT src, digest FROM sn{k} QUALIFY count(*) OVER (PARTITION BY src) = 1" for k in range(height + 1))
+    roots = " UNION ALL ".join(f"SELECT digest FROM tn{k} QUALIFY count(*) OVER () = 1" for k in range(over + 1))
+    return f"""
+WITH d AS (SELECT doc_id, coalesce('=' || source, '') AS src, {leaf("text")} AS leaf,
+             CASE WHEN {_crc32("coalesce(doc_id::VARCHAR, '')")} % 5 = 0 THEN {leaf(lower)} END AS given FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+sn0 AS (SELECT src, pos, leaf AS digest FROM p){levels("s", height)},
+subs AS (SELECT src, digest, row_number() OVER (ORDER BY src) - 1 AS pos FROM ({tops})),
+tn0 AS (SELECT '' AS src, pos, digest FROM subs){levels("t", over)},
+roots AS ({roots}),
+s AS (SELECT doc_id, leaf, src, pos, '' AS proof, coalesce(given, leaf) AS node FROM p){climb("s", "s", height)},
+t AS (SELECT doc_id, leaf, '' AS src, subs.pos, subs.digest AS subroot, proof, node FROM sc{height - 1} c JOIN subs ON c.src = subs.src){climb("t", "t", over)}
+SELECT doc_id, leaf, subroot, digest AS root, sha256(proof) AS proof_sha256, node AS folded_root, node = digest AS verified FROM tc{over - 1}, roots"""
+
+
+@query(_manifest_sql())
+def op12_merkle_manifest(spark, sf_dir):
+    return verified_manifest(documents(spark, sf_dir))
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+     u AS (SELECT doc_id, text, CASE WHEN text = '' THEN [] ELSE regexp_extract_all(text, '[ 	-]*[^ 	-]+|[ 	-]+') END AS u,
+                  ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+     f AS (SELECT doc_id, text, u, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+                  CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+     p AS (SELECT doc_id, text, n, form, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:], '') AS suf FROM f)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(text) AS restored_sha256 FROM p""")
+def op13_fill_in_middle(spark, sf_dir):
+    return infill_digests(documents(spark, sf_dir))
