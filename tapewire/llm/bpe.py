@@ -7,6 +7,7 @@ Unicode 15.1 may be split or lower-cased otherwise by other implementations.
 import hashlib
 import heapq
 import json
+import struct
 import unicodedata
 from collections.abc import Iterator
 
@@ -20,8 +21,11 @@ from tapewire.llm.utf8 import slices
 
 #: Symbols beyond which a word goes by a heap, because scanning takes the square of its length.
 SHORT = 64
-#: Words whose ids a worker remembers; past that it starts afresh.
-REMEMBERED = 1 << 17
+#: Texts between white space, and words, whose ids a worker remembers; as many again are kept from before.
+REMEMBERED, REMEMBERED_WORDS = 1 << 15, 1 << 18
+#: Longer texts without white space are not remembered.
+_LONGEST = 64
+_SPACE = r"\s+"
 
 
 def byte_letters() -> list[str]:
@@ -32,7 +36,11 @@ def byte_letters() -> list[str]:
 
 
 class Vocabulary:
-    """What a tokenizer file says: ids, merge ranks, the split pattern and the added tokens."""
+    """What a tokenizer file says: ids, merges, the split pattern and the added tokens.
+
+    Merges go by ids: ``pairs`` gives for two ids (as one integer) rank and id of what they become. Texts
+    outside the vocabulary that merges mention have ids from ``size`` on.
+    """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -41,105 +49,151 @@ class Vocabulary:
         self.ids: dict[str, int] = dict(model["vocab"])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.ids.update(self.special)
-        self.ranks = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): r for r, m in enumerate(model["merges"])}
         self.suffix: str = model.get("end_of_word_suffix") or ""
-        kinds = [n["type"] for n in spec["normalizer"]["normalizers"]]
+        normal = spec["normalizer"]["normalizers"]
         split = spec["pre_tokenizer"]["pretokenizers"][0]
-        if kinds != ["NFC", "Replace", "Lowercase"] or not split["invert"] or split["behavior"] != "Removed":
-            raise ValueError(f"{path}: only lower-casing word tokenizers are supported")
         self.pattern: str = split["pattern"]["Regex"]
-        self.space: str = spec["normalizer"]["normalizers"][1]["pattern"]["Regex"]
+        kinds = [n["type"] for n in normal]
+        # White space then only parts words: no need to replace it, and what lies between is read by itself.
+        plain = kinds == ["NFC", "Replace", "Lowercase"] and (normal[1]["pattern"]["Regex"], normal[1]["content"]) == (_SPACE, " ")
+        if not plain or not split["invert"] or split["behavior"] != "Removed" or "(?" in self.pattern or regex.search(self.pattern, " "):
+            raise ValueError(f"{path}: only lower-casing word tokenizers are supported")
+        self.size = max(self.ids.values()) + 1
+        every, letters = dict(self.ids), byte_letters()
+
+        def number(token: str) -> int:
+            return every.setdefault(token, self.size + len(every) - len(self.ids))
+
+        self.inner, self.last = [number(c) for c in letters], [number(c + self.suffix) for c in letters]
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        self.pairs = {number(a) << 32 | number(b): rank << 32 | number(a + b) for rank, (a, b) in enumerate(merges)}
 
     def tokens(self) -> list[str]:
-        named = [""] * (max(self.ids.values()) + 1)
+        named = [""] * self.size
         for token, i in self.ids.items():
             named[i] = token
         return named
 
 
+class _Memory:
+    """Values of the keys met of late: when as many as ``most`` are held, those before them go."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def get(self, key: str):
+        found = self.new.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key: str, value) -> None:
+        if len(self.new) >= self.most:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+
+def _joined(found: list[tuple[bytes, str]]) -> tuple[bytes, str]:
+    return b"".join([ids for ids, _ in found]), " ".join([tokens for ids, tokens in found if ids])
+
+
 class Coder:
-    """Encodes and decodes with one vocabulary; remembers the ids of words it has met."""
+    """Encodes and decodes with one vocabulary; remembers what it has met."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.letters = byte_letters()
         self.word = regex.compile(vocabulary.pattern)
-        self.space = regex.compile(vocabulary.space)
+        self.gap = regex.compile(_SPACE)
+        # what str.split takes for white space and the tokenizer doesn't
+        odd = [c for c in map(chr, range(0x3001)) if c.isspace() and not self.gap.match(c)]
+        self.odd = regex.compile("[" + "".join(map(regex.escape, odd)) + "]") if odd else None
         self.names = vocabulary.tokens()
         longest_first = sorted(vocabulary.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, longest_first)) + ")") if longest_first else None
-        self.known: dict[str, bytes] = {}
+        self.known, self.words = _Memory(REMEMBERED), _Memory(REMEMBERED_WORDS)
 
     def pieces(self, text: str) -> list[str]:
-        """The words of a text, normalised: composed, white space as one space, lower case."""
+        """The words of a text, normalised: composed and in lower case."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
-        text = self.space.sub(" ", text)
         # Lower case is taken letter by letter, so a final sigma stays an ordinary one.
-        return self.word.findall(text.replace("Σ", "σ").lower())
-
-    def parts(self, word: str) -> list[str]:
-        """The tokens of a word: part boundaries in one array and the rank of each adjacent pair in another."""
-        letters = "".join([self.letters[b] for b in word.encode()])
-        n = len(letters)
-        text, ranks = letters + self.v.suffix, self.v.ranks
-        bounds = [*range(n), len(text)]
-        if n > SHORT:
-            return self._long(text, bounds)
-        never = len(ranks)
-
-        def rank(i: int) -> int:
-            return ranks.get((text[bounds[i] : bounds[i + 1]], text[bounds[i + 1] : bounds[i + 2]]), never)
-
-        pair = [rank(i) for i in range(n - 1)]
-        while pair and (least := min(pair)) < never:
-            i = pair.index(least)
-            del bounds[i + 1], pair[i]
-            if i < len(pair):
-                pair[i] = rank(i)
+        low = text.replace("Σ", "σ").lower()
+        return [low] if low.isalpha() else self.word.findall(low)
+
+    def parts(self, word: str) -> list[int]:
+        """The tokens of a word: its parts in one array and the ranks of adjacent parts in another."""
+        data, pairs = word.encode(), self.v.pairs
+        part = [self.v.inner[b] for b in data[:-1]] + [self.v.last[data[-1]]]
+        if len(part) > SHORT:
+            return self._long(part)
+        never = 1 << 62
+        rank = [pairs.get(a << 32 | b, never) for a, b in zip(part, part[1:], strict=False)]
+        while rank and (least := min(rank)) < never:
+            i = rank.index(least)
+            part[i] = least & 0xFFFFFFFF
+            del part[i + 1], rank[i]
+            if i < len(rank):
+                rank[i] = pairs.get(part[i] << 32 | part[i + 1], never)
             if i:
-                pair[i - 1] = rank(i - 1)
-        return [text[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+                rank[i - 1] = pairs.get(part[i - 1] << 32 | part[i], never)
+        return part
 
-    def _long(self, text: str, bounds: list[int]) -> list[str]:
+    def _long(self, part: list[int]) -> list[int]:
         """The same merges for a long word, smallest rank and then leftmost first, by a heap over linked parts."""
-        ranks, n = self.v.ranks, len(bounds) - 1
-        part = [text[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        pairs, n, gone = self.v.pairs, len(part), -1
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(r, i, part[i], part[i + 1]) for i in range(n - 1) if (r := ranks.get((part[i], part[i + 1]))) is not None]
+        heap = [(r, i, part[i + 1]) for i in range(n - 1) if (r := pairs.get(part[i] << 32 | part[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, left, right = heapq.heappop(heap)
+            r, i, right = heapq.heappop(heap)
             j = after[i]
-            if part[i] != left or j < 0 or part[j] != right:
+            if part[i] == gone or j < 0 or part[j] != right or pairs.get(part[i] << 32 | right) != r:
                 continue
-            part[i], part[j], after[i] = left + right, "", after[j]
+            part[i], part[j], after[i] = r & 0xFFFFFFFF, gone, after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for a in (before[i], i):
-                if a >= 0 and (b := after[a]) >= 0 and (r := ranks.get((part[a], part[b]))) is not None:
-                    heapq.heappush(heap, (r, a, part[a], part[b]))
-        return [p for p in part if p]
-
-    def encode_word(self, word: str) -> bytes:
-        """The ids of a word as little-endian 32-bit integers; parts outside the vocabulary have none."""
-        ids = self.v.ids
-        found = np.array([ids[p] for p in self.parts(word) if p in ids], "<u4").tobytes()
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        self.known[word] = found
+                if a >= 0 and (b := after[a]) >= 0 and (r := pairs.get(part[a] << 32 | part[b])) is not None:
+                    heapq.heappush(heap, (r, a, part[b]))
+        return [p for p in part if p != gone]
+
+    def _word(self, word: str) -> tuple[bytes, str]:
+        """The ids of a word as little-endian 32-bit integers, and their tokens; parts outside the vocabulary have none."""
+        found = self.words.get(word)
+        if found is None:
+            own = [p for p in self.parts(word) if p < self.v.size]
+            found = (struct.pack(f"<{len(own)}I", *own), " ".join([self.names[p] for p in own]))
+            if len(word) <= _LONGEST:
+                self.words.put(word, found)
         return found
 
+    def _run(self, run: str) -> tuple[bytes, str]:
+        """Ids, and what they decode to, of a text without white space."""
+        found = self.known.get(run)
+        if found is None:
+            words = [self._word(w) for w in self.pieces(run)]
+            found = words[0] if len(words) == 1 else _joined(words)
+            if len(run) <= _LONGEST:
+                self.known.put(run, found)
+        return found
+
+    def _runs(self, text: str) -> list[tuple[bytes, str]]:
+        runs = text.split() if self.odd is None or not self.odd.search(text) else [r for r in self.gap.split(text) if r]
+        known, own = self.known.new, self._run
+        return [known[r] if r in known else own(r) for r in runs]
+
+    def code(self, text: str) -> tuple[bytes, str]:
+        """The ids of a text, the added tokens that it spells out included, and what they decode to."""
+        if self.special is None or not any(token in text for token in self.v.special):
+            found = self._runs(text)
+        else:
+            found = []
+            for k, piece in enumerate(self.special.split(text)):
+                found += [(self.v.special[piece].to_bytes(4, "little"), piece)] if k % 2 else self._runs(piece)
+        return _joined(found)
+
     def encode(self, text: str) -> bytes:
-        """The ids of a text, the added tokens that it spells out included."""
-        known, own = self.known, self.encode_word
-        out = []
-        for k, piece in enumerate(self.special.split(text) if self.special else (text,)):
-            if k % 2:
-                out.append(self.v.special[piece].to_bytes(4, "little"))
-            else:
-                out += [known[w] if w in known else own(w) for w in self.pieces(piece)]
-        return b"".join(out)
+        return self.code(text)[0]
 
     def decode(self, ids: bytes) -> str:
         """The tokens of the ids, joined by one space, as the format has no rule to join them otherwise."""
@@ -210,12 +264,19 @@ def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(path, shared)
         for batch in slices(batches):
-            found = [coder.encode(t) for t in batch.column("text").to_pylist()]
+            found, counts, of_ids, of_text = [], [], [], []
+            for t in batch.column("text").to_pylist():
+                ids, decoded = coder.code(t)
+                counts.append(len(ids) // 4)
+                of_ids.append(hashlib.sha256(ids).hexdigest())
+                of_text.append(hashlib.sha256(decoded.encode()).hexdigest())
+                if with_ids:
+                    found.append(ids)
             columns = {
                 "doc_id": batch.column("doc_id"),
-                "n_tokens": pa.array([len(x) // 4 for x in found], pa.int64()),
-                "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in found], pa.string()),
-                "decoded_sha256": pa.array([hashlib.sha256(coder.decode(x).encode()).hexdigest() for x in found], pa.string()),
+                "n_tokens": pa.array(counts, pa.int64()),
+                "ids_sha256": pa.array(of_ids, pa.string()),
+                "decoded_sha256": pa.array(of_text, pa.string()),
             }
             if with_ids:
                 columns["ids"] = _lists(found)

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from tapewire.llm import bpe
 from tapewire.llm.bpe import SHORT, Coder, Vocabulary, decode_documents, encode_documents, token_digests
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -23,15 +24,17 @@ ODD = [
     "x\xa0y z\x85w\x1cq\x00r",
     "123 ４５ Ⅻ ½ 日本語テキスト 🎉👩‍👩‍👧",
     " \t\n",
+    "a\x1cb \x1d\x1e c\x1f<|endoftext|>\x1c <|endoftext|",
+    "word " * 3 + "w" * 70 + " " + "w" * 70 + " ́a e ́ \u2000́x",
     "​﻿ a",
 ]
 
 
-def _same(text):
+def _same(text, coder=CODER):
     want = LIBRARY.encode(text, add_special_tokens=False).ids
-    got = CODER.encode(text)
+    got, decoded = coder.code(text)
     assert np.frombuffer(got, "<u4").tolist() == want
-    assert CODER.decode(got) == LIBRARY.decode(want, skip_special_tokens=False)
+    assert decoded == coder.decode(got) == LIBRARY.decode(want, skip_special_tokens=False)
 
 
 @pytest.mark.parametrize("text", ODD)
@@ -50,6 +53,15 @@ def test_long_words(word):
     _same(word)
 
 
+def test_what_is_remembered_does_not_matter(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 3)
+    monkeypatch.setattr(bpe, "REMEMBERED_WORDS", 2)
+    coder = Coder(Vocabulary(PATH))
+    for text in [*ODD, "one two three four five, six. one two three! " * 5, *ODD]:
+        _same(text, coder)
+    assert len(coder.known.new) <= 3 and len(coder.known.old) <= 3
+
+
 def test_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     extra = spark.createDataFrame([(-1, None), (-2, ""), (None, ODD[0]), (5, "again"), (5, "again")], "doc_id long, text string")
