@@ -1,9 +1,10 @@
-"""Stratified split into train and test rows with exact class sizes."""
+"""Splits into train and test rows of exact sizes: stratified by class, or by time."""
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewire.session import store
@@ -31,6 +32,19 @@ def class_sizes(counts: dict[str, int], test_fraction: float) -> dict[str, int]:
     return {c: counts[c] - train[c] for c in counts}
 
 
+def _hashes(df: DataFrame, key: Sequence[str], seed: int) -> dict[str, Column]:
+    """``_order``, a hash of the key, and ``_within``, one of the whole row."""
+    parts = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key]
+    whole = [F.to_json(c) if "map<" in t else F.col(c) for c, t in df.dtypes]
+    # the hashes skip nulls, also those inside of values
+    whole += [F.to_json(c, {"ignoreNullFields": "false"}) for c, t in df.dtypes if t.startswith(("struct", "array", "map"))]
+    whole += [F.col(c).isNull() for c in df.columns]
+    return {
+        "_order": F.md5(F.concat_ws(":", F.lit(str(seed)), *parts)),
+        "_within": F.md5(F.concat_ws(":", F.lit(str(seed)), F.xxhash64(*whole).cast("string"), F.hash(*whole).cast("string"))),
+    }
+
+
 def stratified_split(
     df: DataFrame,
     label: str = "label",
@@ -49,17 +63,7 @@ def stratified_split(
     of the whole row in the same way. Rows that are equal in every column are
     interchangeable: at the cut they are counted, and dealt out by number.
     """
-    parts = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key]
-    whole = [F.to_json(c) if "map<" in t else F.col(c) for c, t in df.dtypes]
-    # the hashes skip nulls, also those inside of values
-    whole += [F.to_json(c, {"ignoreNullFields": "false"}) for c, t in df.dtypes if t.startswith(("struct", "array", "map"))]
-    whole += [F.col(c).isNull() for c in df.columns]
-    hashed = df.where(F.col(label).isNotNull()).withColumns(
-        {
-            "_order": F.md5(F.concat_ws(":", F.lit(str(seed)), *parts)),
-            "_within": F.md5(F.concat_ws(":", F.lit(str(seed)), F.xxhash64(*whole).cast("string"), F.hash(*whole).cast("string"))),
-        }
-    )
+    hashed = df.where(F.col(label).isNotNull()).withColumns(_hashes(df, key, seed))
     spark, kind = df.sparkSession, df.schema[label].dataType.simpleString()
     slim = hashed.select(F.col(label).alias("class"), "_order", "_within")
     cuts = {c["class"]: c for c in _cuts(slim, kind, "_order", lambda counts: class_sizes(counts, test_fraction))}
@@ -132,3 +136,104 @@ def _cuts(rows: DataFrame, kind: str, order: str, sizes) -> list[dict]:
 def _running(counts: DataFrame, order: str) -> DataFrame:
     w = Window.partitionBy("class").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return counts.withColumn("upto", F.sum("n").over(w))
+
+
+# --- by time -------------------------------------------------------------------
+
+#: Digits of a hash that one histogram tells apart: 65,536 buckets.
+_DIGITS = 4
+
+
+def _steps(time: str) -> dict[str, Column]:
+    """Columns that order rows by time, then by the hashes of ``_hashes``; each has few values where those before are equal."""
+    micros, day = f"unix_micros(`{time}`)", 86_400_000_000
+    steps = {
+        "_s0": F.expr(f"({micros} - pmod({micros}, {day})) div {day}"),
+        "_s1": F.expr(f"pmod({micros}, {day}) div 1000000"),
+        "_s2": F.expr(f"pmod({micros}, 1000000)"),
+    }
+    for name in ("_order", "_within"):
+        for first in range(0, 32, _DIGITS):
+            digits = F.substring(name, first + 1, _DIGITS)
+            steps[f"_s{len(steps)}"] = F.conv(digits, 16, 10).cast("long")
+    return steps
+
+
+@dataclass(frozen=True)
+class _Cut:
+    """Where the first so many rows end: the values of the first steps of the last of them.
+
+    Of the ``n`` rows with these values ``take`` belong to the first ones; all, unless they are equal in every step.
+    """
+
+    at: tuple[int, ...]
+    take: int
+    n: int
+
+    @property
+    def inside(self) -> bool:
+        return self.take < self.n
+
+
+def _cut_after(slim: DataFrame, steps: Sequence[str], wanted: int) -> _Cut:
+    """The cut after ``wanted`` rows, found by counting: each histogram looks only into the bucket that the last one led to."""
+    at, rest, n = [], wanted, 0
+    for step in steps:
+        counts = slim.groupBy(step).agg(F.count(F.lit(1)).alias("n"))
+        # a histogram of days, of a day's seconds, or of so many digits
+        upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy(step).rowsBetween(Window.unboundedPreceding, 0)))
+        found = upto.where((F.col("upto") >= rest) & (F.col("upto") - F.col("n") < rest)).first()
+        at.append(found[step])
+        rest, n = rest - found["upto"] + found["n"], found["n"]
+        if rest == n:
+            break
+        slim = slim.where(F.col(step) == at[-1])
+    return _Cut(tuple(at), rest, n)
+
+
+def time_split(
+    df: DataFrame, time: str = "published_at", key: Sequence[str] = ("url",), test_fraction: float = 0.2, gap: int = 0, seed: int = 42
+) -> tuple[DataFrame, DataFrame]:
+    """Train rows, and the test rows that all come after them in time.
+
+    The last rows by time, ``test_fraction`` of them and rounded up, are for testing. The ``gap`` rows before these are in
+    neither part, so that prices some rows after a training article need not lie among the test articles. Rows without
+    a time are left out.
+
+    Rows of one time are ordered by a hash of the key, then by one of the whole row, and rows that are
+    equal in every column are dealt out by number. So the parts depend on the rows alone, not on their order or partitions. No
+    row is sorted or moved: the cut is found by counting days, then seconds of one day, and so on, and
+    the parts are comparisons with it.
+    """
+    if not 0 <= gap:
+        raise ValueError(f"a gap cannot be negative: {gap}")
+    steps = _steps(time)
+    marked = df.where(F.col(time).isNotNull()).withColumns(_hashes(df, key, seed)).withColumns(steps)
+    slim = marked.select(*steps)
+    total = slim.count()
+    n_test = math.ceil(test_fraction * total)
+    n_train = total - n_test - gap
+    if n_train < 1 or n_test < 1:
+        raise ValueError(f"{total} rows with a time leave no train or no test rows beside a gap of {gap}.")
+    last_train = _cut_after(slim, list(steps), n_train)
+    last_before = _cut_after(slim, list(steps), n_train + gap) if gap else last_train
+
+    def place(cut: _Cut) -> tuple[Column, Column]:
+        """Whether a row comes up to the cut, and whether it is among the equal rows that the cut divides."""
+        own = F.struct(*list(steps)[: len(cut.at)])
+        edge = F.struct(*[F.lit(v).cast("long").alias(s) for s, v in zip(steps, cut.at, strict=False)])
+        return own <= edge, (own == edge) if cut.inside else F.lit(False)
+
+    (upto, parted), (before, parted_before) = place(last_train), place(last_before)
+    divided = parted | parted_before
+    train = marked.where(upto & ~divided).select(*df.columns)
+    test = marked.where(~before & ~divided).select(*df.columns)
+    if last_train.inside or last_before.inside:
+        copies = marked.where(divided).groupBy(*steps).agg(F.first(F.struct(*df.columns)).alias("row"), F.count(F.lit(1)).alias("n"))
+
+        def dealt(number: Column) -> DataFrame:
+            return copies.withColumn("n", number).where("n > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select("row.*")
+
+        train = train.union(dealt(F.when(parted, F.lit(last_train.take)).when(upto, F.col("n")).otherwise(0).cast("long")))
+        test = test.union(dealt(F.when(parted_before, F.col("n") - F.lit(last_before.take)).when(before, F.lit(0)).otherwise(F.col("n")).cast("long")))
+    return train, test

@@ -4,18 +4,17 @@ import datetime as dt
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tapewire.operators.bars import INTERVALS, ohlcv_bars
 from tapewire.operators.columns import union_batches
 from tapewire.operators.prices import in_period, normalize_prices, parse_tickers, with_tickers
-from tapewire.operators.report import ingest_report
 from tapewire.operators.upsert import latest_prices
-from tapewire.session import store
 from tapewire.sources.landed import price_download_groups
 from tapewire.sources.tables import save_prices
 
 DEFAULT_TICKERS = "SPY,CL=F,^VIX"
+#: Columns as of ``ingest_report``.
+_REPORT = "ticker string, rows long, usable_rows long, first_date timestamp, last_date timestamp"
 
 
 def landed_prices(
@@ -74,10 +73,8 @@ def ingest_prices(
     prices = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), kinds)
     if interval in ("1wk", "1mo"):
         prices = ohlcv_bars(latest_prices(union_batches(None, prices)), interval)
-    arrived = store(prices).rows
-    left_out = save_prices(out, arrived, skip_shared=True)
-    report = ingest_report(arrived.where(~F.col("ticker").isin(left_out)))
-    wanted = parse_tickers(tickers)
-    # no more rows than tickers were asked for
-    written = {r["ticker"] for r in report.select("ticker").collect()}
-    return report, [t for t in wanted if t not in written]
+    # counted while the tickers are judged, in the pass over the rows that the merge needs anyway
+    written = [v for v in save_prices(out, prices, skip_shared=True) if not v.why]
+    report = spark.createDataFrame([(v.ticker, v.rows, v.usable_rows, v.first_date, v.last_date) for v in written], _REPORT)
+    names = {v.ticker for v in written}
+    return report, [t for t in parse_tickers(tickers) if t not in names]

@@ -1,5 +1,6 @@
 """TF-IDF and logistic regression on a training set, scored on a hold-out."""
 
+import math
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -11,13 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewire.operators.report import classification_report, format_report
-from tapewire.operators.split import stratified_split
+from tapewire.operators.split import stratified_split, time_split
 from tapewire.operators.terms import MAX_FEATURES, MIN_DF, NGRAM_RANGE, fit_tfidf
-from tapewire.session import durable, shared_dir
+from tapewire.session import Stored, remove, shared_dir, store
 from tapewire.sources.tables import read_training_set
 
 MAX_ITERATIONS = 1000
 TOLERANCE = 1e-4
+#: Rows of a part that the fit goes over in one task.
+ROWS_PER_PART = 20_000
 
 
 @dataclass(frozen=True)
@@ -25,6 +28,12 @@ class Baseline:
     model: PipelineModel
     predictions: DataFrame  # of the test rows: label, prediction and the key
     report: DataFrame
+    stored: tuple[Stored, ...] = ()
+
+    def drop(self) -> None:
+        """Remove the stored predictions, which ``predictions`` and ``report`` read."""
+        for rows in self.stored:
+            rows.drop()
 
     def text(self, digits: int = 3) -> str:
         return format_report(self.report.collect(), digits)
@@ -59,14 +68,16 @@ def fit_classifier(
         standardization=False,
     )
     ready = labels.transform(weights.transform(train)).select("features", "_class")
-    fitted = _without_summary(regression.fit(ready))
+    # each step of the fit is a job over all parts, and small ones cost more to start than to run
+    ready = ready.coalesce(math.ceil(weights.documents / ROWS_PER_PART))
+    fitted = without_summary(regression.fit(ready))
     names = IndexToString(
         inputCol="_predicted", outputCol="prediction", labels=labels.labels
     )
     return PipelineModel([*weights.stages, fitted, names])
 
 
-def _without_summary(model: LogisticRegressionModel) -> LogisticRegressionModel:
+def without_summary(model: LogisticRegressionModel) -> LogisticRegressionModel:
     """The model as a saved and reloaded copy.
 
     A freshly fitted model carries its training summary, and with it the session,
@@ -75,7 +86,9 @@ def _without_summary(model: LogisticRegressionModel) -> LogisticRegressionModel:
     spark = SparkSession.getActiveSession()
     path = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
     model.write().save(path)
-    return LogisticRegressionModel.load(path)
+    loaded = LogisticRegressionModel.load(path)
+    remove(spark, path)
+    return loaded
 
 
 def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
@@ -94,17 +107,28 @@ def train_baseline(
     key: Sequence[str] = ("url",),
     test_fraction: float = 0.2,
     seed: int = 42,
+    by_time: str | None = None,
+    gap: int = 0,
     **settings,
 ) -> Baseline:
-    """Split, fit, predict and report. ``settings`` are those of fit_classifier."""
+    """Split, fit, predict and report. ``settings`` are those of fit_classifier.
+
+    The split is stratified by label; with ``by_time``, the column of a time, the test rows are the last in time,
+    ``gap`` rows after the train rows.
+    """
     # Written once: the split, the vocabulary, the fit and the prediction each read them.
-    rows = durable(usable_rows(data))
-    train, test = stratified_split(rows, "label", key, test_fraction, seed)
+    kept = store(usable_rows(data))
+    rows = kept.rows
+    if by_time is None:
+        train, test = stratified_split(rows, "label", key, test_fraction, seed)
+    else:
+        train, test = time_split(rows, by_time, key, test_fraction, gap, seed)
     model = fit_classifier(train, **settings)
     # Written out: the report reads them too, and a filter on the prediction
     # would otherwise be pushed through the model and evaluate it again.
-    predictions = durable(predict(model, test).drop("text"))
-    return Baseline(model, predictions, classification_report(predictions))
+    scored = store(predict(model, test).drop("text"))
+    kept.drop()
+    return Baseline(model, scored.rows, classification_report(scored.rows), (scored,))
 
 
 def train_from_path(spark: SparkSession, path: str, **settings) -> Baseline:

@@ -1,13 +1,13 @@
 """Stored tables: prices by ticker, news by url bucket, training sets.
 
 Both keyed tables are merged on write. The partitions an incoming batch touches
-are read, merged with the batch and written to a folder beside the table; the
-rest of the table is neither read nor written. When all new files are there,
-each touched partition is moved in, and the old one out, by renaming. A job that
-fails before that leaves the table as it was, and a failing move puts the moved
-partitions back. Two writers of one table at a time are not provided for.
+are read, merged with the batch and written anew; the rest of the table is neither
+read nor written. The new files count from one moment on, for all partitions at once
+(see ``commits``); a job that fails before that leaves the table as it was. Of two writers
+at a time the later one fails.
 """
 
+import datetime as dt
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -23,6 +23,7 @@ from tapewire.operators.columns import align
 from tapewire.operators.upsert import upsert_news, upsert_prices
 from tapewire.schemas import NEWS, PRICES
 from tapewire.session import store
+from tapewire.sources.commits import Disk, FileList, commit, newest
 
 BUCKETS = 256
 _BUCKET_COLUMN = "url_bucket_of_"
@@ -50,14 +51,26 @@ def write_training_set(
     df.write.mode("overwrite").parquet(path)
 
 
-def _read_split(spark: SparkSession, path: str, folders: Sequence[str] | None = None) -> DataFrame:
-    """Parquet files with partition folders; ticker paths are text, whatever they look like."""
-    found = spark.read.parquet(path).schema
-    schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == "ticker_path" else f.dataType) for f in found])
-    reader = spark.read.schema(schema)
-    if folders is None:
-        return reader.parquet(path)
-    return reader.option("basePath", path).parquet(*[f"{path.rstrip('/')}/{f}" for f in folders])
+def _text_paths(schema: T.StructType) -> T.StructType:
+    """Ticker paths are text, whatever they look like."""
+    return T.StructType([T.StructField(f.name, T.StringType() if f.name == "ticker_path" else f.dataType) for f in schema])
+
+
+def _read_files(spark: SparkSession, path: str, kind: T.StructType, parts: Sequence[str], files: Sequence[str]) -> DataFrame:
+    """These files of a table, with its partition columns."""
+    extra = [T.StructField(p, T.StringType() if p == "ticker_path" else T.IntegerType()) for p in parts]
+    schema = T.StructType([*kind.fields, *extra])
+    if not files:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", path).parquet(*[f"{path.rstrip('/')}/{f}" for f in files])
+
+
+def _read_split(spark: SparkSession, path: str, kind: T.StructType) -> DataFrame:
+    """All of a table: by its list, or where it has none, every parquet file in its folder."""
+    listed = newest(Disk(spark, path))
+    if listed is not None:
+        return _read_files(spark, path, kind, listed.parts, listed.files)
+    return spark.read.schema(_text_paths(spark.read.parquet(path).schema)).parquet(path)
 
 
 def read_price_table(
@@ -65,9 +78,10 @@ def read_price_table(
 ) -> DataFrame:
     """A price table of this package, or plain parquet files with prices in them.
 
-    With ``tickers`` only their rows, and of a split table only their folders.
+    With ``tickers`` only their rows, and of a split table only their folders. The rows are those at the
+    time of this call, also if the table is merged into afterwards; they can be read until the merge after that.
     """
-    raw = _read_split(spark, path)
+    raw = _read_split(spark, path, PRICES)
     split = "ticker_path" in raw.columns
     if tickers is not None and split:
         raw = raw.where(F.col("ticker_path").isin([path_key(F.lit(t)) for t in tickers]))
@@ -77,8 +91,8 @@ def read_price_table(
 
 
 def read_news_table(spark: SparkSession, path: str) -> DataFrame:
-    """A news table of this package, or plain parquet files with articles in them."""
-    raw = spark.read.parquet(path)
+    """A news table of this package, or plain parquet files with articles in them; see ``read_price_table``."""
+    raw = _read_split(spark, path, NEWS)
     return raw.drop(*[c for c in raw.columns if c.startswith(_BUCKET_COLUMN)])
 
 
@@ -108,28 +122,9 @@ class _Layout:
         )
 
 
-class _Folders:
-    """Renames on the file system of a table."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.of = spark._jvm.org.apache.hadoop.fs.Path
-        self.fs = self.of(path).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def exists(self, path: str) -> bool:
-        return self.fs.exists(self.of(path))
-
-    def move(self, old: str, new: str) -> None:
-        self.fs.mkdirs(self.of(new).getParent())
-        if not self.fs.rename(self.of(old), self.of(new)):
-            raise OSError(f"{old} could not be moved to {new}")
-
-    def remove(self, path: str) -> None:
-        self.fs.delete(self.of(path), True)
-
-
 def replace_folder(spark: SparkSession, new: str, path: str) -> None:
     """Put a written folder in place of another, which goes only after that."""
-    disk, path = _Folders(spark, path), path.rstrip("/")
+    disk, path = Disk(spark, path), path.rstrip("/")
     old = f"{new}-old"
     if disk.exists(path):
         disk.move(path, old)
@@ -137,42 +132,49 @@ def replace_folder(spark: SparkSession, new: str, path: str) -> None:
     disk.remove(old)
 
 
-def _replace(spark: SparkSession, path: str, new: str, folders: list[str]) -> None:
-    """Put the partitions of ``new`` in place of those of the table; one that is not in ``new`` has no rows left."""
-    disk, old, moves = _Folders(spark, path), f"{new}-old", []
-    try:
-        for folder in folders:
-            for source, target in ((f"{path}/{folder}", f"{old}/{folder}"), (f"{new}/{folder}", f"{path}/{folder}")):
-                if disk.exists(source):
-                    disk.move(source, target)
-                    moves.append((source, target))
-    except Exception:
-        for source, target in reversed(moves):
-            disk.move(target, source)
-        raise
-    finally:
-        disk.remove(new)
-    disk.remove(old)
-
-
-def _merge_into(path: str, layout: _Layout, keys: list[T.Row], merge, schema: T.StructType, sort: list[str]) -> None:
+def _there(spark: SparkSession, path: str) -> FileList | None:
+    """The list of a table, made from its folder where it has none yet; None where there is no table."""
+    disk = Disk(spark, path)
+    listed = newest(disk)
+    if listed is not None or _columns_of(spark, path) is None:
+        return listed
+    found = _read_split(spark, path, PRICES)
+    files = disk.data_files(path)
+    parts = list(dict.fromkeys(p.split("=", 1)[0] for f in files for p in f.split("/")[:-1]))
+    names = {}
+    if "ticker_path" in parts:
+        # one row per ticker, once in the life of a table
+        names = {r["ticker_path"]: r["ticker"] for r in found.select("ticker_path", "ticker").distinct().collect()}
+    return FileList(0, parts, files, names)
+
+
+def _merge_into(
+    path: str, layout: _Layout, there: FileList | None, keys: list[T.Row], merge, schema: T.StructType, sort: list[str],
+    names: dict[str, str] | None = None, batch: tuple[str, int] | None = None,
+) -> None:
     """Rewrite the partitions that ``keys`` list. ``merge`` gets the rows stored in them, or None.
 
-    The list of touched partitions is on the driver, since each is moved by name.
+    The list of touched partitions is on the driver, since the files of each are moved by name.
     """
     spark = SparkSession.getActiveSession()
     path = path.rstrip("/")
-    disk = _Folders(spark, path)
-    folders = [layout.folder(spark, k) for k in keys]
-    there = [f for f in folders if disk.exists(f"{path}/{f}")]
-    old = _read_split(spark, path, there) if there else None
+    disk, now = Disk(spark, path), there or FileList(0, layout.names)
+    folders = sorted({layout.folder(spark, k) for k in keys})
+    stored = now.of_folders(folders)
+    old = _read_files(spark, path, schema, layout.names, stored) if stored else None
     new = f"{path}.incoming-{uuid.uuid4().hex}"
     try:
         layout.write(align(merge(old), schema, layout.names), new, sort)
-    except Exception:
+        added = disk.data_files(new)
+        for file in added:
+            disk.move(f"{new}/{file}", f"{path}/{file}")
+    finally:
         disk.remove(new)
-        raise
-    _replace(spark, path, new, folders)
+    gone = set(stored)
+    after = FileList(
+        0, layout.names, [f for f in now.files if f not in gone] + added, now.names | (names or {}), now.batches | ({batch[0]: batch[1]} if batch else {})
+    )
+    commit(disk, there, after)
 
 
 def _price_layout(by_year: bool) -> _Layout:
@@ -197,70 +199,101 @@ def _columns_of(spark: SparkSession, path: str) -> list[str] | None:
         raise
 
 
-def save_prices(path: str, incoming: DataFrame, by_year: bool = False, skip_shared: bool = False) -> list[str]:
+@dataclass(frozen=True)
+class Verdict:
+    """What became of a ticker's rows in a merge: stored, or not, and ``why``."""
+
+    ticker: str
+    rows: int
+    usable_rows: int
+    first_date: dt.datetime
+    last_date: dt.datetime
+    why: str | None = None
+
+
+_NO_PRICE = "no row with an adjusted close"
+
+
+def save_prices(
+    path: str, incoming: DataFrame, by_year: bool = False, skip_shared: bool = False, batch: tuple[str, int] | None = None
+) -> list[Verdict]:
     """Merge prices into the table, the last arrival winning per date and ticker.
 
     The table is split by ticker. ``by_year`` splits it by year as well, which
     pays for ticks and not for daily prices: a batch then rewrites the current
     year of its tickers only. A table stays as it began.
 
-    Rows without a ticker are refused, and so are tickers that would share a
-    folder with others, unless ``skip_shared`` leaves these out; their names are
-    returned.
+    Each ticker is judged by itself. One without any usable row in ``incoming`` is refused: what is stored of it stays, and
+    the others are merged. Where all are refused, ValueError is raised. So it is for rows without a ticker, and for tickers
+    that would share a folder with others, unless ``skip_shared`` leaves these out.
+
+    ``batch`` is the name of a stream and the number of its micro-batch; one that was merged before is passed over.
+    Returns a verdict for each ticker; the driver holds these, as it holds the partitions to be rewritten.
     """
     spark = incoming.sparkSession
-    columns = _columns_of(spark, path)
-    if columns is not None:
-        if "ticker_path" not in columns:
+    there = _there(spark, path)
+    if there is not None:
+        if "ticker_path" not in there.parts:
             raise ValueError(f"{path} is no price table of this layout.")
-        by_year = "year" in columns
+        if there.has_merged(batch):
+            return []
+        by_year = "year" in there.parts
     layout = _price_layout(by_year)
     arrived = store(layout.add(incoming).where("date is not null"))
     try:
-        return _save_prices(spark, path, layout, arrived.rows, columns is not None, skip_shared)
+        keys, verdicts = _judged(arrived.rows, layout, there, skip_shared)
+        refused = [v.ticker for v in verdicts if v.why]
+        rows = arrived.rows
+        if refused:
+            known = spark.createDataFrame([(t,) for t in refused], "ticker string")
+            rows = rows.join(F.broadcast(known), "ticker", "left_anti")
+        names = {k["ticker_path"]: k["ticker"] for k in keys}
+        _merge_into(path, layout, there, keys, lambda old: upsert_prices(old, rows), PRICES, ["date"], names, batch)
+        return verdicts
     finally:
         arrived.drop()
 
 
-def _save_prices(spark, path: str, layout: _Layout, batch: DataFrame, exists: bool, skip_shared: bool) -> list[str]:
-    keys = batch.groupBy(*layout.names).agg(
+def _judged(batch: DataFrame, layout: _Layout, there: FileList | None, skip_shared: bool) -> tuple[list[T.Row], list[Verdict]]:
+    """The partitions of the tickers that pass, and the verdicts on all."""
+    keys = batch.groupBy("ticker", *layout.names).agg(
+        F.count(F.lit(1)).alias("rows"),
         F.count(F.nanvl("adj_close", F.lit(None).cast("double"))).alias("usable"),
-        F.count_if(F.col("ticker").isNull()).alias("nameless"),
-        F.min("ticker").alias("low"),
-        F.max("ticker").alias("high"),
+        F.min("date").alias("first"),
+        F.max("date").alias("last"),
     ).collect()  # a row per partition to be rewritten
-    if any(k["nameless"] for k in keys):
+    if any(k["ticker"] is None for k in keys):
         raise ValueError("price rows without a ticker cannot be stored.")
-    shared = _shared_paths(spark, path, keys, exists)
+    by_ticker: dict[str, list[T.Row]] = {}
+    for k in keys:
+        by_ticker.setdefault(k["ticker"], []).append(k)
+    usable = {t: sum(k["usable"] for k in own) for t, own in by_ticker.items()}
+    on_path: dict[str, set[str]] = {}
+    for t, own in by_ticker.items():
+        if usable[t]:
+            on_path.setdefault(own[0]["ticker_path"], set()).add(t)
+    for path, names in on_path.items():
+        if there is not None and path in there.names:
+            names.add(there.names[path])
+    shared = {path: sorted(names) for path, names in on_path.items() if len(names) > 1}
     if shared and not skip_shared:
-        raise ValueError("; ".join(f"tickers {a!r} and {b!r} share the path {p!r}" for p, (a, b) in sorted(shared.items())))
-    of_shared = batch.where(F.col("ticker_path").isin(sorted(shared))).select("ticker").distinct()
-    left_out = sorted(r["ticker"] for r in of_shared.collect()) if shared else []
-    keys = [k for k in keys if k["ticker_path"] not in shared]
-    if not any(k["usable"] for k in keys):
+        raise ValueError("; ".join(f"tickers {names[0]!r} and {names[-1]!r} share the path {p!r}" for p, names in sorted(shared.items())))
+    verdicts = []
+    for t, own in sorted(by_ticker.items()):
+        path = own[0]["ticker_path"]
+        others = [n for n in shared.get(path, []) if n != t]
+        why = _NO_PRICE if not usable[t] else f"shares the path {path!r} with {', '.join(map(repr, others))}" if others else None
+        verdicts.append(Verdict(t, sum(k["rows"] for k in own), usable[t], min(k["first"] for k in own), max(k["last"] for k in own), why))
+    if not any(usable.values()):
         raise ValueError("none of these prices has an adjusted close; nothing was stored.")
-    if shared:
-        batch = batch.where(~F.col("ticker_path").isin(sorted(shared)))
-    _merge_into(path, layout, keys, lambda old: upsert_prices(old, batch), PRICES, ["date"])
-    return left_out
-
-
-def _shared_paths(spark, path: str, keys: list, exists: bool) -> dict[str, tuple[str, str]]:
-    """Paths that more than one ticker falls on, in the batch or with what is stored."""
-    names: dict[str, set[str]] = {}
-    for k in keys:
-        names.setdefault(k["ticker_path"], set()).update((k["low"], k["high"]))
-    if exists:
-        stored = _read_split(spark, path).where(F.col("ticker_path").isin(sorted(names)))
-        for r in stored.groupBy("ticker_path").agg(F.min("ticker").alias("low"), F.max("ticker").alias("high")).collect():
-            names[r["ticker_path"]].update((r["low"], r["high"]))
-    return {p: (min(n), max(n)) for p, n in names.items() if len(n) > 1}
+    passed = {v.ticker for v in verdicts if not v.why}
+    return [k for k in keys if k["ticker"] in passed], verdicts
 
 
 def save_news(
-    path: str, incoming: DataFrame, null_wins: bool = False, buckets: int = BUCKETS
+    path: str, incoming: DataFrame, null_wins: bool = False, buckets: int = BUCKETS, batch: tuple[str, int] | None = None
 ) -> bool:
-    """Merge articles into the table, one row per url; False if there were none.
+    """Merge articles into the table, one row per url; False if there were none, or if the ``batch`` was merged before.
 
     A url always falls into the same of ``buckets`` partitions. The number is
     part of the partition column's name; a table keeps the one it began with. A
@@ -268,11 +301,13 @@ def save_news(
     batches want many: about as many as rewrite files of a hundred megabytes.
     """
     spark = incoming.sparkSession
-    columns = _columns_of(spark, path)
-    if columns is not None:
-        names = [c for c in columns if c.startswith(_BUCKET_COLUMN)]
+    there = _there(spark, path)
+    if there is not None:
+        names = [c for c in there.parts if c.startswith(_BUCKET_COLUMN)]
         if not names:
             raise ValueError(f"{path} is no news table of this layout.")
+        if there.has_merged(batch):
+            return False
         buckets = int(names[0].rsplit("_", 1)[1])
     layout = _news_layout(buckets)
     published = to_utc(F.col("published_at"), incoming.schema["published_at"].dataType)
@@ -281,7 +316,7 @@ def save_news(
         keys = arrived.rows.select(*layout.names).distinct().collect()  # at most as many as buckets
         if not keys:
             return False
-        _merge_into(path, layout, keys, lambda old: upsert_news(old, arrived.rows, null_wins), NEWS, ["url"])
+        _merge_into(path, layout, there, keys, lambda old: upsert_news(old, arrived.rows, null_wins), NEWS, ["url"], batch=batch)
         return True
     finally:
         arrived.drop()

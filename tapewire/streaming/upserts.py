@@ -1,7 +1,7 @@
 """The upserts as streaming sinks.
 
-Each micro-batch goes through the same merge as a batch run. Merging a batch a
-second time changes nothing, so a replay after a failure is harmless.
+Each micro-batch goes through the same merge as a batch run. The table's list of files says which
+batches of a stream it holds, so one that is replayed after a failure is passed over.
 """
 
 from pyspark.sql import DataFrame
@@ -14,13 +14,17 @@ from tapewire.sources.tables import BUCKETS, save_news, save_prices
 def stream_prices(
     incoming: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
-    """Keep the price table at ``path`` current with a stream of normalised prices."""
+    """Keep the price table at ``path`` current with a stream of normalised prices.
+
+    Arrivals without a price are dropped and never replace one: otherwise what is stored would hang on how the
+    arrivals are cut into batches. The stream is known by its ``checkpoint``.
+    """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        batch = usable(batch).persist()
         try:
-            if not usable(batch).isEmpty():
-                save_prices(path, batch)
+            if not batch.isEmpty():
+                save_prices(path, batch, batch=(checkpoint, batch_id))
         finally:
             batch.unpersist()
 
@@ -44,7 +48,7 @@ def stream_news(
     def merge(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            save_news(path, batch, null_wins, buckets)
+            save_news(path, batch, null_wins, buckets, (checkpoint, batch_id))
         finally:
             batch.unpersist()
 

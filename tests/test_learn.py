@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapewire.operators.report import classification_report, format_report
-from tapewire.operators.split import class_sizes, stratified_split
+from tapewire.operators.split import class_sizes, stratified_split, time_split
 from tapewire.operators.terms import (
     explode_terms,
     fit_tfidf,
@@ -148,3 +148,47 @@ def test_baseline(spark, tmp_path):
     result.model.write().overwrite().save(str(tmp_path / "model"))
     loaded = PipelineModel.load(str(tmp_path / "model"))
     assert predict(loaded, data).where("label = prediction").count() == 60
+
+
+def _parts(data, **how):
+    train, test = time_split(data, "at", ["n"], **how)
+    return Counter(train.collect()), Counter(test.collect())
+
+
+@pytest.mark.parametrize("gap", [0, 1, 7])
+def test_time_split_is_exact_and_repeatable(spark, gap):
+    """Microseconds apart, many at one instant, before 1970, and without a time."""
+    data = spark.range(500).selectExpr(
+        "id AS n", "CASE WHEN id % 50 = 0 THEN NULL WHEN id % 3 = 0 THEN timestamp_micros(1700000000000000) ELSE timestamp_micros((id * 7919 % 500 - 250) * 6800000000001) END AS at"
+    )
+    train, test = _parts(data, gap=gap)
+    assert (sum(test.values()), sum(train.values())) == (98, 490 - 98 - gap)
+    assert max(r["at"] for r in train) <= min(r["at"] for r in test)
+    assert _parts(data.repartition(7, "at"), gap=gap) == (train, test)
+
+
+@pytest.mark.parametrize("gap", [0, 3, 40])
+def test_time_split_between_copies(spark, gap):
+    """All rows at one time, of four keys; rows that are equal in every column are dealt out by number."""
+    data = spark.range(100).selectExpr("id % 4 AS n", "timestamp'2024-01-01' AS at", "CASE WHEN id < 60 THEN 'same' ELSE cast(id AS string) END AS text")
+    train, test = _parts(data, gap=gap)
+    assert (sum(train.values()), sum(test.values())) == (80 - gap, 20)
+    assert not (train + test) - Counter(data.collect())
+    assert _parts(data.repartition(5, "text"), gap=gap) == (train, test)
+
+
+def test_time_split_refusals(spark):
+    data = spark.range(10).selectExpr("id AS n", "timestamp'2024-01-01' AS at")
+    for rows, gap in ((data, 8), (data.limit(0), 0), (data, -1), (data.withColumn("at", F.lit(None).cast("timestamp")), 0)):
+        with pytest.raises(ValueError):
+            time_split(rows, "at", ["n"], gap=gap)
+
+
+def test_baseline_by_time(spark):
+    """The test articles are the last ones, and what is learned from the others holds for them."""
+    data = spark.range(200).selectExpr(
+        "concat('u', id) AS url", "timestamp_seconds(id * 3600) AS published_at", "CASE WHEN id % 2 = 0 THEN 'prices rose because of oil' ELSE 'prices linked to gas' END AS text", "CASE WHEN id % 2 = 0 THEN 'causal' ELSE 'other' END AS label"
+    )
+    found = train_baseline(data, by_time="published_at", gap=10).predictions
+    assert {r.url for r in found.collect()} == {f"u{i}" for i in range(160, 200)}
+    assert found.where("prediction <> label").count() == 0

@@ -12,6 +12,7 @@ from tapewire.operators.upsert import upsert_prices
 from tapewire.plans.build_dataset import build_dataset, training_set
 from tapewire.plans.news_ingest import ingest_news
 from tapewire.plans.price_ingest import ingest_prices, landed_prices
+from tapewire.sources import commits
 from tapewire.sources.tables import (
     read_news_table,
     read_price_table,
@@ -241,14 +242,15 @@ def test_failed_save_leaves_the_table(spark, tmp_path):
 def test_tickers_that_share_a_path_do_not_stop_the_others(spark, tmp_path):
     path = str(tmp_path / "prices")
     day = dt.datetime(2024, 1, 1)
-    assert save_prices(path, prices(spark, [(day, 1.0, 1.0, t, 1) for t in ("CL=F", "CL/F", "SPY")]), skip_shared=True) == ["CL/F", "CL=F"]
+    verdicts = save_prices(path, prices(spark, [(day, 1.0, 1.0, t, 1) for t in ("CL=F", "CL/F", "SPY")]), skip_shared=True)
+    assert [(v.ticker, bool(v.why)) for v in verdicts] == [("CL/F", True), ("CL=F", True), ("SPY", False)]
     assert [r.ticker for r in read_price_table(spark, path).collect()] == ["SPY"]
 
 
 def test_every_ticker_of_a_shared_path_is_reported(spark, tmp_path):
     day = dt.datetime(2024, 1, 1)
     rows = prices(spark, [(day, 1.0, 1.0, t, 1) for t in ("A/B", "A=B", "A_B", "SPY")])
-    assert save_prices(str(tmp_path / "prices"), rows, skip_shared=True) == ["A/B", "A=B", "A_B"]
+    assert [v.ticker for v in save_prices(str(tmp_path / "prices"), rows, skip_shared=True) if v.why] == ["A/B", "A=B", "A_B"]
 
 
 def test_weekly_ingest(spark, tmp_path):
@@ -292,3 +294,124 @@ def test_shared_folder(spark, tmp_path, monkeypatch):
     assert stored.rows.count() == 3 and len(os.listdir(tmp_path / "shared")) == 1
     stored.drop()
     assert os.listdir(tmp_path / "shared") == []
+
+
+def days(spark, rows):
+    """(ticker, day, price) as normalised prices, in this order of arrival."""
+    return prices(spark, [(dt.datetime(2024, 1, d), p, p, t, n) for n, (t, d, p) in enumerate(rows)])
+
+
+def stored(spark, path):
+    return sorted((r.ticker, r.date.day, r.adj_close) for r in read_price_table(spark, path).collect())
+
+
+def test_refused_ticker_keeps_its_history(spark, tmp_path):
+    path = str(tmp_path / "prices")
+    save_prices(path, days(spark, [("A", 1, 1.0), ("A", 2, 2.0), ("B", 1, 3.0)]))
+    files = sorted(os.listdir(f"{path}/ticker_path=A"))
+    verdicts = save_prices(path, days(spark, [("A", 1, None), ("A", 2, float("nan")), ("B", 2, 4.0), ("C", 1, None)]))
+    assert [(v.ticker, v.rows, v.usable_rows, v.why is None) for v in verdicts] == [("A", 2, 0, False), ("B", 1, 1, True), ("C", 1, 0, False)]
+    assert stored(spark, path) == [("A", 1, 1.0), ("A", 2, 2.0), ("B", 1, 3.0), ("B", 2, 4.0)]
+    assert sorted(os.listdir(f"{path}/ticker_path=A")) == files and not os.path.exists(f"{path}/ticker_path=C")
+    # with another usable row of its own, an arrival without a price replaces the earlier one
+    save_prices(path, days(spark, [("A", 1, None), ("A", 3, 5.0)]))
+    assert stored(spark, path)[:2] == [("A", 2, 2.0), ("A", 3, 5.0)]
+
+
+@pytest.mark.parametrize("batches", [1, 2, 5])
+def test_streams_do_not_hang_on_the_cut(spark, tmp_path, batches):
+    rows = [("A", 1, None), ("B", 1, 1.0), ("A", 2, 2.5), ("A", 3, None), ("B", 1, None), ("C", 1, None), ("B", 2, 4.0), ("A", 2, 2.75), ("B", 2, None), ("A", 3, 9.0)]
+    path, source = str(tmp_path / "prices"), str(tmp_path / "in")
+    save_prices(path, days(spark, [("A", 1, 1.0), ("A", 3, 3.0)]))
+    size = len(rows) // batches
+    for k in range(batches):
+        part = days(spark, rows[k * size : (k + 1) * size]).coalesce(1).withColumn("row_seq", F.col("row_seq") + k * size)
+        part.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(part.schema).parquet(source)
+        stream_prices(stream, path, str(tmp_path / "progress")).awaitTermination()
+    assert stored(spark, path) == [("A", 1, 1.0), ("A", 2, 2.75), ("A", 3, 9.0), ("B", 1, 1.0), ("B", 2, 4.0)]
+
+
+def test_replayed_batch_is_passed_over(spark, tmp_path):
+    path = str(tmp_path / "prices")
+    save_prices(path, days(spark, [("A", 1, 1.0)]), batch=("s", 0))
+    save_prices(path, days(spark, [("A", 1, 2.0)]), batch=("s", 1))
+    lists = os.listdir(f"{path}/_lists")
+    assert save_prices(path, days(spark, [("A", 1, 1.0)]), batch=("s", 0)) == []
+    assert stored(spark, path) == [("A", 1, 2.0)] and os.listdir(f"{path}/_lists") == lists
+    assert save_prices(path, days(spark, [("A", 1, 3.0)]), batch=("other", 0)) != []
+    news = str(tmp_path / "news")
+    assert save_news(news, sample_news(spark), buckets=2, batch=("s", 4)) and not save_news(news, sample_news(spark), batch=("s", 4))
+
+
+def test_readers_see_the_table_before_or_after(spark, tmp_path, monkeypatch):
+    """The table is read at every step of a merge into several partitions: between the moves, and before and after the new list."""
+    path = str(tmp_path / "prices")
+    old = [("A", 1, 1.0), ("B", 1, 1.0), ("C", 1, 1.0)]
+    save_prices(path, days(spark, old))
+    seen, real = [], commits.Disk.move
+
+    def watched(disk, source, target):
+        seen.append(stored(spark, path))
+        real(disk, source, target)
+        seen.append(stored(spark, path))
+
+    monkeypatch.setattr(commits.Disk, "move", watched)
+    begun = read_price_table(spark, path)
+    new = [(t, 1, 2.0) for t in "ABC"]
+    save_prices(path, days(spark, new))
+    assert len(seen) == 8 and seen[:-1] == [old] * 7 and seen[-1] == new
+    # a reader that had begun goes on with what it saw
+    assert sorted((r.ticker, r.adj_close) for r in begun.collect()) == [(t, 1.0) for t in "ABC"]
+
+
+def test_failing_move_leaves_the_table(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "prices")
+    save_prices(path, days(spark, [("A", 1, 1.0), ("B", 1, 1.0)]))
+    real, moves = commits.Disk.move, []
+
+    def failing(disk, source, target):
+        moves.append(target)
+        if len(moves) == 2:
+            raise OSError("lost")
+        real(disk, source, target)
+
+    monkeypatch.setattr(commits.Disk, "move", failing)
+    with pytest.raises(OSError, match="lost"):
+        save_prices(path, days(spark, [("A", 1, 2.0), ("B", 1, 2.0)]))
+    assert stored(spark, path) == [("A", 1, 1.0), ("B", 1, 1.0)] and os.listdir(tmp_path) == ["prices"]
+    monkeypatch.setattr(commits.Disk, "move", real)
+    save_prices(path, days(spark, [("A", 1, 3.0)]))
+    assert stored(spark, path) == [("A", 1, 3.0), ("B", 1, 1.0)]
+
+
+def test_second_writer_fails(spark, tmp_path):
+    path = str(tmp_path / "prices")
+    save_prices(path, days(spark, [("A", 1, 1.0)]))
+    disk = commits.Disk(spark, path)
+    before = commits.newest(disk)
+    save_prices(path, days(spark, [("A", 1, 2.0)]))
+    with pytest.raises(OSError):
+        commits.commit(disk, before, before)
+    assert stored(spark, path) == [("A", 1, 2.0)]
+
+
+def test_files_of_old_lists_go(spark, tmp_path):
+    path = str(tmp_path / "prices")
+    for n in range(5):
+        save_prices(path, days(spark, [("A", 1, float(n))]))
+    assert len(os.listdir(f"{path}/_lists")) == 2 * 2  # each with its checksum
+    assert len([f for f in os.listdir(f"{path}/ticker_path=A") if f.endswith(".parquet")]) == 2
+    assert stored(spark, path) == [("A", 1, 4.0)]
+
+
+def test_tables_without_a_list_are_taken_over(spark, tmp_path):
+    """As earlier versions and other tools write them."""
+    path = str(tmp_path / "prices")
+    plain = normalize_prices(sample_prices(spark), "CL=F")
+    plain.withColumn("ticker_path", F.lit("CL_F")).write.partitionBy("ticker_path").parquet(path)
+    assert read_price_table(spark, path).count() == 3
+    with pytest.raises(ValueError, match="share the path"):
+        save_prices(path, days(spark, [("CL/F", 1, 1.0)]))
+    save_prices(path, days(spark, [("CL=F", 1, 9.0), ("B", 1, 1.0)]))
+    assert read_price_table(spark, path).count() == 4
