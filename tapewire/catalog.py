@@ -14,17 +14,18 @@ from pyspark.sql import types as T
 
 from tapewire.functions.parse import iso_or_null, to_number, to_utc
 from tapewire.functions.text import CAUSAL, CORRELATIONAL, compose_text, path_key, with_weak_label
-from tapewire.operators import columns, linear, news as news_ops, prices as price_ops, report, terms
+from tapewire.operators import columns, guards, linear, news as news_ops, prices as price_ops, report, terms
 from tapewire.operators.align import asof_join, forward_prices
 from tapewire.operators.bars import ohlcv_bars
 from tapewire.operators.split import stratified_split, time_split
 from tapewire.operators.upsert import upsert_news, upsert_prices
-from tapewire.plans.build_dataset import build_dataset, training_set
+from tapewire.plans.build_dataset import build_dataset, prepare_news, training_set
 from tapewire.plans.news_ingest import ingest_news
 from tapewire.plans.price_ingest import ingest_prices
 from tapewire.plans.train_baseline import fit_classifier, predict, train_baseline, usable_rows
 from tapewire.session import configure, durable, shared_dir
 from tapewire.sources import landed, tables
+from tapewire.sources.commits import Disk
 from tapewire.streaming.upserts import stream_news, stream_prices
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,8 +65,12 @@ def _clock_times(df: DataFrame) -> DataFrame:
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """Deal the rows of a test table, one small file, out to all cores."""
-    return scan.repartition(scan.sparkSession.sparkContext.defaultParallelism)
+    """A scan with fewer parts than there are cores, as of a test table in one small file, is dealt out to all of them.
+
+    One with more is read as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -901,6 +906,28 @@ def _landed_ticks(spark, sf_dir) -> list[str]:
     return paths
 
 
+@query(
+    """
+SELECT date_trunc('day', ts)::TIMESTAMP AS date, value AS adj_close, event_type AS ticker FROM events WHERE event_type IN ('view', 'click')
+QUALIFY row_number() OVER (PARTITION BY date_trunc('day', ts), event_type ORDER BY event_id DESC) = 1"""
+)
+def prices_named_by_file(spark, sf_dir):
+    """Landed csv files without a ticker column, one folder of them, take their ticker from their names."""
+    raw = table(spark, sf_dir, "events").where("event_type in ('view', 'click')")
+    folder = scratch(spark, "landed")
+    for ticker in ("view", "click"):
+        written = scratch(spark, "part")
+        own = raw.where(F.col("event_type") == ticker).select(F.date_format("ts", "yyyy-MM-dd").alias("Date"), F.col("value").alias("Adj Close"), "event_id")
+        # the order of arrival in one file is the order of its lines
+        own.repartitionByRange(1, "event_id").sortWithinPartitions("event_id").drop("event_id").write.option("header", True).csv(written)
+        disk = Disk(spark, folder)
+        part = next(n for n in disk.names(written) if n.startswith("part-"))
+        disk.move(f"{written}/{part}", f"{folder}/prices_{ticker}.csv")
+    path = scratch(spark, "prices")
+    ingest_prices(spark, folder, path, "view,click,absent")
+    return tables.read_price_table(spark, path).select("date", "adj_close", "ticker")
+
+
 @query(
     f"""
 SELECT {_NEWS_COLUMNS} FROM ({_DELIVERED_SQL})
@@ -917,6 +944,57 @@ def news_ingested(spark, sf_dir):
     return tables.read_news_table(spark, out)
 
 
+# --- guards --------------------------------------------------------------------
+
+
+@query(
+    """
+SELECT * FROM (VALUES
+  ('news without a publication time', 'refused', NULL::BIGINT, 'news must include one of the columns [''published_at''].'),
+  ('prices without a date', 'used', 0, NULL),
+  ('prices without a ticker', 'refused', NULL, 'prices have no ticker column, and no ticker was given.'),
+  ('prices without an adjusted close', 'used', 0, NULL),
+  ('series without a close', 'refused', NULL, 'prices must include one of the columns [''adj_close'', ''adj close'', ''Adj Close'', ''close'', ''Close''].'),
+  ('prices of none to store', 'refused', NULL, 'none of these prices has an adjusted close; nothing was stored.'),
+  ('prices without a name to store', 'refused', NULL, 'price rows without a ticker cannot be stored.'),
+  ('no prices to align with', 'refused', NULL, 'the prices hold no usable row to align the news with.'),
+  ('no labelled rows', 'refused', NULL, 'no labelled rows to split.'),
+  ('no texts with terms', 'refused', NULL, 'no terms remain: every term is in fewer documents than min_df.')) AS g(input, outcome, rows, message)
+UNION ALL SELECT 'rows with null texts or labels', 'used', count(*) FILTER (WHERE doc_id % 3 <> 0 AND lang <> 'de'), NULL FROM documents
+UNION ALL SELECT 'all prices by their date', 'used', count(*), NULL FROM events"""
+)
+def guards_of_inputs(spark, sf_dir):
+    """Tables that lack a column, hold nulls in place of texts and labels, or hold nothing, and what is made of each."""
+    news, prices = articles(spark, sf_dir), ticks(spark, sf_dir).withColumnRenamed("close", "adj_close")
+    labelled = table(spark, sf_dir, "documents").select(
+        "doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("text")).alias("text"), F.nullif("lang", F.lit("de")).alias("label")
+    )
+    missing = F.lit(None).cast("double")
+
+    def stored(rows):
+        path = scratch(spark, "prices")
+        tables.save_prices(path, rows)
+        return tables.read_price_table(spark, path)
+
+    return guards.guarded(
+        spark,
+        {
+            "news without a publication time": lambda: prepare_news(news.drop("published_at")),
+            "prices without a date": lambda: price_ops.normalize_prices(prices.drop("date")),
+            "prices without a ticker": lambda: price_ops.normalize_prices(prices.drop("ticker")),
+            "prices without an adjusted close": lambda: price_ops.normalize_prices(prices.drop("adj_close")),
+            "all prices by their date": lambda: price_ops.normalize_prices(prices),
+            "series without a close": lambda: price_ops.price_series(prices.drop("adj_close")),
+            "prices of none to store": lambda: stored(prices.withColumn("adj_close", missing)),
+            "prices without a name to store": lambda: stored(prices.withColumn("ticker", F.nullif("ticker", F.lit("view")))),
+            "no prices to align with": lambda: training_set(news, prices.withColumn("adj_close", missing)),
+            "rows with null texts or labels": lambda: usable_rows(labelled),
+            "no labelled rows": lambda: stratified_split(usable_rows(labelled.where("label is null")), "label", ["doc_id"])[0],
+            "no texts with terms": lambda: terms.fit_tfidf(labelled.select(F.lit("").alias("text"))).transform(labelled),
+        },
+    )
+
+
 # --- learning ----------------------------------------------------------------
 
 
@@ -1119,7 +1197,7 @@ def _fitted(spark, sf_dir):
     train = durable(train)
     weights = terms.fit_tfidf(train)
     features = durable(terms.weights_by_term(weights, train, "doc_id"))
-    model = durable(linear.model_table(fit_classifier(train, tolerance=1e-9), spark))
+    model = durable(linear.model_table(fit_classifier(train, tolerance=1e-6), spark))
     return train.select("doc_id", "label"), features, model, weights.documents
 
 

@@ -6,9 +6,10 @@ interval they fall into.
 
 * Where the prepared prices are small (their size is computed, not guessed),
   they are broadcast, keyed by time cell. Events are not shuffled or sorted.
-* Otherwise events and prices meet in blocks of consecutive prices that are merged
-  in time order, so the work grows with rows and not with pairs. Blocks that many
-  events fall into are salted.
+* Otherwise events and prices meet in ranges of time that are merged in order, after one
+  shuffle. The ranges have about equally many rows, however these crowd; a price that still holds
+  where a range begins goes there too, so the work grows with rows and not with pairs. Instants
+  with more events than a range are salted.
 """
 
 import math
@@ -24,7 +25,8 @@ BROADCAST_BYTES = 64 << 20
 ROWS_PER_TASK = 1_000_000
 _DAY = 86_400
 _CELL_ROWS = 16
-_STRAY_SALTS = 10_000
+#: Most ranges of time that events and prices are merged in, and the rank error of their bounds: a tenth of a range.
+RANGES = 4096
 
 
 @dataclass(frozen=True)
@@ -171,22 +173,18 @@ def asof_join(
     wanted = [0, *[h for h in check_horizons(horizons) if h]]
     profile = profile or profile_series(prices, by)
     values = [f"t{h}" for h in wanted]
-    taken = sorted({*values, "_from", "_to", "_cell", "_part", "_of", "_block", "_salt", "_stray", "_event", "_price", "_seen"} & set(events.columns))
+    taken = sorted({*values, "_from", "_to", "_cell", "_part", "_range", "_salt", "_event", "_price", "_seen"} & set(events.columns))
     if taken:
         raise ValueError(f"events already have the columns {taken}; rename them first.")
     leads = forward_prices(prices, wanted, by, tie, profile, rows_per_task)
     intervals = leads.where("next_ts is null or next_ts > ts").select(
         *by, F.col("ts").alias("_from"), F.col("next_ts").alias("_to"), *values
     )
-    return _find(events, prices, intervals, values, by, profile, broadcast_bytes, rows_per_task)
-
-
-def _find(events, prices, intervals, values, by, profile: SeriesProfile, broadcast_bytes: int, rows_per_task: int) -> DataFrame:
-    """The interval of each event, by whichever way the size of the prices allows."""
     cells = _TimeCells(profile)
     if cells.broadcast_rows * _row_bytes(profile, values) <= broadcast_bytes:
         return _lookup(events, prices, intervals, values, by, cells)
-    return _merge(events, intervals, values, by, profile, broadcast_bytes, rows_per_task)
+    bounds = _bounds(events, prices, profile, rows_per_task)
+    return _merge(events, intervals, values, by, bounds)
 
 
 def _row_bytes(profile: SeriesProfile, values: Sequence[str]) -> int:
@@ -272,61 +270,62 @@ def _lookup(events, prices, intervals, values, by, cells: _TimeCells) -> DataFra
     )
 
 
-def _merge(
-    events, intervals, values, by, profile: SeriesProfile, broadcast_bytes: int, rows_per_task: int
-) -> DataFrame:
-    """Merge events and prices in time order inside blocks of consecutive prices.
+@dataclass(frozen=True)
+class _Bounds:
+    """Times (microseconds) at which ranges begin, the first before all others, and the salts of each range."""
+
+    starts: list[int]
+    salts: list[int]
+
+    def range_of(self, ts: Column) -> Column:
+        """The last range that begins at or before a time: by halving, in as many steps as the number has digits."""
+        if len(self.starts) == 1:
+            return F.lit(0)
+        known, at = F.lit(self.starts).cast("array<bigint>"), F.unix_micros(ts)
+        steps = [F.lit(1 << k) for k in reversed(range((len(self.starts) - 1).bit_length()))]
+        return F.aggregate(F.array(*steps), F.lit(0), lambda lo, step: F.when(F.get(known, lo + step) <= at, lo + step).otherwise(lo))
+
+    def of(self, numbers: list[int], range_: Column) -> Column:
+        """The number that a range has."""
+        return F.get(F.lit(numbers).cast("array<bigint>"), range_) if len(numbers) > 1 else F.lit(numbers[0]).cast("long")
+
+
+def _bounds(events: DataFrame, prices: DataFrame, profile: SeriesProfile, rows_per_task: int) -> _Bounds:
+    """Ranges of time with equally many rows of both sides, in one job.
 
-    Blocks follow the prices: each has at most ``rows_per_task / 4`` of one series, in
-    however short a time these lie. An event finds its block by the first price of
-    each, which is an as-of join with a far shorter list. Blocks that many events
-    fall into are salted, each salt with a copy of the block's prices.
+    No series has more rows in a range than the range itself, so that hot series are cut like the whole. There are at
+    most as many ranges as there are rows to a series, which bounds the prices that go on into further ranges by the
+    number of rows. An instant that several bounds fall on has as many salts.
     """
+    both = events.select("ts").union(prices.select("ts")).where("ts is not null")
+    grid = [k / RANGES for k in range(1, RANGES)]
+    found = both.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(F.unix_micros("ts"), grid, 10 * RANGES).alias("at")).first()
     size = max(2, rows_per_task // 4)
-    if profile.longest <= rows_per_task:
-        parted = intervals.withColumn("_range", F.lit(0))
-    else:
-        parted = durable(_by_ranges(intervals, [*by, "_from"], profile.rows, rows_per_task))
-    place = F.row_number().over(Window.partitionBy(*by, "_range").orderBy("_from")) - 1
-    blocked = parted.withColumn("_place", place).select(
-        *by, "_from", *values, F.struct("_range", F.floor(F.col("_place") / size).alias("part")).alias("_block"), (F.col("_place") % size == 0).alias("_first")
-    )
-    firsts = durable(blocked.where("_first").select(*by, F.col("_from").alias("ts"), "_block"))
-    heads = firsts.select(
-        *by, F.col("ts").alias("_from"), F.lead("ts").over(Window.partitionBy(*by).orderBy("ts")).alias("_to"), F.col("_block").alias("_of")
-    )
-    # the list is shorter by the size of a block, and soon small enough to be broadcast
-    least = max(broadcast_bytes, 1 << 20)
-    located = _find(events, firsts, heads, ["_of"], by, profile_series(firsts, by), least, rows_per_task)
-    located = located.withColumnRenamed("_of", "_block").withColumn("_stray", F.col("_block").isNull())
-
-    keys = [*by, "_block"]
-    # blocks that one task cannot merge
-    crowded = (
-        located.where("not _stray")
-        .groupBy(*keys)
-        .agg(F.ceil(F.count(F.lit(1)) / F.lit(rows_per_task)).cast("int").alias("_salts"))
-        .where("_salts > 1")
-    )
-    salts = F.coalesce("_salts", F.lit(1))
+    wanted = min(RANGES, math.ceil(found["n"] / size), max(1, found["n"] // max(profile.series, 1)))
+    drawn = [found["at"][k * RANGES // wanted - 1] for k in range(1, wanted)] if found["at"] else []
+    starts = sorted(set(drawn))
+    return _Bounds([-(1 << 62), *starts], [1, *[drawn.count(s) for s in starts]])
+
+
+def _merge(events: DataFrame, intervals: DataFrame, values: Sequence[str], by: Sequence[str], bounds: _Bounds) -> DataFrame:
+    """Merge events and prices in time order inside ranges of time, after one shuffle by series and range.
+
+    A price goes into the range it begins in and, as the one to begin with, into those that begin while it holds. Prices
+    of ranges with salts go to each salt.
+    """
+    until = F.coalesce(F.expr("_to - interval 1 microsecond"), F.timestamp_micros(F.lit(1 << 61)))
+    first, last = bounds.range_of(F.col("_from")), bounds.range_of(until)
+    priced = intervals.where(" and ".join(["true", *[f"`{c}` is not null" for c in by]]))
+    held = priced.withColumn("_range", F.explode(F.sequence(first, last)))
+    salt = F.sequence(F.lit(0).cast("long"), bounds.of(bounds.salts, F.col("_range")) - 1)
+    offered = held.select(*by, "_range", F.explode(salt).alias("_salt"), F.col("_from").alias("ts"), F.struct(*values).alias("_price"), F.lit(False).alias("_event"))
     # copies hash alike, so the input partition goes into the salt as well
     spread = F.xxhash64(F.spark_partition_id(), *[F.col(c) for c in _hashable(events)])
-    # events before the first price, or of no series, match no price and may be anywhere
-    choices = F.when(F.col("_stray"), _STRAY_SALTS).otherwise(salts)
-    salted = located.join(crowded, keys, "left").select(*events.columns, "_block", F.pmod(spread, choices).alias("_salt"))
-    offered = blocked.join(crowded, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    rows = salted.withColumn("_event", F.lit(True)).unionByName(
-        offered.select(
-            *keys,
-            F.col("_salt").cast("long"),
-            F.col("_from").alias("ts"),
-            F.struct(*values).alias("_price"),
-            F.lit(False).alias("_event"),
-        ),
-        allowMissingColumns=True,
-    )
+    located = events.withColumn("_range", F.when(F.col("ts").isNotNull(), bounds.range_of(F.col("ts"))).otherwise(0))
+    located = located.withColumns({"_salt": F.pmod(spread, bounds.of(bounds.salts, F.col("_range"))), "_event": F.lit(True)})
+    rows = located.unionByName(offered, allowMissingColumns=True)
     # false sorts before true: a price at the same instant precedes the event
-    w = Window.partitionBy(*keys, "_salt").orderBy("ts", "_event")
+    w = Window.partitionBy(*by, "_range", "_salt").orderBy("ts", "_event")
     seen = F.last("_price", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return (
         rows.withColumn("_seen", seen)

@@ -132,9 +132,9 @@ def fit_tfidf(
     seen = Observation("documents")
     counted = to_terms.transform(documents.select(text).observe(seen, F.count(F.lit(1)).alias("n")))
     rows = vocabulary(counted, "terms", min_df, max_features).collect()
-    n = seen.get["n"]
     if not rows:
         raise ValueError("no terms remain: every term is in fewer documents than min_df.")
+    n = seen.get["n"]
     terms = [r["term"] for r in rows]
     idf = [smooth_idf(n, r["df"]) for r in rows]
     stages = [

@@ -64,17 +64,18 @@ def ingest_prices(
     """
     if interval not in INTERVALS:
         raise ValueError(f"interval must be one of {list(INTERVALS)}, not {interval!r}")
-    kinds = [
-        landed_prices(raw, tickers, period, anchor, interval="1h" if interval == "1h" else "1d")
-        for raw in price_download_groups(spark, landed)
-    ]
+    files = price_download_groups(spark, landed)
+    kinds = [landed_prices(raw, tickers, period, anchor, interval="1h" if interval == "1h" else "1d") for raw in files.groups]
     if not kinds:
         raise ValueError(f"no price files in {landed}.")
     prices = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), kinds)
     if interval in ("1wk", "1mo"):
         prices = ohlcv_bars(latest_prices(union_batches(None, prices)), interval)
     # counted while the tickers are judged, in the pass over the rows that the merge needs anyway
-    written = [v for v in save_prices(out, prices, skip_shared=True) if not v.why]
+    try:
+        written = [v for v in save_prices(out, prices, skip_shared=True) if not v.why]
+    finally:
+        files.drop()
     report = spark.createDataFrame([(v.ticker, v.rows, v.usable_rows, v.first_date, v.last_date) for v in written], _REPORT)
     names = {v.ticker for v in written}
     return report, [t for t in parse_tickers(tickers) if t not in names]

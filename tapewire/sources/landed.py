@@ -1,18 +1,22 @@
 """Readers for landed downloads: price files and news response pages."""
 
-import re
+import csv
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapewire.schemas import PAYLOAD
+from tapewire.session import Stored, store
 
+#: What of a file's name is its ticker.
+TICKER_PATTERN = r"^(?:prices_)?(.+)\.csv"
 _BROKEN = "_unreadable"
 
 
 def read_price_downloads(
-    spark: SparkSession, path: str | list[str], ticker_pattern: str = r"^(?:prices_)?(.+)\.csv"
+    spark: SparkSession, path: str | list[str], ticker_pattern: str = TICKER_PATTERN
 ) -> DataFrame:
     """Landed OHLCV csv files, every column as text.
 
@@ -31,23 +35,52 @@ def read_price_downloads(
     return out
 
 
-def price_download_groups(spark: SparkSession, path: str | list[str]) -> list[DataFrame]:
+@dataclass(frozen=True)
+class Landed:
+    """Landed files as one frame for each header, until ``drop`` removes the stored lines that these read."""
+
+    groups: list[DataFrame]
+    stored: tuple[Stored, ...]
+
+    def drop(self) -> None:
+        for rows in self.stored:
+            rows.drop()
+
+
+def price_download_groups(spark: SparkSession, path: str | list[str], ticker_pattern: str = TICKER_PATTERN) -> Landed:
     """Landed OHLCV files as one frame, as of ``read_price_downloads``, for each header that occurs.
 
-    The first line of every file is looked up in one pass over the text; a file's name
-    and header are all that reaches the driver.
+    The files are read once, as lines, into the shared folder. The first line of each is its header, and the lines of all
+    files with the same header are taken apart by it. Only the different headers reach the driver. Files that are empty
+    or hold nothing but a header give no rows.
     """
     meta = F.col("_metadata")
     lines = spark.read.text(path).select(
-        _plain(meta["file_path"]).alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"), "value"
+        _plain(meta["file_path"]).alias("file"),
+        meta["file_name"].alias("name"),
+        meta["file_modification_time"].alias("landed_at"),
+        F.struct(meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("line")).alias("position"),
+        F.regexp_replace("value", "^\ufeff", "").alias("value"),
     )
-    heads = lines.where("block = 0").groupBy("file").agg(F.min_by("value", "at").alias("header")).collect()
-    files: dict[str, list[str]] = {}
-    for row in heads:
-        files.setdefault(row["header"].strip(), []).append(row["file"])
-    # names are no patterns
-    named = {h: [re.sub(r"([][{}*?\\])", r"\\\1", f) for f in sorted(own)] for h, own in files.items()}
-    return [read_price_downloads(spark, named[h]) for h in sorted(named)]
+    kept = store(lines.where(F.trim("value") != ""))
+    tops = kept.rows.groupBy("file").agg(F.min_by("value", "position").alias("header"), F.min("position").alias("top"))
+    heads = store(tops.withColumn("header", F.trim("header")))
+    # a row per file, joined by Spark as its size allows
+    rows = kept.rows.join(heads.rows, "file").where(F.col("position") > F.col("top"))
+    headers = sorted(r["header"] for r in heads.rows.select("header").distinct().collect())
+    return Landed([_parsed(rows.where(F.col("header") == h), h, ticker_pattern) for h in headers], (kept, heads))
+
+
+def _parsed(rows: DataFrame, header: str, ticker_pattern: str) -> DataFrame:
+    """Lines of files with this header, every column as text."""
+    names = next(csv.reader([header]))
+    fields = ", ".join(f"c{i} string" for i in range(len(names)))
+    arrival = F.struct("landed_at", "file", "position").alias("row_seq")
+    out = rows.select(F.from_csv("value", fields).alias("own"), "name", arrival)
+    columns = [F.col(f"own.c{i}").alias(n.strip()) for i, n in enumerate(names)]
+    if "ticker" not in [n.strip().lower() for n in names]:
+        columns.append(F.regexp_extract(_plain(F.col("name")), ticker_pattern, 1).alias("ticker"))
+    return out.select(*columns, "row_seq")
 
 
 def _plain(name):

@@ -2,6 +2,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from conftest import plan_of
 
 from tapewire.operators import align
@@ -175,7 +176,42 @@ def test_crowded_prices_stay_in_small_groups(spark, monkeypatch, horizon):
         assert got[k] == (float(at), order[at + horizon][1] if at + horizon < len(order) else None)
     sizes = [r["count"] for df in groups.values() if "_range" in df.columns for r in df.groupBy("_range").count().collect()]
     assert sizes and max(sizes) < 3 * limit
-    assert all("_range" in cols or "_block" in cols or "_salt" in cols for cols in seen if cols)
+    assert all("_range" in cols for cols in seen if cols)
+    # and the ranges that both sides are merged in
+    bounds = align._bounds(e, p, profile_series(p), limit)
+    merged = e.select("ts").union(p.select("ts")).groupBy(bounds.range_of(F.col("ts")).alias("at")).count().collect()
+    assert len(merged) > 20 and max(r["count"] for r in merged) < limit
+
+
+def test_hot_instants_are_salted(spark):
+    """Half of the events at one instant: their range has salts, and its prices go to each."""
+    events = spark.range(4000).selectExpr("id AS k", "timestamp_micros(1700000000000000 + if(id % 2 = 0, 0, id * 1000000)) AS ts")
+    prices = spark.range(400).selectExpr("timestamp_micros(1699999900000000 + id * 5000000) AS ts", "cast(id AS double) AS adj_close")
+    bounds = align._bounds(events, prices, profile_series(prices), 400)
+    assert max(bounds.salts) >= 15 and sorted(bounds.starts) == bounds.starts
+    got = asof_join(events, prices, (), rows_per_task=400, broadcast_bytes=0).collect()
+    want = {k: min(399, (100 + (0 if k % 2 == 0 else k)) // 5) for k in range(4000)}
+    assert {r.k: r.t0 for r in got} == want
+
+
+def test_merge_shuffles_once(spark, tmp_path):
+    p, e = make(spark, 4)
+    prices, events = frames(spark, p, e)
+    events.write.parquet(str(tmp_path / "e"))
+    prices.write.parquet(str(tmp_path / "p"))
+    stored = [spark.read.parquet(str(tmp_path / n)) for n in "ep"]
+    plan = asof_join(*stored, (1,), ["ticker"], ["n"], broadcast_bytes=0)._jdf.queryExecution().executedPlan().toString()
+    # the prices by series, for the rows after them, and then both sides by range
+    assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan
+
+
+def test_series_without_a_name_and_events_without_a_time(spark):
+    day = START + dt.timedelta(days=1)
+    prices = spark.createDataFrame([("a", START, 1.0), (None, START, 2.0)], "ticker string, ts timestamp, adj_close double")
+    events = spark.createDataFrame([(1, "a", day), (2, None, day), (3, "a", None)], "k int, ticker string, ts timestamp")
+    for settings in ({}, {"broadcast_bytes": 0}, {"broadcast_bytes": 0, "rows_per_task": 1}):
+        got = asof_join(events, prices, (), ["ticker"], **settings).collect()
+        assert {r.k: r.t0 for r in got} == {1: 1.0, 2: None, 3: None}
 
 
 def test_columns_that_clash_are_refused(spark):

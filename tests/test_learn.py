@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from tapewire.operators import linear
 from tapewire.operators.report import classification_report, format_report
 from tapewire.operators.split import class_sizes, stratified_split, time_split
 from tapewire.operators.terms import (
@@ -15,7 +16,7 @@ from tapewire.operators.terms import (
     vocabulary,
     weights_by_term,
 )
-from tapewire.plans.train_baseline import predict, train_baseline
+from tapewire.plans.train_baseline import fit_classifier, predict, train_baseline
 
 TEXTS = ["Oil oil GAS x", "gas élan_1 oil", "", "one", "oil gas gas oil"]
 
@@ -192,3 +193,68 @@ def test_baseline_by_time(spark):
     found = train_baseline(data, by_time="published_at", gap=10).predictions
     assert {r.url for r in found.collect()} == {f"u{i}" for i in range(160, 200)}
     assert found.where("prediction <> label").count() == 0
+
+
+@pytest.fixture(scope="module")
+def fitted(spark):
+    """Rows, features, and models of two and of three classes."""
+    words = "oil gas coal price rose fell because linked demand supply".split()
+    data = [(i, " ".join(words[(i * k + k) % 10] for k in range(1, 6)), "abc"[i % 3 if i % 5 else 0]) for i in range(60)]
+    rows = spark.createDataFrame(data, "key int, text string, label string")
+    two = rows.withColumn("label", F.when(F.col("label") == "c", "b").otherwise(F.col("label")))
+    weights = fit_tfidf(rows)
+    return rows, two, weights_by_term(weights, rows, "key").cache(), weights.documents
+
+
+def test_table_predicts_as_the_pipeline_does(spark, fitted):
+    rows, two, features, _ = fitted
+    for data in (rows, two):
+        model = fit_classifier(data)
+        scores = linear.margins(data, features, linear.model_table(model, spark), "key")
+        want = {r.key: (r.prediction, list(r.probability)) for r in model.transform(data).collect()}
+        assert {r.key: r.prediction for r in linear.predicted(scores, "key").collect()} == {k: p for k, (p, _) in want.items()}
+        got = {}
+        for r in linear.probabilities(scores, "key").collect():
+            got.setdefault(r.key, {})[r["class"]] = r.probability
+        for k, (_, p) in want.items():
+            assert [got[k][c] for c in sorted(got[k])] == pytest.approx(p, abs=1e-9)
+
+
+def test_ties_and_texts_without_known_terms(spark):
+    model = spark.createDataFrame([("b", "", 1.0), ("a", "", 1.0), ("c", "", 0.5), ("b", "x", 2.0)], "class string, term string, weight double")
+    keys = spark.createDataFrame([(1,), (2,)], "key int")
+    features = spark.createDataFrame([(2, "x", 0.5), (2, "unknown", 9.0)], "key int, term string, weight double")
+    scores = linear.margins(keys, features, model, "key")
+    assert {(r.key, r["class"]): r.margin for r in scores.collect()} == {(1, "a"): 1.0, (1, "b"): 1.0, (1, "c"): 0.5, (2, "a"): 1.0, (2, "b"): 2.0, (2, "c"): 0.5}
+    assert {r.key: r.prediction for r in linear.predicted(scores, "key").collect()} == {1: "a", 2: "b"}
+
+
+def test_slopes_vanish_for_the_fitted_model_only(spark, fitted):
+    """Also against differences of the loss, taken one weight at a time."""
+    _, two, features, n = fitted
+    steep = F.max(F.abs("slope"))
+    best = linear.model_table(fit_classifier(two, tolerance=1e-6), spark)
+    assert linear.slopes(two, features, best, "key", 1 / n).agg(steep).first()[0] < 1e-3
+    # only the intercepts fitted, and one weight moved
+    flat = linear.model_table(fit_classifier(two, max_iter=0), spark)
+    assert linear.slopes(two, features, flat, "key", 1 / n).agg(steep).first()[0] > 1e-2
+    moved = best.withColumn("weight", F.col("weight") + F.when((F.col("term") == "oil") & (F.col("class") == "b"), 1.0).otherwise(0.0))
+    assert linear.slopes(two, features, moved, "key", 1 / n).agg(steep).first()[0] > 5e-3
+
+    weights = {(r["class"], r.term): r.weight for r in flat.collect()}
+    held = {}
+    for r in features.collect():
+        held.setdefault(r.key, {"": 1.0})[r.term] = r.weight
+    label = {r.key: r.label for r in two.collect()}
+
+    def loss(w):
+        total = 0.0
+        for k, own in label.items():
+            m = {c: sum(x * w.get((c, t), 0.0) for t, x in held.get(k, {"": 1.0}).items()) for c in "ab"}
+            total += math.log(sum(math.exp(v) for v in m.values())) - m[own]
+        return total / len(label) + sum(v * v for (_, t), v in w.items() if t) / (2 * n)
+
+    got = {(r["class"], r.term): r.slope for r in linear.slopes(two, features, flat, "key", 1 / n).collect()}
+    for at in [("b", ""), ("b", "oil"), ("b", "because")]:
+        up, down = (loss({**weights, at: weights[at] + h}) for h in (1e-5, -1e-5))
+        assert got[at] == pytest.approx((up - down) / 2e-5, abs=1e-6)

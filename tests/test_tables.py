@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from test_news import ITEMS, sample as sample_news
 from test_prices import sample as sample_prices
 
+from tapewire.operators.guards import guarded
 from tapewire.operators.prices import normalize_prices
 from tapewire.operators.upsert import upsert_prices
 from tapewire.plans.build_dataset import build_dataset, training_set
 from tapewire.plans.news_ingest import ingest_news
 from tapewire.plans.price_ingest import ingest_prices, landed_prices
 from tapewire.sources import commits
+from tapewire.sources.landed import price_download_groups
 from tapewire.sources.tables import (
     read_news_table,
     read_price_table,
@@ -415,3 +417,34 @@ def test_tables_without_a_list_are_taken_over(spark, tmp_path):
         save_prices(path, days(spark, [("CL/F", 1, 1.0)]))
     save_prices(path, days(spark, [("CL=F", 1, 9.0), ("B", 1, 1.0)]))
     assert read_price_table(spark, path).count() == 4
+
+
+def test_files_are_read_once_and_by_their_header(spark, tmp_path):
+    """Blank lines, quotes, spaces in a header, a byte order mark, files without rows, and a later change of the files."""
+    landed = tmp_path / "landed"
+    landed.mkdir()
+    (landed / "prices_SPY.csv").write_text("\n\nDate,Adj Close,Note\n2024-03-04,70.5,\"a, b\"\n\n2024-03-05,68,\n")
+    (landed / "^VIX.csv").write_text("\ufeffDate , Adj Close,Note\n2024-03-04,9,x\n")
+    (landed / "QQQ.csv").write_text("Date,Adj Close,Note\n")
+    (landed / "empty.csv").write_text("")
+    (landed / "own.csv").write_text("TICKER,adj close,Date\nOWN,1,2024-03-04\nOWN,2\n")
+    found = price_download_groups(spark, str(landed))
+    groups = found.groups
+    assert sorted(tuple(g.columns) for g in groups) == [("Date", "Adj Close", "Note", "ticker", "row_seq"), ("Date", "Adj Close", "Note", "ticker", "row_seq"), ("TICKER", "adj close", "Date", "row_seq")]
+    for f in landed.iterdir():
+        f.write_text("gone")
+    got = sorted(((r.ticker, r["Adj Close"], r["Note"]) for g in groups if "Note" in g.columns for r in g.collect()), key=str)
+    assert got == [("SPY", "68", None), ("SPY", "70.5", "a, b"), ("^VIX", "9", "x")]
+    own = next(g for g in groups if "Note" not in g.columns)
+    assert sorted((r["adj close"], r["Date"] or "") for r in own.collect()) == [("1", "2024-03-04"), ("2", "")]
+    assert own.select("row_seq").distinct().count() == 2
+    found.drop()
+
+
+def test_guards_let_faults_through(spark):
+    def fault():
+        raise KeyError("x")
+
+    with pytest.raises(KeyError):
+        guarded(spark, {"a": fault})
+    assert guarded(spark, {"a": lambda: spark.range(3)}).collect()[0][:3] == ("a", "used", 3)
