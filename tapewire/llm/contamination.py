@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapewire.llm.utf8 import Words, mix, raw, slices, words
+from tapewire.session import durable
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -70,8 +71,9 @@ def _item_shingles(width: int, threshold: float):
             w = _lowered(batch)
             first, last, h = shingles(w, width)
             rows = [[] for _ in range(8)]
+            cuts = np.searchsorted(w.doc[first], np.arange(batch.num_rows + 1))
             for i in range(batch.num_rows):
-                own = np.flatnonzero(w.doc[first] == i) if len(first) else []
+                own = range(cuts[i], cuts[i + 1])
                 texts = {_text(w, first[j], last[j]): h[j] for j in own}
                 if not texts:
                     continue
@@ -191,30 +193,35 @@ def find_items(
     An item of n shingles may miss n - needed(n); its sketch is one shingle more, those of the smallest
     MinHash rank, and every document that holds enough of the item holds one of them. Items are parted
     by size (powers of two), and each part has its own ceiling of ranks, above which no sketch reaches. A document with no shingle in a sketch is done with
-    after one look at its shingles; of the others the shingles that items have meet the items by their text,
-    and pairs that share a sketch shingle are verified by counting what they share.
+    after one look at its shingles; of the others the shingles that items have meet the sketches by their text,
+    and only pairs that share a sketch shingle are verified by counting all they share.
 
     Documents are read once and no text is shuffled. Two filters of fixed size are broadcast. Null and
     empty texts hold nothing. Rows with the same id and text count once, those with the same id and another
     text for themselves; null ids are kept. Returns doc_id, item_id, n_shared, n_item, containment.
     """
     spark = docs.sparkSession
-    index = item_shingles(items, width, threshold, item_id_col, item_text_col)
+    index = durable(item_shingles(items, width, threshold, item_id_col, item_text_col))
     top = index.where("in_sketch")
     ceilings = {r["size_class"]: r["ceiling"] for r in top.groupBy("size_class").agg(F.max("rank").alias("ceiling")).collect()}
     filters = shingle_filter(index.select("hash"), filter_bits), shingle_filter(top.select("hash", "size_class"), filter_bits)
     shared = spark.sparkContext.broadcast((*filters, ceilings))
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    found = slim.mapInArrow(_search(width, shared), "doc_id long, text_hash long, shingle string")
-    met = found.distinct().join(index.drop("hash", "rank", "size_class"), "shingle")
-    counted = met.groupBy("doc_id", "text_hash", "item_id", "item_no").agg(
+    found = durable(slim.mapInArrow(_search(width, shared), "doc_id long, text_hash long, shingle string").distinct())
+    # Pairs come from the sketches; what else they share is counted for these alone.
+    begun = found.join(top.select("shingle", "item_id", "item_no"), "shingle")
+    pairs = begun.select("doc_id", "text_hash", F.col("item_id").alias("of_id"), F.col("item_no").alias("of_no")).distinct()
+    of_item = F.col("of_id").eqNullSafe(F.col("item_id")) & (F.col("of_no") == F.col("item_no"))
+    wanted = pairs.join(index.select("item_id", "item_no", "shingle", "n_item", "n_needed"), of_item).drop("of_id", "of_no")
+    there = found.select(F.col("doc_id").alias("by_id"), F.col("text_hash").alias("by_hash"), F.col("shingle").alias("own"))
+    same = F.col("doc_id").eqNullSafe(F.col("by_id")) & (F.col("text_hash") == F.col("by_hash")) & (F.col("shingle") == F.col("own"))
+    counted = wanted.join(there, same).groupBy("doc_id", "text_hash", "item_id", "item_no").agg(
         F.count(F.lit(1)).alias("n_shared"),
-        F.max("in_sketch").alias("met_sketch"),
         F.max("n_item").cast("long").alias("n_item"),
         F.max("n_needed").alias("n_needed"),
     )
-    return counted.where("met_sketch AND n_shared >= n_needed").select(
+    return counted.where("n_shared >= n_needed").select(
         "doc_id", "item_id", "n_shared", "n_item", (F.col("n_shared") / F.col("n_item")).alias("containment")
     )
 

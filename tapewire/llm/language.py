@@ -21,15 +21,16 @@ CELLS = 1 << 21
 #: Bytes of text whose letters are looked at together; arrays over these take some hundred times as much.
 TEXT_BYTES = 1 << 19
 
-_letters: np.ndarray | None = None
+_letters: tuple[np.ndarray, np.ndarray] | None = None
 _vectors: dict[tuple[int, int], np.ndarray] = {}
 
 
-def letter_table() -> np.ndarray:
-    """For each code point up to U+FFFF whether it is a letter or a mark on one."""
+def letter_table() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point up to U+FFFF whether it is a letter or a mark on one, and whether it is a letter."""
     global _letters
     if _letters is None:
-        _letters = np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(1 << 16)])
+        kinds = [unicodedata.category(chr(c))[0] for c in range(1 << 16)]
+        _letters = np.array([k in "LM" for k in kinds]), np.array([k == "L" for k in kinds])
     return _letters
 
 
@@ -53,19 +54,25 @@ class Trigrams:
 
 
 def trigrams(texts: list[str | None]) -> Trigrams:
-    """Lower case, other characters than letters as one gap, and a gap at both ends."""
+    """Lower case, other characters than letters and marks as one gap, and a gap at both ends.
+
+    Marks belong to the letters beside them; a text with marks alone has no letter, and counts as one without trigrams.
+    """
     joined = "\n".join([(t or "").lower().replace("\n", " ") for t in texts]) + "\n"
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = letter_table()[np.minimum(points, 0xFFFF)]
+    letter, counted = (table[np.minimum(points, 0xFFFF)] for table in letter_table())
     for i in np.flatnonzero(points > 0xFFFF):
-        letter[i] = chr(points[i]).isalpha()
+        kind = unicodedata.category(chr(points[i]))[0]
+        letter[i], counted[i] = kind in "LM", kind == "L"
     end = points == 10
     doc = np.concatenate([[0], np.cumsum(end)[:-1]])
     # Letters, a gap after each run of them, and a gap before the first of a document.
     keep = letter.copy()
     keep[1:] |= letter[:-1]
     code, of = np.where(letter, points, 0)[keep], doc[keep]
-    letters = np.bincount(doc, weights=letter, minlength=len(texts))
+    letters = np.bincount(doc, weights=counted, minlength=len(texts))
+    keep_doc = letters[of] > 0
+    code, of = code[keep_doc], of[keep_doc]
     some = np.flatnonzero(letters)
     at = np.searchsorted(of, some)
     code, of = np.insert(code, at, 0), np.insert(of, at, some)

@@ -46,11 +46,12 @@ def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray, int, int]:
     return np.frombuffer(packed, np.uint32, n, 8), np.frombuffer(packed, np.uint32, n, 8 + 4 * n), m, 8 + 8 * n
 
 
-def _requests(ids: np.ndarray, chunk: int, doc: np.ndarray, hashes: np.ndarray, flags: np.ndarray, buckets: int, wide: bool) -> pa.RecordBatch:
-    """Entries dealt to buckets by one half of a hash; the other half, or all of it, stays with the entry.
+def _requests(ids: np.ndarray, chunk: int, doc: np.ndarray, hashes: np.ndarray, flags: np.ndarray, buckets: int, second: np.ndarray | None = None) -> pa.RecordBatch:
+    """Entries dealt to buckets by one half of a hash; the other half stays with the entry, or all of it and a ``second`` hash.
 
     ``doc`` rises. Packed are the documents, their ids, and hash and flag of each entry.
     """
+    wide = second is not None
     bucket = ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -60,7 +61,7 @@ def _requests(ids: np.ndarray, chunk: int, doc: np.ndarray, hashes: np.ndarray,
     for b in full:
         at = order[cuts[b] : cuts[b + 1]]
         own, counts = np.unique(doc[at], return_counts=True)
-        packed.append(_pack(own, counts, ids[own].tobytes(), short[at].tobytes(), np.packbits(flags[at]).tobytes()))
+        packed.append(_pack(own, counts, ids[own].tobytes(), short[at].tobytes(), second[at].tobytes() if wide else b"", np.packbits(flags[at]).tobytes()))
     return _entries(full, chunk, ["ask"] * len(full), packed)
 
 
@@ -78,16 +79,20 @@ def _answers(table: pa.Table, wide: bool, judge) -> pa.Table:
     out = [known]
     if asks.num_rows:
         kind = np.uint64 if wide else np.uint32
-        number, of, source, hashes, flags = [], [], [], [], []
+        number, of, source, hashes, seconds, flags = [], [], [], [], [], []
         for i, p in enumerate(asks.column("packed").to_pylist()):
             own, counts, m, at = _unpack(p)
             number.append(np.repeat(own, counts))
             of.append(np.repeat(np.frombuffer(p, np.int64, len(own), at), counts))
             source.append(np.full(m, i))
             hashes.append(np.frombuffer(p, kind, m, at := at + 8 * len(own)))
-            flags.append(np.unpackbits(np.frombuffer(p, np.uint8, -(-m // 8), at + hashes[-1].nbytes), count=m).astype(bool))
+            at += hashes[-1].nbytes
+            if wide:
+                seconds.append(np.frombuffer(p, np.uint64, m, at))
+                at += seconds[-1].nbytes
+            flags.append(np.unpackbits(np.frombuffer(p, np.uint8, -(-m // 8), at), count=m).astype(bool))
         number, of, source, hashes, flags = (np.concatenate(x) for x in (number, of, source, hashes, flags))
-        order, heads, group = _by_hash(hashes)
+        order, heads, group = _by_hash(hashes, np.concatenate(seconds) if wide else None)
         hit = np.sort(order[judge(of[order], flags[order], heads, group)])  # back by chunk and document
         bucket, chunks, packed = table.column("bucket")[0].as_py(), asks.column("chunk").to_pylist(), []
         starts = np.searchsorted(source[hit], np.arange(asks.num_rows + 1))
@@ -136,11 +141,15 @@ def _bits(w: Words, marked: np.ndarray) -> dict[int, bytes]:
     return {int(d): np.packbits(marked[w.first[d] : w.first[d + 1]]).tobytes() for d in hit}
 
 
-def _by_hash(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order, heads and group number of entries sorted by hash."""
-    order = np.argsort(hashes, kind="stable")
+def _by_hash(hashes: np.ndarray, second: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order, heads and group number of entries sorted by hash, or by both hashes."""
+    order = np.argsort(hashes, kind="stable") if second is None else np.lexsort((second, hashes))
     h = hashes[order]
-    heads = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    new = h[1:] != h[:-1]
+    if second is not None:
+        g = second[order]
+        new |= g[1:] != g[:-1]
+    heads = np.flatnonzero(np.concatenate([[True], new])) if len(h) else np.zeros(0, np.int64)
     group = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(h))))
     return order, heads, group
 
@@ -182,7 +191,7 @@ def _probe(window: int, buckets: int):
             block_low = np.minimum.reduceat(np.where(aligned[order], of, _MOST), heads)[group]
             send = ~shared | (aligned[order] & (of == block_low)) | (of == high[group])
             at_send = np.sort(order[send])
-            yield _requests(ids, chunk, doc[at_send], h[at_send], aligned[at_send], buckets, wide=False)
+            yield _requests(ids, chunk, doc[at_send], h[at_send], aligned[at_send], buckets)
 
     return run
 
@@ -249,7 +258,8 @@ def _extend(window: int, buckets: int):
                 continue
             ids, rows = batch.column("doc_id").to_numpy(), batch.column("text_hash").to_numpy()
             h, doc = w.window_hashes(window, at, hashes, seed=1), w.doc[at]
-            order, heads, group = _by_hash(h)
+            second = w.window_hashes(window, at, w.hashes(seed=1), seed=2)
+            order, heads, group = _by_hash(h, second)
             of = ids[doc[order]]
             low = np.minimum.reduceat(of, heads)[group]
             marked = np.zeros(len(w.start), bool)
@@ -257,7 +267,7 @@ def _extend(window: int, buckets: int):
             chunk = _chunk_id(ids, rows)
             yield _local(ids, rows, chunk, _bits(w, marked), buckets)
             asks = np.sort(order[of == low])
-            yield _requests(ids, chunk, doc[asks], h[asks], np.zeros(len(asks), bool), buckets, wide=True)
+            yield _requests(ids, chunk, doc[asks], h[asks], np.zeros(len(asks), bool), buckets, second[asks])
 
     return run
 
@@ -307,15 +317,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     1. Anchors: the non-overlapping blocks of (window + 1) / 2 words of every document are reference
        blocks; any window holds one whole. Every rolling window of that length probes them. Blocks and
        probes meet in buckets by one half of a hash and carry the other half, packed for many documents.
-    2. Extension: each hit grows to the windows of full length around it, which meet in buckets by their
-       whole hash: a window repeats if a smaller id has it. Runs of such windows are the maximal exact
+    2. Extension: each hit grows to the windows of full length around it, which meet in buckets by two
+       whole hashes, 128 bits of independent seeds: a window repeats if a smaller id has it. Runs of such windows are the maximal exact
        repeats, and what they cover goes.
 
     Values that several documents of a task hold are sent once per task, so that a passage of any
     frequency is an entry per chunk of documents in its bucket. Buckets answer chunk by chunk, and the
     answers are dealt out to documents there.
-    Buckets are as many as ``spark.sql.shuffle.partitions``. Hashes have 64 bits beside those of the
-    bucket in the second step, which decides; the first only selects.
+    Buckets are as many as ``spark.sql.shuffle.partitions``. The second step decides by 128 bits, at which
+    10^13 windows make a false pair with a chance of some 10^-13; the first, by 32 bits and the bucket, only selects.
 
     Null texts have no words. Rows with the same id are one document, whose windows do not count against
     each other. A null id lies below all others. Returns doc_id, n_words, n_removed, kept (the words left,

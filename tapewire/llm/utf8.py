@@ -85,13 +85,14 @@ class Words:
     def count(self) -> np.ndarray:
         return np.diff(self.first)
 
-    def hashes(self) -> np.ndarray:
-        """64 bits for each word."""
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """64 bits for each word, others for each seed."""
+        base = _BYTE + 4 * seed
         sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers(_BYTE, len(self.data)), out=sums[1:])
-        out = mix((sums[self.end] - sums[self.start]) * powers(pow(_BYTE, -1, _MASK + 1), len(self.data) + 1)[self.start])
+        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * powers(base, len(self.data)), out=sums[1:])
+        out = mix((sums[self.end] - sums[self.start]) * powers(pow(base, -1, _MASK + 1), len(self.data) + 1)[self.start])
         for i in np.flatnonzero(self.end - self.start > _LONG):
-            out[i] = xxhash.xxh3_64_intdigest(self.data[self.start[i] : self.end[i]].tobytes())
+            out[i] = xxhash.xxh3_64_intdigest(self.data[self.start[i] : self.end[i]].tobytes(), seed)
         return out
 
     def windows(self, width: int) -> np.ndarray:

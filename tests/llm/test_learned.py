@@ -1,5 +1,6 @@
 """Language, quality and toxicity: held-out accuracy on the test tables, and odd rows."""
 
+import unicodedata
 import zlib
 
 import numpy as np
@@ -32,14 +33,46 @@ def test_language_held_out(spark):
 
 
 def test_trigram_vectors_by_hand():
-    grams = trigrams(["Ab", None, "", "1 2", "x-Y", "Ωß"])
-    assert [bool(x) for x in grams.letters] == [True, False, False, False, True, True]
-    spelled = {d: ["".join(chr(c) if c else "_" for c in grams.codes[g]) for g in grams.gram[grams.doc == d]] for d in range(6)}
-    assert spelled == {0: ["_ab", "ab_"], 1: [], 2: [], 3: [], 4: ["_x_", "x_y", "_y_"], 5: ["_ωß", "ωß_"]}
+    grams = trigrams(["Ab", None, "", "1 2", "x-Y", "Ωß", "\u0301\u0302", "x\u0301", "𝔞", "\U000e0101"])
+    assert [bool(x) for x in grams.letters] == [True, False, False, False, True, True, False, True, True, False]
+    spelled = {d: ["".join(chr(c) if c else "_" for c in grams.codes[g]) for g in grams.gram[grams.doc == d]] for d in range(10)}
+    assert spelled == {0: ["_ab", "ab_"], 1: [], 2: [], 3: [], 4: ["_x_", "x_y", "_y_"], 5: ["_ωß", "ωß_"], 6: [], 7: ["_x\u0301", "x\u0301_"], 8: ["_𝔞_"], 9: []}
     a, b, gap = (letter_vector(c, 64) for c in (97, 98, 0))
     assert (gram_vectors(np.array([[0, 97, 98]]), 64)[0] == np.roll(gap, 2) * np.roll(a, 1) * b).all()
 
 
+def _profile(text, dimensions):
+    """One letter at a time."""
+    spelled, out = [0], np.zeros(dimensions)
+    for c in (text or "").lower():
+        kind = unicodedata.category(c)[0]
+        if kind in "LM":
+            spelled.append(ord(c))
+        elif spelled[-1]:
+            spelled.append(0)
+    spelled += [0] if spelled[-1] else []
+    if any(c and unicodedata.category(chr(c))[0] == "L" for c in spelled):
+        for k in range(len(spelled) - 2):
+            a, b, c = (letter_vector(x, dimensions).astype(float) for x in spelled[k : k + 3])
+            out += np.roll(a, 2) * np.roll(b, 1) * c
+    return out
+
+
+def test_language_against_a_plain_version(spark):
+    """Profiles letter by letter, prototypes as their sums by language, and cosines, on rows of the smallest table."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("n_chars < 1500")
+    rows = docs.collect()
+    found = {r.doc_id: (r.lang_pred, r.score) for r in identify_languages(docs).collect()}
+    protos = language_prototypes(docs)
+    grams = trigrams([r.text for r in rows[:25]])
+    for d, r in enumerate(rows[:25]):
+        own = grams.gram[grams.doc == d]
+        assert np.allclose(gram_vectors(grams.codes[own], 64).sum(axis=0), _profile(r.text, 64))
+    pred, score, _ = classify([r.text for r in rows], protos)
+    assert {r.doc_id: p for r, p in zip(rows, pred, strict=True)} == {i: p for i, (p, _) in found.items()}
+    assert np.allclose(score, [found[r.doc_id][1] for r in rows])
+
+
 def test_language_odd_rows(odd):
     found = identify_languages(odd)  # no language to learn from
     assert {r.lang_pred for r in found.collect()} == {"und"} and found.count() == len(ODD)
@@ -91,6 +124,24 @@ def test_statistics_by_hand():
     assert statistics(pa.array(["", None], pa.string())).tolist() == [[0.0] * len(NAMES)] * 2
 
 
+def test_toxic_words_are_not_limited_in_number(spark):
+    """Four hundred different toxic words, each in a few documents, beside ordinary words."""
+    rng = np.random.default_rng(8)
+    letters = np.array(list("bcdfglmnprstvz"))
+    bad = ["".join(rng.choice(letters, 8)) for _ in range(400)]
+    good = ["".join(rng.choice(list("aeiou"), 6)) for _ in range(3000)]
+    texts, truth = [], []
+    for i in range(3000):
+        words = list(rng.choice(good, 40))
+        if i % 4 == 0:
+            words[5:5] = list(rng.choice(bad, 6))
+        texts.append((i, " ".join(words)))
+        truth.append((i, int(i % 4 == 0)))
+    docs, labels = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(truth, "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in score_toxicity(docs, labels).collect() if r.held_out}
+    assert len(got) > 500 and np.mean([p == (i % 4 == 0) for i, p in got.items()]) > 0.97
+
+
 def test_pool():
     assert pool(np.array([1.0, 0.0, 2.0, 2.0, 1.0]), np.array([1.0, 1.0, 1.0, 1.0, 2.0])).tolist() == [0.5, 0.5, 1.5, 1.5, 1.5]
 
