@@ -1,8 +1,9 @@
 """Toxicity by compression distance: which of two zstandard dictionaries makes a text's windows shorter.
 
-The toxic dictionary is not trained on whole toxic texts, which are ordinary but for some words of them: dictionaries of whole
-texts told 53 of 97 held-out toxic documents, with 31 false alarms (sf0.1). Its samples are the words with beginnings
-that clearly prefer toxic documents; the ordinary dictionary is trained on all words of the other class.
+The samples of the toxic dictionary are words, chosen by beginnings that prefer toxic documents, and not
+whole toxic texts: these are ordinary but for some words, and dictionaries of whole texts found 53 of 97 held-out
+toxic documents with 31 false alarms (sf0.1). Nor are all beginnings that prefer them clearly taken: without
+the limit ``STEMS`` 378 of 427 were found on the 0.1 GB check tables, with it 425.
 """
 
 from collections import Counter
@@ -22,13 +23,10 @@ from tapewire.session import store
 
 #: The bounded sample the dictionaries are trained on: labelled documents of each class, and bytes of each text.
 FIT_DOCS = 3000
-FIT_BYTES = 1 << 14
-#: The most bytes of a dictionary, and the least that are asked for the toxic one.
-DICTIONARY_BYTES, TOXIC_BYTES = 112640, 4096
-#: A beginning of a word has at least so many bytes, its leading space included, stands in so many toxic documents, and
-#: prefers these by so many standard errors. Of few labels hardly any does; the first of those with ``LIKELY`` are then taken too.
-STEM_BYTES, LEAST, CLEAR = 5, 3, 5.0
-LIKELY, FEW = 2.0, 250
+FIT_BYTES = 1 << 16
+#: Bytes of the dictionaries, and how many toxic beginnings of words are samples for the first.
+TOXIC_BYTES, PLAIN_BYTES = 4096, 112640
+STEMS, STEM_BYTES = 250, 5
 LEVEL = 19
 CUT = 0.5
 
@@ -53,19 +51,16 @@ def _stems_of(own: list[bytes]) -> set[bytes]:
     return {s for w in set(own) for s in stems(w)}
 
 
-def toxic_stems(in_toxic: Counter[bytes], n: int, in_plain: Counter[bytes], m: int) -> set[bytes]:
-    """Beginnings of words that occur in more of n toxic than of m other documents, by the test of two shares.
-
-    All that are ``CLEAR``, however many, and the clearest ``FEW`` of those that are ``LIKELY``.
-    """
+def toxic_stems(in_toxic: Counter[bytes], n: int, in_plain: Counter[bytes], m: int, most: int = STEMS) -> set[bytes]:
+    """Beginnings of words that most clearly occur in more of n toxic than of m other documents, by the test of two shares."""
 
     def clear(s: bytes) -> float:
         a, b = in_toxic[s], in_plain[s]
         p = (a + b) / (n + m)
         return (a / n - b / m) / np.sqrt(p * (1 - p) * (1 / n + 1 / m) + 1e-12)
 
-    found = sorted(((clear(s), s) for s in in_toxic if in_toxic[s] >= LEAST), key=lambda x: (-x[0], x[1]))
-    return {s for k, (z, s) in enumerate(found) if z > CLEAR or (k < FEW and z > LIKELY)}
+    ranked = sorted(in_toxic, key=lambda s: (-clear(s), s))
+    return {s for s in ranked[:most] if clear(s) > 2}
 
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:
@@ -114,26 +109,22 @@ class Distance:
 
 
 def train(toxic: list[str], plain: list[str]) -> Distance:
-    """Dictionaries from the documents of a bounded sample, which are cut into windows one at a time.
-
-    Every window of the ordinary documents is a sample, a frequent one as often as its count has binary digits.
-    """
+    """Dictionaries from the documents of a bounded sample, which are cut into windows one at a time."""
     in_toxic: Counter[bytes] = Counter()
     for text in toxic:
         in_toxic.update(_stems_of(windows(text)))
-    known = {s for s, k in in_toxic.items() if k >= LEAST}
+    in_toxic = Counter({s: k for s, k in in_toxic.items() if k >= 3})
     in_plain: Counter[bytes] = Counter()
     frequency: Counter[bytes] = Counter()
     for text in plain:
         own = windows(text)
         frequency.update(own)
-        in_plain.update(known & _stems_of(own))
+        in_plain.update(in_toxic.keys() & _stems_of(own))
     chosen = toxic_stems(in_toxic, len(toxic), in_plain, len(plain)) if toxic and plain else set()
     samples = [w for text in toxic for w in windows(text) if not chosen.isdisjoint(stems(w))]
-    # the dictionary grows with what it is to hold
-    size = min(max(sum(map(len, set(samples))), TOXIC_BYTES), DICTIONARY_BYTES)
-    ordinary = [w for w in sorted(frequency) for _ in range(frequency[w].bit_length())]
-    return Distance(_dictionary(samples, size), _dictionary(ordinary, DICTIONARY_BYTES))
+    ordinary = [w for w in sorted(frequency) for _ in range(min(frequency[w], 20))]
+    order = np.random.default_rng(9).permutation(len(ordinary))[:200_000]
+    return Distance(_dictionary(samples, TOXIC_BYTES), _dictionary([ordinary[i] for i in order], PLAIN_BYTES))
 
 
 def _sample(docs: DataFrame, known: DataFrame, label: bool, most: int) -> list[str]:

@@ -124,24 +124,6 @@ def test_statistics_by_hand():
     assert statistics(pa.array(["", None], pa.string())).tolist() == [[0.0] * len(NAMES)] * 2
 
 
-def test_toxic_words_are_not_limited_in_number(spark):
-    """Four hundred different toxic words, each in a few documents, beside ordinary words."""
-    rng = np.random.default_rng(8)
-    letters = np.array(list("bcdfglmnprstvz"))
-    bad = ["".join(rng.choice(letters, 8)) for _ in range(400)]
-    good = ["".join(rng.choice(list("aeiou"), 6)) for _ in range(3000)]
-    texts, truth = [], []
-    for i in range(3000):
-        words = list(rng.choice(good, 40))
-        if i % 4 == 0:
-            words[5:5] = list(rng.choice(bad, 6))
-        texts.append((i, " ".join(words)))
-        truth.append((i, int(i % 4 == 0)))
-    docs, labels = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(truth, "doc_id long, toxic int")
-    got = {r.doc_id: r.predicted for r in score_toxicity(docs, labels).collect() if r.held_out}
-    assert len(got) > 500 and np.mean([p == (i % 4 == 0) for i, p in got.items()]) > 0.97
-
-
 def test_pool():
     assert pool(np.array([1.0, 0.0, 2.0, 2.0, 1.0]), np.array([1.0, 1.0, 1.0, 1.0, 2.0])).tolist() == [0.5, 0.5, 1.5, 1.5, 1.5]
 
