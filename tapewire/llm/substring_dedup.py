@@ -15,6 +15,8 @@ from tapewire.session import store
 
 #: Words of the shortest repeat that is removed.
 WINDOW = 13
+#: Text for each bucket; a bucket is held by one task, at some ten times what it was sent.
+BUCKET_BYTES = 16 << 20
 
 _LEAST = -(1 << 63)
 _MOST = (1 << 63) - 1
@@ -54,12 +56,12 @@ def _requests(ids: np.ndarray, chunk: int, doc: np.ndarray, hashes: np.ndarray,
     wide = second is not None
     bucket = ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    full = np.flatnonzero(cuts[1:] > cuts[:-1]).tolist()
+    full, starts = np.unique(bucket[order], return_index=True)
+    cuts, full = np.append(starts, len(order)), full.tolist()
     short = hashes if wide else (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     packed = []
-    for b in full:
-        at = order[cuts[b] : cuts[b + 1]]
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        at = order[lo:hi]
         own, counts = np.unique(doc[at], return_counts=True)
         packed.append(_pack(own, counts, ids[own].tobytes(), short[at].tobytes(), second[at].tobytes() if wide else b"", np.packbits(flags[at]).tobytes()))
     return _entries(full, chunk, ["ask"] * len(full), packed)
@@ -324,7 +326,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     Values that several documents of a task hold are sent once per task, so that a passage of any
     frequency is an entry per chunk of documents in its bucket. Buckets answer chunk by chunk, and the
     answers are dealt out to documents there.
-    Buckets are as many as ``spark.sql.shuffle.partitions``. The second step decides by 128 bits, at which
+    Buckets are as many as ``spark.sql.shuffle.partitions``, and at least one for ``BUCKET_BYTES`` of text, so that
+    none outgrows a task. The second step decides by 128 bits, at which
     10^13 windows make a false pair with a chance of some 10^-13; the first, by 32 bits and the bucket, only selects.
 
     Null texts have no words. Rows with the same id are one document, whose windows do not count against
@@ -332,7 +335,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     joined by one space) for every row.
     """
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("doc_id"), F.hash(text).alias("text_hash"), text.alias("text")

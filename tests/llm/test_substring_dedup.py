@@ -4,6 +4,7 @@ import re
 import pytest
 from llm_cases import documents, odd, rows  # noqa: F401
 
+from tapewire.llm import substring_dedup
 from tapewire.llm.substring_dedup import remove_repeats
 
 
@@ -59,3 +60,9 @@ def test_shifted_and_overlapping_passages(spark, batch):
         _same(spark.createDataFrame(docs, "doc_id long, text string").repartition(6))
     finally:
         spark.conf.set(name, before)
+
+
+def test_buckets_by_size_of_text(documents, monkeypatch):
+    """Many more buckets than shuffle partitions, most of them empty for a chunk, change nothing."""
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 1 << 14)
+    _same(documents)
