@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapewire.llm.calibrate import folds, isotonic, labels_of
-from tapewire.llm.utf8 import raw, slices, words
+from tapewire.llm.utf8 import mix, raw, slices, words
 from tapewire.session import store
 
 #: Random features, width of the kernel in units of its usual value, and the penalty per labelled row.
@@ -16,6 +16,8 @@ FEATURES = 256
 WIDTH = 1.0
 PENALTY = 1e-4
 SEED = 7
+#: Groups in which the sums of tasks are added up before they meet.
+BRANCHES = 64
 CUT = 0.3
 
 NAMES = (
@@ -77,8 +79,8 @@ def statistics(texts: pa.Array) -> np.ndarray:
     opens[1:] = (feeds[w.start[1:]] > feeds[w.start[:-1]]) | (w.doc[1:] != w.doc[:-1])
     heads = np.flatnonzero(opens)
     if len(heads):
-        sums = np.concatenate([[0], np.cumsum(hashes, dtype=np.uint64)])
-        line = sums[np.append(heads[1:], len(hashes))] - sums[heads]
+        place = np.arange(len(hashes)) - np.repeat(heads, np.diff(np.append(heads, len(hashes))))
+        line = np.add.reduceat(mix(hashes + place.astype(np.uint64)), heads)
         lines = np.bincount(w.doc[heads], minlength=n)
         own_lines, _ = _distinct(w.doc[heads], line, n)
     else:
@@ -158,16 +160,29 @@ def _normal_equations(kernel: Kernel):
     return run
 
 
-def _sum_rows(table: pa.Table) -> pa.Table:
-    rows = np.array(table.column("sums").to_pylist())
-    rows = rows[np.lexsort(rows.T)]  # the same order of addition, whichever task came first
-    return pa.table({"row": table.column("row").slice(0, 1), "sums": pa.array([rows.sum(axis=0).tolist()], pa.list_(pa.float64()))})
+def _sum_rows(keys: list[str]):
+    """One row for each group: its keys and the sum of its arrays."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sums = table.column("sums").combine_chunks()
+        rows = np.asarray(sums.flatten()).reshape(table.num_rows, -1)
+        rows = rows[np.lexsort(rows.T)]  # the same order of addition, whichever task came first
+        total = pa.array([rows.sum(axis=0).tolist()], pa.list_(pa.float64()))
+        return pa.table({**{k: table.column(k).slice(0, 1) for k in keys}, "sums": total})
+
+    return run
 
 
 def _ridge(labelled: DataFrame, kernel: Kernel, penalty: float) -> np.ndarray | None:
-    """Weights from the normal equations; their (features + 1) rows are summed on the executors."""
+    """Weights from the normal equations; their (features + 1) rows are summed on the executors, in two levels.
+
+    No group holds more than one row for each ``BRANCHES``-th task, or for each branch.
+    """
     schema = "row int, sums array<double>"
-    sums = labelled.select("stats", "label").mapInArrow(_normal_equations(kernel), schema).groupBy("row").applyInArrow(_sum_rows, schema)
+    of_tasks = labelled.select("stats", "label").mapInArrow(_normal_equations(kernel), schema)
+    branches = of_tasks.withColumn("branch", F.spark_partition_id() % BRANCHES).groupBy("row", "branch")
+    partial = branches.applyInArrow(_sum_rows(["row", "branch"]), "row int, branch int, sums array<double>")
+    sums = partial.groupBy("row").applyInArrow(_sum_rows(["row"]), schema)
     rows = sorted(sums.collect(), key=lambda r: r["row"])
     if not rows:
         return None

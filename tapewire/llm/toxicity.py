@@ -1,12 +1,10 @@
-"""Toxicity by compression distance: which of two zstandard dictionaries makes a text's windows shorter.
+"""Toxicity by compression distance: which of two kinds of zstandard dictionaries makes a text's windows shorter.
 
-The samples of the toxic dictionary are words, chosen by beginnings that prefer toxic documents, and not
-whole toxic texts: these are ordinary but for some words, and dictionaries of whole texts found 53 of 97 held-out
-toxic documents with 31 false alarms (sf0.1). Nor are all beginnings that prefer them clearly taken: without
-the limit ``STEMS`` 378 of 427 were found on the 0.1 GB check tables, with it 425.
+Toxic texts are ordinary but for some words, and a dictionary of either class also holds some rare words by
+chance. The fitted texts of each class are therefore dealt out to several dictionaries: a window is nearer to toxic
+text only by the bytes that nearly all toxic dictionaries save against nearly all ordinary ones.
 """
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -24,17 +22,19 @@ from tapewire.session import store
 #: The bounded sample the dictionaries are trained on: labelled documents of each class, and bytes of each text.
 FIT_DOCS = 3000
 FIT_BYTES = 1 << 16
-#: Bytes of the dictionaries, and how many toxic beginnings of words are samples for the first.
-TOXIC_BYTES, PLAIN_BYTES = 4096, 112640
-STEMS, STEM_BYTES = 250, 5
+#: Dictionaries of each class at most, fitted documents of the rarer class for each, and bytes of one.
+PAIRS, DOCS_PER_PAIR = 9, 40
+DICTIONARY_BYTES = 112640
+#: One dictionary of a class is passed over for so many of them, so that a single text can't settle a window.
+SPARE = 5
 LEVEL = 19
 CUT = 0.5
 
 #: Signs that are cut from both ends of a window, and what follows each window so that none is too short to be compressed.
 _SIGNS = b".,;:!?*$%&#|\"()'"
 _PADDING = b" " * 48
-#: A window's margin, the bytes that the toxic dictionary saves, is counted between these.
-LOW, HIGH = -6, 8
+#: A window's margin, the bytes that the toxic dictionaries save, is counted from 0, for none, to this.
+HIGH = 8
 REMEMBERED = 1 << 18
 
 
@@ -43,40 +43,22 @@ def windows(text: str | None) -> list[bytes]:
     return [b" " + w.strip(_SIGNS) + b" " for w in (text or "").lower().encode().split()]
 
 
-def stems(window: bytes) -> list[bytes]:
-    return [window[:k] for k in range(STEM_BYTES, len(window) + 1)]
-
-
-def _stems_of(own: list[bytes]) -> set[bytes]:
-    return {s for w in set(own) for s in stems(w)}
-
-
-def toxic_stems(in_toxic: Counter[bytes], n: int, in_plain: Counter[bytes], m: int, most: int = STEMS) -> set[bytes]:
-    """Beginnings of words that most clearly occur in more of n toxic than of m other documents, by the test of two shares."""
-
-    def clear(s: bytes) -> float:
-        a, b = in_toxic[s], in_plain[s]
-        p = (a + b) / (n + m)
-        return (a / n - b / m) / np.sqrt(p * (1 - p) * (1 / n + 1 / m) + 1e-12)
-
-    ranked = sorted(in_toxic, key=lambda s: (-clear(s), s))
-    return {s for s in ranked[:most] if clear(s) > 2}
-
-
-def _dictionary(samples: list[bytes], size: int) -> bytes:
-    """A trained dictionary; of samples too few to train on, the samples themselves."""
+def dictionary(texts: list[str]) -> bytes:
+    """Trained on all windows of the texts, each once a text; of samples too few to train on, the samples themselves."""
+    samples = [w for t in texts for w in sorted(set(windows(t)))]
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(dict.fromkeys(samples))[-size:]
+        return b"".join(dict.fromkeys(samples))[-DICTIONARY_BYTES:]
 
 
 class Distance:
-    """Compressed lengths of windows under the dictionary of toxic and that of ordinary text."""
+    """Compressed lengths of windows under the dictionaries of toxic and those of ordinary text."""
 
-    def __init__(self, toxic: bytes, plain: bytes):
+    def __init__(self, toxic: list[bytes], plain: list[bytes]):
         self.toxic, self.plain = toxic, plain
         self.known: dict[bytes, int] = {}
+        self.older: dict[bytes, int] = {}
 
     def __reduce__(self):
         return Distance, (self.toxic, self.plain)
@@ -86,54 +68,74 @@ class Distance:
         options = zstandard.ZstdCompressionParameters.from_level(
             LEVEL, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0
         )
-        found = []
-        for content in (self.plain, self.toxic):
+
+        def coder(content: bytes):
             trained = zstandard.ZstdCompressionDict(content)
             trained.precompute_compress(compression_params=options)
-            found.append(zstandard.ZstdCompressor(dict_data=trained, compression_params=options).compress)
-        return found
+            return zstandard.ZstdCompressor(dict_data=trained, compression_params=options).compress
+
+        return [(coder(p), coder(t)) for p, t in zip(self.plain, self.toxic, strict=False)]
+
+    def _measure(self, window: bytes) -> int:
+        padded, plain, toxic, found = window + _PADDING, [], [], 0
+        spare = len(self.coders) // SPARE
+        for by_plain, by_toxic in self.coders:
+            plain.append(len(by_plain(padded)))
+            toxic.append(len(by_toxic(padded)))
+            if len(plain) > spare:
+                # Further dictionaries can only lower this.
+                found = sorted(plain)[spare] - sorted(toxic)[-1 - spare]
+                if found <= 0:
+                    return 0
+        return min(found, HIGH)
 
     def margin(self, window: bytes) -> int:
-        """Bytes by which the toxic dictionary is the better one, from ``LOW`` to ``HIGH``."""
-        if window not in self.known:
-            plain, toxic = self.coders
+        """Bytes by which the longest of the toxic dictionaries' lengths is below the shortest of the ordinary ones'.
+
+        A part of either side, one in ``SPARE`` rounded down, is passed over. From 0 to ``HIGH``.
+        """
+        found = self.known.get(window)
+        if found is None:
+            found = self.older.get(window)
+            if found is None:
+                found = self._measure(window)
             if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            padded = window + _PADDING
-            self.known[window] = min(max(len(plain(padded)) - len(toxic(padded)), LOW), HIGH)
-        return self.known[window]
+                self.known, self.older = {}, self.known
+            self.known[window] = found
+        return found
 
     def counts(self, text: str | None) -> np.ndarray:
         """How many windows of the text have each margin."""
-        return np.bincount(np.array([self.margin(w) for w in windows(text)], np.int64) - LOW, minlength=HIGH - LOW + 1)
-
-
-def train(toxic: list[str], plain: list[str]) -> Distance:
-    """Dictionaries from the documents of a bounded sample, which are cut into windows one at a time."""
-    in_toxic: Counter[bytes] = Counter()
-    for text in toxic:
-        in_toxic.update(_stems_of(windows(text)))
-    in_toxic = Counter({s: k for s, k in in_toxic.items() if k >= 3})
-    in_plain: Counter[bytes] = Counter()
-    frequency: Counter[bytes] = Counter()
-    for text in plain:
-        own = windows(text)
-        frequency.update(own)
-        in_plain.update(in_toxic.keys() & _stems_of(own))
-    chosen = toxic_stems(in_toxic, len(toxic), in_plain, len(plain)) if toxic and plain else set()
-    samples = [w for text in toxic for w in windows(text) if not chosen.isdisjoint(stems(w))]
-    ordinary = [w for w in sorted(frequency) for _ in range(min(frequency[w], 20))]
-    order = np.random.default_rng(9).permutation(len(ordinary))[:200_000]
-    return Distance(_dictionary(samples, TOXIC_BYTES), _dictionary([ordinary[i] for i in order], PLAIN_BYTES))
-
-
-def _sample(docs: DataFrame, known: DataFrame, label: bool, most: int) -> list[str]:
-    """Texts of labelled documents, those whose ids hash lowest. The ids come from the labels alone and are few."""
-    wanted = F.col("label") > 0.5 if label else F.col("label") <= 0.5
+        return np.bincount(np.array([self.margin(w) for w in windows(text)], np.int64), minlength=HIGH + 1)
+
+
+def _sample(docs: DataFrame, known: DataFrame, toxic: bool, most: int) -> DataFrame:
+    """Labelled documents of a class, those whose ids hash lowest. The ids come from the labels alone and are few."""
+    wanted = F.col("label") > 0.5 if toxic else F.col("label") <= 0.5
     ids = known.where(wanted).select("label_id").orderBy(F.xxhash64("label_id"), "label_id").limit(most)
     found = docs.where(F.octet_length("text") <= FIT_BYTES).join(F.broadcast(ids), F.col("doc_id") == F.col("label_id"))
-    rows = found.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most).collect()
-    return [r["text"] for r in rows]
+    return found.select("doc_id", "text", F.lit(toxic).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most)
+
+
+def _train(table: pa.Table) -> pa.Table:
+    made = dictionary(sorted(table.column("text").to_pylist()))
+    return pa.table({"toxic": table.column("toxic").slice(0, 1), "part": table.column("part").slice(0, 1), "content": pa.array([made], pa.binary())})
+
+
+def train(docs: DataFrame, known: DataFrame, fit_docs: int = FIT_DOCS) -> Distance:
+    """Dictionaries from a bounded sample (doc_id, text) with labels (label_id, label).
+
+    The sample is dealt out by a hash of its rows, and each dictionary is trained in a task of its own; only
+    these reach the driver. A class without documents has one empty dictionary.
+    """
+    sample = store(_sample(docs, known, True, fit_docs).unionByName(_sample(docs, known, False, fit_docs)))
+    sizes = {r["toxic"]: r["count"] for r in sample.rows.groupBy("toxic").count().collect()}
+    pairs = min(max(min(sizes.get(c, 0) for c in (True, False)) // DOCS_PER_PAIR, 1), PAIRS)
+    parts = sample.rows.select("toxic", F.pmod(F.hash("doc_id", "text"), F.lit(pairs)).alias("part"), "text")
+    trained = parts.groupBy("toxic", "part").applyInArrow(_train, "toxic boolean, part int, content binary").collect()
+    sample.drop()
+    toxic, plain = ([bytes(r["content"]) for r in sorted(trained, key=lambda r: r["part"]) if r["toxic"] is c] or [b""] for c in (True, False))
+    return Distance(toxic, plain)
 
 
 def score_toxicity(
@@ -141,11 +143,10 @@ def score_toxicity(
 ) -> DataFrame:
     """Probability of label 1 for every whole text.
 
-    1. Two dictionaries are trained on a bounded sample: at most ``fit_docs`` labelled documents of each
-       class from folds 1 to 3 (crc32 of the id as text modulo 5) of up to ``FIT_BYTES`` bytes. Samples for
-       the toxic one are words with beginnings that clearly prefer toxic documents, for the ordinary one
-       the words of the other class.
-    2. Every window (a word between spaces, padded) of every document is compressed with both; a document
+    1. Dictionaries of toxic and of ordinary text are trained on all windows of a bounded sample: at most
+       ``fit_docs`` labelled documents of each class from folds 1 to 3 (crc32 of the id as text modulo 5) of up
+       to ``FIT_BYTES`` bytes. Either class is dealt out to up to ``PAIRS`` dictionaries.
+    2. Every window (a word between spaces, padded) of every document is compressed with them; a document
        is the counts of its windows by margin. These are written to the shared folder.
     3. Calibration: the labelled documents of fold 4 give each margin its weight, the logarithm of its share in
        toxic over that in ordinary text, and an isotonic curve from a document's summed weights to a
@@ -159,7 +160,7 @@ def score_toxicity(
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), folds(F.col(id_col)).alias("fold"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     known = labels_of(labels, label_col)
     fitting = known.where(folds(F.col("label_id")).between(1, 3))
-    distance = spark.sparkContext.broadcast(train(_sample(slim, fitting, True, fit_docs), _sample(slim, fitting, False, fit_docs)))
+    distance = spark.sparkContext.broadcast(train(slim, fitting, fit_docs))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measure = distance.value.counts
@@ -171,7 +172,7 @@ def score_toxicity(
 
     measured = store(slim.mapInArrow(count, "doc_id long, fold int, counts array<long>")).rows
     fit = measured.where("fold = 4").join(known, F.col("doc_id") == F.col("label_id"))
-    bins = range(HIGH - LOW + 1)
+    bins = range(HIGH + 1)
     sums = fit.groupBy((F.col("label") > 0.5).alias("toxic")).agg(*(F.sum(F.element_at("counts", i + 1)).alias(f"n{i}") for i in bins))
     totals = {r["toxic"]: np.array([r[f"n{i}"] for i in bins], float) + 1 for r in sums.collect()}
     weights = np.zeros(len(bins))
