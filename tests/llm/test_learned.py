@@ -195,7 +195,7 @@ def test_toxicity_against_a_plain_version(spark):
     def coder(content):
         d = zstandard.ZstdCompressionDict(content)
         options = zstandard.ZstdCompressionParameters.from_level(
-            19, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0
+            6, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0
         )
         d.precompute_compress(compression_params=options)
         return zstandard.ZstdCompressor(dict_data=d, compression_params=options).compress
