@@ -27,7 +27,7 @@ PAIRS, DOCS_PER_PAIR = 9, 40
 DICTIONARY_BYTES = 112640
 #: One dictionary of a class is passed over for so many of them, so that a single text can't settle a window.
 SPARE = 5
-LEVEL = 6
+LEVEL = 19
 CUT = 0.5
 
 #: Signs that are cut from both ends of a window, and what follows each window so that none is too short to be compressed.
