@@ -5,6 +5,7 @@ chance. The fitted texts of each class are therefore dealt out to several dictio
 text only by the bytes that nearly all toxic dictionaries save against nearly all ordinary ones.
 """
 
+from bisect import insort
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -35,12 +36,21 @@ _SIGNS = b".,;:!?*$%&#|\"()'"
 _PADDING = b" " * 48
 #: A window's margin, the bytes that the toxic dictionaries save, is counted from 0, for none, to this.
 HIGH = 8
-REMEMBERED = 1 << 18
+#: Words and windows that a task remembers, and as many older ones.
+REMEMBERED = 1 << 19
+
+
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").lower().encode().split()
+
+
+def _window(word: bytes) -> bytes:
+    return b" " + word.strip(_SIGNS) + b" "
 
 
 def windows(text: str | None) -> list[bytes]:
     """The words of a text in lower case, signs cut off, each between spaces."""
-    return [b" " + w.strip(_SIGNS) + b" " for w in (text or "").lower().encode().split()]
+    return list(map(_window, _words(text)))
 
 
 def dictionary(texts: list[str]) -> bytes:
@@ -80,15 +90,23 @@ class Distance:
         padded, plain, toxic, found = window + _PADDING, [], [], 0
         spare = len(self.coders) // SPARE
         for by_plain, by_toxic in self.coders:
-            plain.append(len(by_plain(padded)))
-            toxic.append(len(by_toxic(padded)))
-            if len(plain) > spare:
-                # Further dictionaries can only lower this.
-                found = sorted(plain)[spare] - sorted(toxic)[-1 - spare]
+            # Further dictionaries can only lower what is found, whichever side they are of.
+            insort(plain, len(by_plain(padded)))
+            if len(toxic) > spare and plain[spare] <= toxic[-1 - spare]:
+                return 0
+            insort(toxic, len(by_toxic(padded)))
+            if len(toxic) > spare:
+                found = plain[spare] - toxic[-1 - spare]
                 if found <= 0:
                     return 0
         return min(found, HIGH)
 
+    def _keep(self, key: bytes, found: int) -> int:
+        if len(self.known) >= REMEMBERED:
+            self.known, self.older = {}, self.known
+        self.known[key] = found
+        return found
+
     def margin(self, window: bytes) -> int:
         """Bytes by which the longest of the toxic dictionaries' lengths is below the shortest of the ordinary ones'.
 
@@ -97,16 +115,17 @@ class Distance:
         found = self.known.get(window)
         if found is None:
             found = self.older.get(window)
-            if found is None:
-                found = self._measure(window)
-            if len(self.known) >= REMEMBERED:
-                self.known, self.older = {}, self.known
-            self.known[window] = found
+            found = self._keep(window, self._measure(window) if found is None else found)
         return found
 
     def counts(self, text: str | None) -> np.ndarray:
         """How many windows of the text have each margin."""
-        return np.bincount(np.array([self.margin(w) for w in windows(text)], np.int64), minlength=HIGH + 1)
+        words = _words(text)
+        # Words are remembered beside windows, which differ from them by their spaces.
+        found = list(map(self.known.get, words))
+        if None in found:
+            found = [self._keep(w, self.margin(_window(w))) if m is None else m for w, m in zip(words, found, strict=True)]
+        return np.bincount(np.array(found, np.int64), minlength=HIGH + 1)
 
 
 def _sample(docs: DataFrame, known: DataFrame, toxic: bool, most: int) -> DataFrame:
