@@ -36,7 +36,7 @@ _SIGNS = b".,;:!?*$%&#|\"()'"
 _PADDING = b" " * 48
 #: A window's margin, the bytes that the toxic dictionaries save, is counted from 0, for none, to this.
 HIGH = 8
-#: Words and windows that a task remembers, and as many older ones.
+#: Words that a task remembers the margins of, and as many older ones.
 REMEMBERED = 1 << 19
 
 
@@ -101,30 +101,33 @@ class Distance:
                     return 0
         return min(found, HIGH)
 
-    def _keep(self, key: bytes, found: int) -> int:
-        if len(self.known) >= REMEMBERED:
-            self.known, self.older = {}, self.known
-        self.known[key] = found
+    def _found(self, word: bytes) -> int:
+        """The margin of the window of a word without signs at its ends."""
+        found = self.known.get(word)
+        if found is None:
+            found = self.older.get(word)
+            if found is None:
+                found = self._measure(_window(word))
+            if len(self.known) >= REMEMBERED:
+                self.known, self.older = {}, self.known
+            self.known[word] = found
         return found
 
     def margin(self, window: bytes) -> int:
         """Bytes by which the longest of the toxic dictionaries' lengths is below the shortest of the ordinary ones'.
 
-        A part of either side, one in ``SPARE`` rounded down, is passed over. From 0 to ``HIGH``.
+        A part of either side, one in ``SPARE`` rounded down, is passed over. From 0 to ``HIGH``. The window is one
+        that ``windows`` makes.
         """
-        found = self.known.get(window)
-        if found is None:
-            found = self.older.get(window)
-            found = self._keep(window, self._measure(window) if found is None else found)
-        return found
+        return self._found(window[1:-1])
 
     def counts(self, text: str | None) -> np.ndarray:
         """How many windows of the text have each margin."""
         words = _words(text)
-        # Words are remembered beside windows, which differ from them by their spaces.
+        # Only words without signs are remembered, once each. A word that is not found as it stands is looked up without them.
         found = list(map(self.known.get, words))
         if None in found:
-            found = [self._keep(w, self.margin(_window(w))) if m is None else m for w, m in zip(words, found, strict=True)]
+            found = [self._found(w.strip(_SIGNS)) if m is None else m for w, m in zip(words, found, strict=True)]
         return np.bincount(np.array(found, np.int64), minlength=HIGH + 1)
 
 

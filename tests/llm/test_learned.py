@@ -233,6 +233,21 @@ def test_toxic_lengths_of_several_dictionaries():
         assert d.margin(w) == min(max(plain[2] - toxic[-3], 0), 8)
 
 
+def test_words_are_measured_once(monkeypatch):
+    """A word takes one place of those remembered, whatever signs it comes with."""
+    monkeypatch.setattr(toxicity, "REMEMBERED", 100)
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(100)]
+    assert len(set(words)) == 100
+    sides = [[toxicity.dictionary([" ".join(words[k::2])])] for k in (0, 1)]
+    d, measured = toxicity.Distance(*sides), []
+    monkeypatch.setattr(toxicity.Distance, "_measure", lambda self, w, plain=toxicity.Distance._measure: measured.append(w) or plain(self, w))
+    texts = [" ".join(words), " ".join(f"{w}," for w in words), " ".join(f'"{w}!' for w in words)]
+    counts = [d.counts(t).tolist() for t in texts]
+    assert sorted(measured) == sorted(toxicity.windows(texts[0]))
+    assert counts == [[sum(min(d.margin(w), 8) == k for w in toxicity.windows(texts[0])) for k in range(9)]] * 3
+
+
 def _plain_statistics(text):
     """The statistics of ``NAMES`` from words and lines as Python objects."""
     data = (text or "").encode()
