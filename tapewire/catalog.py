@@ -1018,7 +1018,7 @@ _DOCS_SQL = "docs AS (SELECT doc_id AS key, text FROM documents)"
 
 @query(f"WITH {_SPOKEN_SQL}, {_terms_sql('spoken')} SELECT key, term, count(*) AS n FROM grams GROUP BY ALL")
 def terms_by_text(spark, sf_dir):
-    t = terms.terms_transformer().transform(_spoken(spark, sf_dir))
+    t = terms.terms_transformer().transform(terms.dealt(_spoken(spark, sf_dir)))
     return terms.explode_terms(t, "key").groupBy("key", "term").agg(F.count(F.lit(1)).alias("n"))
 
 

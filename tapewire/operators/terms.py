@@ -16,6 +16,8 @@ TOKEN = r"[\p{L}\p{N}_]{2,}"
 NGRAM_RANGE = (1, 2)
 MIN_DF = 2
 MAX_FEATURES = 100_000
+#: Text whose terms one task counts. A row for each text and term takes some 50 times its bytes in memory.
+PART_BYTES = 4 << 20
 
 
 def terms_transformer(
@@ -42,6 +44,17 @@ def _grams(n: int) -> str:
     )
 
 
+def dealt(documents: DataFrame, text: str = "text") -> DataFrame:
+    """The documents in parts of about ``PART_BYTES`` of text each.
+
+    Terms of a text hardly repeat, so that counting them by text holds nearly all terms of a
+    task's part in memory. Parts of files follow the files' size, these do not.
+    """
+    size = documents.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    parts = -(-size // PART_BYTES)
+    return documents.repartition(parts) if parts > 1 else documents
+
+
 def explode_terms(documents: DataFrame, key: str, terms: str = "terms") -> DataFrame:
     """One row ``key, term`` per occurrence.
 
@@ -157,7 +170,7 @@ def weights_by_term(
     frame = pd.DataFrame({"term": list(weights.terms), "idf": list(weights.idf)})
     # as many rows as the vocabulary, which has a fixed upper limit
     known = F.broadcast(spark.createDataFrame(frame, "term string, idf double"))
-    terms = terms_transformer(text, "terms", ngram_range).transform(documents.select(key, text))
+    terms = terms_transformer(text, "terms", ngram_range).transform(dealt(documents.select(key, text), text))
     rows = terms.select(F.monotonically_increasing_id().alias("_row"), key, "terms")
     met = rows.select("_row", key, F.explode_outer("terms").alias("term")).join(known, "term")
     counted = met.groupBy("_row", key, "term", "idf").agg(F.count(F.lit(1)).alias("tf"))

@@ -3,9 +3,10 @@ import re
 from collections import Counter
 
 import pytest
+from conftest import plan_of
 from pyspark.sql import functions as F
 
-from tapewire.operators import linear
+from tapewire.operators import linear, terms
 from tapewire.operators.report import classification_report, format_report
 from tapewire.operators.split import class_sizes, stratified_split, time_split
 from tapewire.operators.terms import (
@@ -64,6 +65,21 @@ def test_weights(docs):
     assert all(got[k] == pytest.approx(want[k]) for k in want)
 
 
+def test_terms_are_counted_in_parts_of_bounded_text(spark, monkeypatch):
+    """However large the parts of the input, a task counts the terms of about PART_BYTES of text."""
+    monkeypatch.setattr(terms, "PART_BYTES", 1 << 12, raising=False)
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(39)), lambda k: F.concat(F.lit("w"), (F.col("id") * 7 + k) % 90)))
+    whole = spark.range(0, 400, 1, 1).select(F.col("id").alias("doc"), text.alias("text"))
+    sizes = terms.dealt(whole).groupBy(F.spark_partition_id()).agg(F.sum(F.octet_length("text")).alias("n")).collect()
+    assert sum(r.n for r in sizes) > 10 * terms.PART_BYTES and max(r.n for r in sizes) < 2 * terms.PART_BYTES
+    weights = terms.fit_tfidf(whole)
+    got = terms.weights_by_term(weights, whole, "doc")
+    assert f"RoundRobinPartitioning({len(sizes)})" in plan_of(got)
+    monkeypatch.setattr(terms, "PART_BYTES", 1 << 30)
+    want = {(r.doc, r.term): r.weight for r in terms.weights_by_term(weights, whole, "doc").collect()}
+    assert {(r.doc, r.term): r.weight for r in got.collect()} == pytest.approx(want, abs=1e-12)
+
+
 def test_no_terms(docs):
     with pytest.raises(ValueError):
         fit_tfidf(docs, min_df=100)
