@@ -12,6 +12,9 @@ SETTINGS = {
     "spark.sql.legacy.parquet.nanosAsLong": "true",
 }
 
+#: While it is on, Spark removes the shuffle files of a query when this has ended.
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Named where spark.checkpoint.dir was not given when the session started.
 SHARED_DIR = "tapewire.shared.dir"
 
@@ -56,11 +59,21 @@ def store(df: DataFrame) -> Stored:
 
     Cuts the lineage and fixes values that another run might choose differently.
     A written table computes the rows once, where a checkpoint would do so twice,
-    and later reads take only the columns they need.
+    and later reads take only the columns they need. The shuffle files that led to
+    the rows go with the write, and don't wait for the driver to collect garbage.
     """
-    path = f"{shared_dir(df.sparkSession)}/rows-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return Stored(df.sparkSession.read.schema(df.schema).parquet(path), path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/rows-{uuid.uuid4().hex}"
+    before = spark.conf.get(_SHUFFLE_CLEANUP, None)
+    spark.conf.set(_SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(_SHUFFLE_CLEANUP, before)
+    return Stored(spark.read.schema(df.schema).parquet(path), path)
 
 
 def durable(df: DataFrame) -> DataFrame:

@@ -1,6 +1,9 @@
 import random
 import re
+import time
+from pathlib import Path
 
+import numpy as np
 import pytest
 from llm_cases import documents, odd, rows  # noqa: F401
 
@@ -66,3 +69,25 @@ def test_buckets_by_size_of_text(documents, monkeypatch):
     """Many more buckets than shuffle partitions, most of them empty for a chunk, change nothing."""
     monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 1 << 14)
     _same(documents)
+
+
+def test_packed_numbers():
+    for numbers in ([], [7], [3, 3], [-(1 << 63), (1 << 63) - 1], [10**15, 10**15 + 255], [0, 70000], [-5, 250]):
+        packed = substring_dedup._narrow(np.array(numbers, np.int64))
+        back, end = substring_dedup._widen(b"xy" + packed, len(numbers), 2)
+        assert back.tolist() == numbers and end == len(packed) + 2
+    assert len(substring_dedup._narrow(np.arange(10**15, 10**15 + 200))) == 9 + 200
+
+
+def test_shuffles_of_stored_steps_are_removed(spark, documents):
+    """Of the two steps only the stored tables are left, so that their shuffles don't add up on disk."""
+    folder = Path(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+    held = lambda: {p for p in folder.rglob("shuffle_*") if p.suffix in (".data", ".index")}
+    before = held()
+    result = remove_repeats(documents)
+    deadline = time.time() + 10
+    while held() - before and time.time() < deadline:
+        time.sleep(0.1)
+    # what is left is the shuffle of the first sum, a few bytes of each part
+    assert sum(p.stat().st_size for p in held() - before) < 10_000
+    assert result.count() == documents.count()
