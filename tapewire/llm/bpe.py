@@ -22,7 +22,7 @@ from tapewire.llm.utf8 import slices
 #: Symbols beyond which a word goes by a heap, because scanning takes the square of its length.
 SHORT = 64
 #: Texts between white space, and words, whose ids a worker remembers; as many again are kept from before.
-REMEMBERED, REMEMBERED_WORDS = 1 << 15, 1 << 18
+REMEMBERED, REMEMBERED_WORDS = 1 << 15, 1 << 17
 #: Longer texts without white space are not remembered.
 _LONGEST = 64
 _SPACE = r"\s+"
@@ -93,12 +93,8 @@ class _Memory:
         self.new[key] = value
 
 
-def _joined(found: list[tuple[bytes, str]]) -> tuple[bytes, str]:
-    return b"".join([ids for ids, _ in found]), " ".join([tokens for ids, tokens in found if ids])
-
-
 class Coder:
-    """Encodes and decodes with one vocabulary; remembers what it has met."""
+    """Encodes and decodes with one vocabulary; remembers the ids, and only these, of what it has met."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
@@ -157,43 +153,44 @@ class Coder:
                     heapq.heappush(heap, (r, a, part[b]))
         return [p for p in part if p != gone]
 
-    def _word(self, word: str) -> tuple[bytes, str]:
-        """The ids of a word as little-endian 32-bit integers, and their tokens; parts outside the vocabulary have none."""
+    def _word(self, word: str) -> bytes:
+        """The ids of a word as little-endian 32-bit integers; parts outside the vocabulary have none."""
         found = self.words.get(word)
         if found is None:
             own = [p for p in self.parts(word) if p < self.v.size]
-            found = (struct.pack(f"<{len(own)}I", *own), " ".join([self.names[p] for p in own]))
+            found = struct.pack(f"<{len(own)}I", *own)
             if len(word) <= _LONGEST:
                 self.words.put(word, found)
         return found
 
-    def _run(self, run: str) -> tuple[bytes, str]:
-        """Ids, and what they decode to, of a text without white space."""
+    def _run(self, run: str) -> bytes:
+        """Ids of a text without white space."""
         found = self.known.get(run)
         if found is None:
-            words = [self._word(w) for w in self.pieces(run)]
-            found = words[0] if len(words) == 1 else _joined(words)
+            known, own = self.words.new, self._word
+            found = b"".join([known[w] if w in known else own(w) for w in self.pieces(run)])
             if len(run) <= _LONGEST:
                 self.known.put(run, found)
         return found
 
-    def _runs(self, text: str) -> list[tuple[bytes, str]]:
+    def _runs(self, text: str) -> list[bytes]:
         runs = text.split() if self.odd is None or not self.odd.search(text) else [r for r in self.gap.split(text) if r]
         known, own = self.known.new, self._run
         return [known[r] if r in known else own(r) for r in runs]
 
-    def code(self, text: str) -> tuple[bytes, str]:
-        """The ids of a text, the added tokens that it spells out included, and what they decode to."""
+    def encode(self, text: str) -> bytes:
+        """The ids of a text, the added tokens that it spells out included."""
         if self.special is None or not any(token in text for token in self.v.special):
-            found = self._runs(text)
-        else:
-            found = []
-            for k, piece in enumerate(self.special.split(text)):
-                found += [(self.v.special[piece].to_bytes(4, "little"), piece)] if k % 2 else self._runs(piece)
-        return _joined(found)
+            return b"".join(self._runs(text))
+        found = []
+        for k, piece in enumerate(self.special.split(text)):
+            found += [self.v.special[piece].to_bytes(4, "little")] if k % 2 else self._runs(piece)
+        return b"".join(found)
 
-    def encode(self, text: str) -> bytes:
-        return self.code(text)[0]
+    def code(self, text: str) -> tuple[bytes, str]:
+        """The ids of a text, and what they decode to."""
+        ids = self.encode(text)
+        return ids, self.decode(ids)
 
     def decode(self, ids: bytes) -> str:
         """The tokens of the ids, joined by one space, as the format has no rule to join them otherwise."""

@@ -1,4 +1,5 @@
 import hashlib
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -62,6 +63,22 @@ def test_what_is_remembered_does_not_matter(monkeypatch):
     assert len(coder.known.new) <= 3 and len(coder.known.old) <= 3
 
 
+def test_what_a_worker_remembers_fits_in_64_mb():
+    coder = Coder(Vocabulary(PATH))
+    letters = np.random.default_rng(5).integers(97, 123, (20_000, 9)).astype(np.uint8)
+    words = [w.tobytes().decode() for w in letters]
+    tracemalloc.start()
+    try:
+        for first in range(0, len(words), 1000):
+            coder.code(", ".join(words[first : first + 1000]))
+        # Of each word the run that holds it and the word itself are remembered.
+        held = tracemalloc.get_traced_memory()[0] / len(words)
+    finally:
+        tracemalloc.stop()
+    assert len(coder.words.new) > len(words) * 0.9
+    assert held / 2 * 2 * (bpe.REMEMBERED + bpe.REMEMBERED_WORDS) < 64e6
+
+
 def test_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     extra = spark.createDataFrame([(-1, None), (-2, ""), (None, ODD[0]), (5, "again"), (5, "again")], "doc_id long, text string")
